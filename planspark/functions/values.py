@@ -93,16 +93,25 @@ def text(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def text_to_double(c: Column) -> Column:
-    """Non-strict parse: text that is not a plain number becomes NULL instead of failing."""
+    """Non-strict parse: text that is not a plain number becomes NULL instead of failing.
+
+    The pattern also keeps out Java forms that the cast alone would read, such as ``1d``.
+    """
     trimmed = F.trim(c)
     return F.when(trimmed.rlike(NUMERIC_TEXT), trimmed).try_cast("double")
 
 
+def stacked_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns below each other: ``column_name``, ``value`` as text, nulls included."""
+    texts = df.select(*[text(column(n), dtype_of(df, n)).alias(n) for n in names])
+    return texts.unpivot([], [column(n) for n in names], "column_name", "value")
+
+
 def text_to_long(c: Column) -> Column:
-    """Non-strict parse of whole numbers; digits are read exactly, ``1e3`` and ``5.0`` by way of a double."""
-    trimmed, number = F.trim(c), text_to_double(c)
-    exact = F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed).try_cast("bigint")
-    return F.coalesce(exact, F.when(number == F.floor(number), number).try_cast("bigint"))
+    """Non-strict parse of whole numbers; digits are read exactly, forms such as ``1e3`` by way of a double."""
+    digits = F.nullif(F.regexp_extract(F.trim(c), r"^([+-]?\d+)(\.0*)?$", 1), F.lit(""))
+    number = text_to_double(c)
+    return F.coalesce(digits.try_cast("bigint"), F.when(number == F.floor(number), number).try_cast("bigint"))
 
 
 def to_double(c: Column, dtype: T.DataType) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.values import column, distinct_with_null, dtype_of, resolve, text
+from ..functions.values import column, distinct_with_null, dtype_of, resolve, stacked_values, text
 from ..plans.specs import Relationship
 from .profile import ColumnProfile
 
@@ -83,8 +83,7 @@ def grouping_values(dim: DataFrame, key: str, attributes: Sequence[str] | None =
     """``column_name, value_preview`` per text attribute of a dimension: its first ``n`` sorted values."""
     if attributes is None:
         attributes = [f.name for f in dim.schema.fields if f.dataType.typeName() == "string" and f.name != key]
-    cells = [F.struct(F.lit(a).alias("column_name"), column(a).alias("value")) for a in attributes]
-    values = dim.select(F.inline(F.array(*cells))).filter("value IS NOT NULL").distinct()
+    values = stacked_values(dim, attributes).filter("value IS NOT NULL").distinct()
     ranked = values.withColumn("_rank", F.row_number().over(Window.partitionBy("column_name").orderBy("value")))
     # one row more than shown tells whether the list goes on; Spark keeps only these rows before the shuffle
     return _listed(ranked.filter(F.col("_rank") <= n + 1), ["column_name"], n, F.col("value"), "value_preview")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.values import column, is_temporal, precise_sum, resolve, text, to_cents, to_double
+from ..functions.values import column, is_temporal, precise_sum, resolve, stacked_values, text_to_double, to_cents, to_double
 
 SAMPLES = 20  # fixed value: sample values kept per column
 SHARE = 0.8  # fixed value: share of texts that must look like a date or number
@@ -72,121 +72,99 @@ def detect_roles(profile: Sequence[ColumnProfile], rows: int) -> dict[str, str]:
 
 
 def _text_number(c: Column) -> Column:
-    """Number in a text with currency signs, decimal comma or thousands dots."""
-    bare = F.replace(F.regexp_replace(c, r"[€$£¥\s]", ""), F.lit(","), F.lit("."))
-    dots = F.length(bare) - F.length(F.replace(bare, F.lit("."), F.lit("")))
-    plain = F.when(dots > 1, F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
-    return to_double(plain, T.StringType())
-
-
-def _counts(df: DataFrame, f: T.StructField, i: int) -> list[Column]:
-    c = column(f.name)
-    filled = [F.count(c).alias(f"n{i}")]
-    if isinstance(f.dataType, T.StringType):
-        trimmed = F.trim(c)
-        number = _text_number(trimmed)
-        return filled + [
-            F.count_if(F.lower(trimmed).isin(*BOOLEAN_WORDS)).alias(f"b{i}"),
-            F.count_if(trimmed.rlike("^(" + "|".join(DATE_SHAPES) + ")$")).alias(f"d{i}"),
-            F.count(number).alias(f"v{i}"),
-            F.count_if(number == F.floor(number)).alias(f"w{i}"),
-        ]
-    if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-        v = c.cast("double")
-        finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
-        return filled + [
-            F.count_if(finite).alias(f"v{i}"), F.count_if(finite & (v == F.floor(v))).alias(f"w{i}"),
-        ]
-    return filled
-
-
-def _data_type(row, f: T.StructField, i: int) -> str:
-    filled = row[f"n{i}"]
-    if isinstance(f.dataType, T.IntegralType):
+    """Number in a text with currency signs, decimal comma or thousands dots; NULL when there is none."""
+    bare = F.replace(F.translate(c, "€$£¥ \t\u00a0", ""), F.lit(","), F.lit("."))
+    plain = F.when(bare.rlike(r"\..*\."), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
+    return text_to_double(plain)
+
+
+def _looked_at(values: DataFrame) -> DataFrame:
+    """Adds the number in each text, computed once."""
+    return values.select("*", F.trim("value").alias("_text"), _text_number(F.col("value")).alias("_number"))
+
+
+def _text_facts(rows: Column) -> list[Column]:
+    """What the texts of a column look like, each value weighted by its rows."""
+    def rows_where(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, rows)), F.lit(0))
+
+    number, text_form = F.col("_number"), F.col("_text")
+    short = F.length(text_form) <= max(map(len, BOOLEAN_WORDS))
+    return [
+        rows_where(F.col("value").isNotNull()).alias("filled"),
+        rows_where(F.isnull("value")).alias("null_count"),
+        rows_where(short & F.lower(text_form).isin(*BOOLEAN_WORDS)).alias("booleans"),
+        rows_where((F.length(text_form) <= 10) & text_form.rlike("^(" + "|".join(DATE_SHAPES) + ")$")).alias("dates"),
+        rows_where(number.isNotNull()).alias("numbers"),
+        rows_where(number == F.floor(number)).alias("wholes"),
+    ]
+
+
+def _data_type(dtype: T.DataType, facts) -> str:
+    if isinstance(dtype, T.IntegralType):
         return "integer"
-    if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return "integer" if row[f"v{i}"] and row[f"w{i}"] == row[f"v{i}"] else "numeric"
-    if isinstance(f.dataType, T.BooleanType):
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "integer" if facts["numbers"] and facts["wholes"] == facts["numbers"] else "numeric"
+    if isinstance(dtype, T.BooleanType):
         return "boolean"
-    if is_temporal(f.dataType):
+    if is_temporal(dtype):
         return "date"
-    if not isinstance(f.dataType, T.StringType) or not filled:
+    if not isinstance(dtype, T.StringType) or not facts["filled"]:
         return "text"
-    if row[f"b{i}"] == filled:
+    if facts["booleans"] == facts["filled"]:
         return "boolean"
-    if row[f"d{i}"] / filled > SHARE:
+    if facts["dates"] / facts["filled"] > SHARE:
         return "date"
-    if row[f"v{i}"] / filled > SHARE:
-        return "integer" if row[f"w{i}"] == row[f"v{i}"] else "numeric"
+    if facts["numbers"] / facts["filled"] > SHARE:
+        return "integer" if facts["wholes"] == facts["numbers"] else "numeric"
     return "text"
 
 
-def column_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """All columns below each other as ``column_name, value (text)``, nulls included."""
-    kept = [F.struct(F.lit(n).alias("column_name"), text(column(n), df.schema[n].dataType).alias("value")) for n in names]
-    return df.select(F.inline(F.array(*kept)))
-
-
 def column_facts(df: DataFrame, samples: int = SAMPLES, approx: bool = False) -> DataFrame:
-    """``column_name, unique_count, null_count, samples`` for every column; NULL is one of the unique values.
+    """One row per column: ``unique_count`` (NULL is a value), ``null_count``, ``samples`` and counts of text shapes.
 
     Exact counts come from one shuffle of the distinct (column, value) pairs, combined before the shuffle, so a
-    frequent value costs one row per task. ``samples`` are the smallest values in text order. ``approx=True``
-    replaces the pairs by sketches and takes no shuffle of values at all.
+    frequent value costs one row per task and is looked at once; ``samples`` are the smallest values in text order.
+    ``approx=True`` sketches the distinct counts without shuffling values and samples only the two extremes.
     """
     names = [c for c in df.columns if c != "_row_id"]
+    values = stacked_values(df, names)
     if approx:
-        return _sketched(df, names)
-    pairs = column_values(df, names).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
-    counts = pairs.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("unique_count"),
-        F.coalesce(F.sum(F.when(F.isnull("value"), F.col("rows"))), F.lit(0)).alias("null_count"),
-    )
+        ends = F.filter(F.array(F.min("value"), F.max("value")), lambda x: x.isNotNull())
+        unique = F.approx_count_distinct("value") + F.max(F.isnull("value").cast("int"))
+        return _looked_at(values).groupBy("column_name").agg(unique.alias("unique_count"), ends.alias("samples"), *_text_facts(F.lit(1)))
+    pairs = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
+    counts = _looked_at(pairs).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), *_text_facts(F.col("rows")))
+    # Spark keeps the first rows of each task before it brings a column together
     ranked = Window.partitionBy("column_name").orderBy("value")
     first = pairs.filter("value IS NOT NULL").withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= samples)
     listed = first.groupBy("column_name").agg(F.sort_array(F.collect_list("value")).alias("samples"))
     return counts.join(listed, "column_name", "left")
 
 
-def _sketched(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    facts = []
-    for i, n in enumerate(names):
-        facts += [
-            F.approx_count_distinct(column(n)).alias(f"u{i}"), F.count_if(F.isnull(column(n))).alias(f"z{i}"),
-            F.min(column(n)).cast("string").alias(f"lo{i}"), F.max(column(n)).cast("string").alias(f"hi{i}"),
-        ]
-    lines = [
-        F.struct(
-            F.lit(n).alias("column_name"),
-            (F.col(f"u{i}") + F.when(F.col(f"z{i}") > 0, 1).otherwise(0)).alias("unique_count"),
-            F.col(f"z{i}").alias("null_count"),
-            F.filter(F.array(f"lo{i}", f"hi{i}"), lambda x: x.isNotNull()).alias("samples"),
-        )
-        for i, n in enumerate(names)
-    ]
-    return df.agg(*facts).select(F.inline(F.array(*lines)))
-
-
 def profile_columns(
     df: DataFrame,
     display_names: Mapping[str, str] | None = None,
     samples: int = SAMPLES,
     approx: bool = False,
 ) -> tuple[list[ColumnProfile], int]:
-    """Profile and role of every column, and the row count: one small result row per column."""
+    """Profile and role of every column, and the row count, from one job with one result row per column."""
     shown = dict(display_names or {})
-    fields = [f for f in df.schema.fields if f.name != "_row_id"]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[c for i, f in enumerate(fields) for c in _counts(df, f, i)]).first()
-    facts = {r["column_name"]: r for r in column_facts(df, samples, approx).collect()}  # one row per column
+    facts = {r["column_name"]: r for r in column_facts(df, samples, approx).collect()}
+    rows = max((f["filled"] + f["null_count"] for f in facts.values()), default=0)
     profiles = []
-    for i, f in enumerate(fields):
-        found = facts.get(f.name)
-        unique, nulls = (found["unique_count"], found["null_count"]) if found else (0, 0)
-        sample = list(found["samples"] or []) if found else []
-        kind, display = _data_type(row, f, i), shown.get(f.name, f.name)
-        role = detect_role(display, kind, unique, nulls, row["n"], sample)
+    for f in df.schema.fields:
+        if f.name == "_row_id":
+            continue
+        display, found = shown.get(f.name, f.name), facts.get(f.name)
+        if found is None:
+            profiles.append(ColumnProfile(f.name, display, "text", 0, 0))
+            continue
+        kind, sample = _data_type(f.dataType, found), list(found["samples"] or [])
+        unique, nulls = found["unique_count"], found["null_count"]
+        role = detect_role(display, kind, unique, nulls, rows, sample)
         profiles.append(ColumnProfile(f.name, display, kind, unique, nulls, sample, role))
-    return profiles, row["n"]
+    return profiles, rows
 
 
 def measure_stats(df: DataFrame, measures: Sequence[str]) -> DataFrame:

@@ -62,8 +62,9 @@ def relationship_scores(tables: Mapping[str, DataFrame]) -> DataFrame:
     for i, name in enumerate(names):
         mine = [c for c, found in shared.items() if i in found]
         if mine:
-            cells = [F.struct(F.lit(c).alias("column_name"), _key_text(tables[name], c).alias("value")) for c in mine]
-            parts.append(tables[name].select(F.inline(F.array(*cells)), F.lit(1 << i).cast("bigint").alias("owner")))
+            keys = tables[name].select(*[_key_text(tables[name], c).alias(c) for c in mine])
+            parts.append(keys.unpivot([], [column(c) for c in mine], "column_name", "value").withColumn(
+                "owner", F.lit(1 << i).cast("bigint")))
     spark = tables[names[0]].sparkSession
     if not parts:
         return spark.createDataFrame([], "source string, target string, column_name string, coverage bigint, overlap bigint")

@@ -6,15 +6,28 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.values import column, dtype_of, text_to_double, text_to_long
+from ..functions.values import NUMERIC_TEXT, column, dtype_of, stacked_values, text_to_double, text_to_long
 
 # Words read as true and as false.
 TRUE_WORDS = ("true", "yes", "1", "y", "x")
 FALSE_WORDS = ("false", "no", "0", "n", "")
 
-# Date formats in the order they are tried.
-DATE_FORMATS = ("yyyy-M-d", "d.M.yyyy", "M/d/yyyy", "d/M/yyyy", "yyyyMMdd")
+# Date formats in the order they are tried, each with the texts it can read. A failed parse is far
+# slower than a failed match, so only matching texts are parsed.
+_DAY, _MONTH = r"(0?[1-9]|[12]\d|3[01])", r"(0?[1-9]|1[0-2])"
+DATE_FORMATS = (
+    ("yyyy-M-d", rf"^\d{{4}}-{_MONTH}-{_DAY}$"),
+    ("d.M.yyyy", rf"^{_DAY}\.{_MONTH}\.\d{{4}}$"),
+    ("M/d/yyyy", rf"^{_MONTH}/{_DAY}/\d{{4}}$"),
+    ("d/M/yyyy", rf"^{_DAY}/{_MONTH}/\d{{4}}$"),
+    ("yyyyMMdd", r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"),
+)
+ANY_DATE = r"^\d{1,4}[./-]\d{1,2}[./-]\d{1,4}$"
+
+# Classes of a text; a date text has the class DATE plus one bit per format that reads it.
+TEXT, WORD, DIGIT, WHOLE, NUMBER, DATE = 0, 1, 2, 3, 4, 16
 
+MAX_WORD = max(map(len, TRUE_WORDS + FALSE_WORDS))
 MAX_LOSS = 0.1  # fixed value: share of values that may become NULL
 
 def _plain(c: Column, decimal_style: str) -> Column:
@@ -30,22 +43,10 @@ def _number(c: Column, decimal_style: str) -> Column:
     return text_to_double(_plain(c, decimal_style))
 
 
-def _date(c: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(F.trim(c), F.lit(fmt)).cast("date")
-
-
-def _facts(name: str, i: int, decimal_style: str) -> list[Column]:
-    trimmed = F.trim(column(name))
-    number, lowered = _number(column(name), decimal_style), F.lower(trimmed)
-    digits = F.count_if(lowered.isin("0", "1"))
-    facts = [
-        F.count(column(name)).alias(f"n{i}"),
-        F.count_if(lowered.isin(*TRUE_WORDS, *FALSE_WORDS)).alias(f"b{i}"),
-        digits.alias(f"d{i}"),
-        F.count(number).alias(f"v{i}"),
-        F.count_if(number == F.floor(number)).alias(f"w{i}"),
-    ]
-    return facts + [F.count(_date(column(name), f)).alias(f"f{i}_{k}") for k, f in enumerate(DATE_FORMATS)]
+def _date(c: Column, fmt: str, readable: str | None = None) -> Column:
+    readable = readable or dict(DATE_FORMATS)[fmt]
+    trimmed = F.trim(c)
+    return F.try_to_timestamp(F.when(trimmed.rlike(readable), trimmed), F.lit(fmt)).cast("date")
 
 
 def infer_schema(
@@ -54,29 +55,51 @@ def infer_schema(
     """Target of each text column: boolean, integer, numeric, ``date:<format>`` or text.
 
     A column of only 0 and 1 (or blanks) is boolean unless ``infer_bool_digits=False``. Numbers are tried before
-    dates, so eight digits are a number. ``decimal_style="de"`` reads ``1.234,56``.
+    dates, so eight digits are a number and only texts that are no number are tried as dates. ``decimal_style="de"`` reads ``1.234,56``.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return {}
-    row = df.agg(*[fact for i, n in enumerate(names) for fact in _facts(n, i, decimal_style)]).first()
-    return {n: _decide(row, i, infer_bool_digits, tolerance) for i, n in enumerate(names)}
-
-
-def _decide(row, i: int, infer_bool_digits: bool, tolerance: float) -> str:
-    filled = row[f"n{i}"]
+    value = F.trim("value")
+    kind = _kind(value, _plain(value, decimal_style)).alias("kind")
+    counted = stacked_values(df, names).filter("value IS NOT NULL").select("column_name", kind).groupBy("column_name", "kind").count()
+    kinds: dict[str, dict[int, int]] = {n: {} for n in names}
+    for r in counted.collect():  # a few classes per column
+        kinds[r["column_name"]][r["kind"]] = r["count"]
+    return {n: _decide(found, infer_bool_digits, tolerance) for n, found in kinds.items()}
+
+
+def _kind(value: Column, plain: Column) -> Column:
+    """Class of a trimmed text, by the first test that holds. Eight digits are a number, never a date."""
+    number = plain.try_cast("double")
+    fraction = F.when(plain.rlike("[eE]"), F.when(number == F.floor(number), WHOLE).otherwise(NUMBER)).otherwise(NUMBER)
+    bits = [
+        F.when(_date(value, f).isNotNull(), F.lit(1 << k)).otherwise(F.lit(0)) for k, (f, _) in enumerate(DATE_FORMATS[:4])
+    ]
+    return (
+        F.when(F.length(value) <= MAX_WORD, F.when(value.isin("0", "1"), DIGIT)
+               .when(F.lower(value).isin(*TRUE_WORDS, *FALSE_WORDS), WORD)
+               .when(plain.rlike(r"^[+-]?\d+(\.0*)?$"), WHOLE).when(plain.rlike(NUMERIC_TEXT), fraction).otherwise(TEXT))
+        .when(plain.rlike(r"^[+-]?\d+(\.0*)?$"), WHOLE)
+        .when(plain.rlike(NUMERIC_TEXT), fraction)
+        .when(value.rlike(ANY_DATE), F.lit(DATE) + bits[0] + bits[1] + bits[2] + bits[3])
+        .otherwise(TEXT)
+    )
+
+
+def _decide(kinds: Mapping[int, int], infer_bool_digits: bool, tolerance: float) -> str:
+    filled = sum(kinds.values())
     if not filled:
         return "text"
-    if row[f"b{i}"] == filled and (infer_bool_digits or row[f"d{i}"] < filled):
+    digits, wholes = kinds.get(DIGIT, 0), kinds.get(DIGIT, 0) + kinds.get(WHOLE, 0)
+    if digits + kinds.get(WORD, 0) == filled and (infer_bool_digits or digits < filled):
         return "boolean"
-
-    def fits(parsed: int) -> bool:
-        return (filled - parsed) / filled < tolerance
-
-    if fits(row[f"v{i}"]):
-        return "integer" if row[f"v{i}"] and row[f"w{i}"] == row[f"v{i}"] else "numeric"
-    for k, fmt in enumerate(DATE_FORMATS):
-        if fits(row[f"f{i}_{k}"]):
+    numbers = wholes + kinds.get(NUMBER, 0)
+    if (filled - numbers) / filled < tolerance:
+        return "integer" if numbers and wholes == numbers else "numeric"
+    for k, (fmt, _) in enumerate(DATE_FORMATS[:4]):
+        read = sum(n for kind, n in kinds.items() if kind >= DATE and (kind - DATE) >> k & 1)
+        if (filled - read) / filled < tolerance:
             return f"date:{fmt}"
     return "text"
 
@@ -127,7 +150,7 @@ def coerce_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
             c = F.when(F.lower(c) == "true", F.lit(True)).when(F.lower(c) == "false", F.lit(False)) if is_text else c.try_cast("boolean")
         elif target == "date":
             if is_text:
-                c = F.coalesce(*[_date(c, f) for f in DATE_FORMATS])
+                c = F.coalesce(*[_date(c, f) for f, _ in DATE_FORMATS])
             elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
                 c = c.cast("date")
         else:
@@ -154,18 +177,15 @@ def time_formats(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[str, st
     """Dominant time format of each text column, by one vote over all non-blank values of all columns."""
     if not names:
         return {}
-    votes = []
-    for i, name in enumerate(names):
-        c = F.trim(column(name))
-        votes.append(F.count_if(F.length(column(name)) > 0).alias(f"n{i}"))
-        votes += [F.count_if(c.rlike(p)).alias(f"t{i}_{k}") for k, (p, _, _) in enumerate(TIME_FORMATS)]
-    row = df.agg(*votes).first()
-
-    def winner(i):
-        filled = row[f"n{i}"]
-        return next((t for k, t in enumerate(TIME_FORMATS) if filled and row[f"t{i}_{k}"] / filled >= VOTE), None)
-
-    return {name: winner(i) for i, name in enumerate(names)}
+    trimmed = F.trim("value")
+    votes = [F.count_if(trimmed.rlike(pattern)).alias(f"votes_{k}") for k, (pattern, _, _) in enumerate(TIME_FORMATS)]
+    counted = stacked_values(df, names).filter(F.length("value") > 0).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("filled"), *votes
+    )
+    shares = {r["column_name"]: [r[f"votes_{k}"] / r["filled"] for k in range(len(votes))] for r in counted.collect()}
+    return {
+        n: next((t for t, share in zip(TIME_FORMATS, shares.get(n, ())) if share >= VOTE), None) for n in names
+    }
 
 
 def normalize_periods(df: DataFrame, names: Sequence[str], dayfirst: bool = True) -> DataFrame:
@@ -186,7 +206,7 @@ def normalize_periods(df: DataFrame, names: Sequence[str], dayfirst: bool = True
             changed[name] = F.when(F.trim(c).rlike(found[0]), iso).otherwise(c)
         elif found is not None and found[1] is not None:
             fmt = "M/d/yyyy" if found[1] == "d/M/yyyy" and not dayfirst else found[1]
-            changed[name] = F.coalesce(F.date_format(_date(c, fmt), "yyyy-MM-dd"), F.trim(c))
+            changed[name] = F.coalesce(F.date_format(_date(c, fmt, found[0]), "yyyy-MM-dd"), F.trim(c))
     return df.withColumns(changed) if changed else df
 
 
