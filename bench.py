@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession, functions as F
@@ -91,6 +92,8 @@ def main() -> None:
             texts.unpersist()
         _timed(spark, build)
         seconds[name] = round(min(_timed(spark, build) for _ in range(RUNS)), 4)
+        if os.environ.get("BENCH_VERBOSE"):
+            print(name, seconds[name], file=sys.stderr, flush=True)
     rates = {n: round(lines * 5 / seconds[n]) for n in seconds if n.startswith("rules_")}
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(seconds.values()), 4), "unit": "sec", "queries": seconds,

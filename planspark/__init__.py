@@ -18,7 +18,7 @@ from .operators.query import (
 from .operators.relationships import calendar_links, detect_relationships, relationship_coverage
 from .operators.rules import apply_rules, preview_rules, rule_mask
 from .operators.scenario import (
-    compute_scenario, period_delta, scenario_periods, scenario_with_projection, screen_base, screen_scenarios,
+    compute_scenario, compute_scenarios, period_delta, scenario_periods, scenario_with_projection, screen_base, screen_scenarios,
     select_base, variance_total,
 )
 from .operators.transform import apply_step, apply_steps, preview_step

@@ -163,11 +163,14 @@ def apply_rules(
         elif rule.type == "multiplier" or rule.offset != 0.0 or mode == "screen":
             todo.append(rule)
 
+    # masks name columns only, so those built on the first table hold on all later ones
+    masks = [rule_mask(current, rule, period_mode, mode) for rule in todo]
+    period = _period_column(current, mode)
+    key = _period_text(current, period)
     while todo:
-        steps, current, solved = _next_steps(current, todo, value, mode, period_mode, max_cells)
-        for step in steps:
-            current = _apply(current, step, value, mode, period_mode)
-        todo = todo[solved:]
+        steps, current, solved = _next_steps(current, todo, masks, value, mode, period, key, max_cells)
+        current = _apply_all(current, steps, masks, value, mode, key)
+        todo, masks = todo[solved:], masks[solved:]
     return current
 
 
@@ -179,9 +182,9 @@ def _period_text(df: DataFrame, period: str | None) -> Column:
     return F.lit(None).cast("string") if period is None else text(column(period), dtype_of(df, period))
 
 
-def _next_steps(df, todo, value, mode, period_mode, max_cells):
+def _next_steps(df, todo, masks, value, mode, period, key, max_cells):
     """Steps still to apply, the table, and how many rules they solve: as many as one pass can, at least one."""
-    period, batch = _period_column(df, mode), []
+    batch = []
     for rule in todo[:MAX_FLAGS]:
         if batch and value in rule.filters:
             break  # its filter must see the values left by the rules before it
@@ -190,9 +193,9 @@ def _next_steps(df, todo, value, mode, period_mode, max_cells):
         steps = [_Step(r, factor=r.factor if r.type == "multiplier" else 1.0) for r in batch]
         return steps, df, len(steps)
 
-    cells = _cells(df, batch, value, mode, period_mode, period, max_cells)
+    cells = _cells(df, batch, masks, value, mode, period, key, max_cells)
     if cells is None:
-        return _first_by_join(df, batch[0], value, mode, period_mode, period)
+        return _first_by_join(df, batch[0], masks[0], value, mode, period, key)
     steps = []
     for position, rule in enumerate(batch):
         try:
@@ -202,14 +205,14 @@ def _next_steps(df, todo, value, mode, period_mode, max_cells):
     return steps, df, len(steps)
 
 
-def _cells(df, batch, value, mode, period_mode, period, max_cells) -> list[_Cell] | None:
+def _cells(df, batch, masks, value, mode, period, key, max_cells) -> list[_Cell] | None:
     """One aggregate over the rows; ``None`` when there are too many cells for the driver."""
     flags = F.lit(0).cast("bigint")
-    for position, rule in enumerate(batch):
-        flags = flags + F.when(rule_mask(df, rule, period_mode, mode), F.lit(1 << position)).otherwise(F.lit(0))
+    for position, mask in enumerate(masks[:len(batch)]):
+        flags = flags + F.when(mask, F.lit(1 << position)).otherwise(F.lit(0))
     by_period = any(_per_period(r, mode, period) for r in batch)
     grouped = (
-        df.select(flags.alias("flags"), _period_text(df, period if by_period else None).alias("period"),
+        df.select(flags.alias("flags"), (key if by_period else F.lit(None).cast("string")).alias("period"),
                   column(value).alias("v"))
         .filter("flags > 0")
         .groupBy("flags", "period", F.signum("v").alias("sign"))
@@ -268,42 +271,58 @@ def _period_count(rule: Rule, mode: str, found: int) -> int:
     return max(found, 1)
 
 
-def _apply(df: DataFrame, step: _Step, value: str, mode: str, period_mode: str) -> DataFrame:
-    mask, shift = rule_mask(df, step.rule, period_mode, mode), F.lit(step.shift)
-    if step.by_period is not None:
-        # at most MAX_CELLS short rows, so the broadcast is bounded
-        shares = df.sparkSession.createDataFrame(list(step.by_period.items()), "_p string, _s double")
-        key = _period_text(df, _period_column(df, mode))
-        df = df.join(F.broadcast(shares), key.eqNullSafe(F.col("_p")), "left")
-        shift = F.coalesce(F.col("_s"), F.lit(0.0))
-    return df.withColumn(value, _changed(step, mask, shift, value, mode)).drop("_p", "_s")
-
-
-def _changed(step: _Step, mask: Column, shift: Column, value: str, mode: str) -> Column:
-    v, shifts = column(value), step.by_period is not None or step.shift != 0.0
+def _apply_all(df, steps, masks, value, mode, key) -> DataFrame:
+    """All steps in order. Steps that read the value once are nested into one expression."""
+    df, shares = _with_period_shares(df, steps, key)
+    plain = column(value)
+    pending = plain
+    for i, (step, mask) in enumerate(zip(steps, masks)):
+        if pending is not plain and (mode == "screen" or step.share):
+            df, pending = df.withColumn(value, pending), plain
+        shift = F.coalesce(F.col(shares[i]), F.lit(0.0)) if i in shares else F.lit(step.shift)
+        pending = _changed(step, mask, shift, pending, mode)
+    df = df if pending is plain else df.withColumn(value, pending)
+    return df.drop("_p", *shares.values())
+
+
+def _with_period_shares(df, steps, key) -> tuple[DataFrame, dict[int, str]]:
+    """The rows with the even shares of all steps for their period, by one join; names of the share columns."""
+    spread = {i: step.by_period for i, step in enumerate(steps) if step.by_period is not None}
+    if not spread:
+        return df, {}
+    names = {i: f"_s{i}" for i in spread}
+    periods = dict.fromkeys(p for shares in spread.values() for p in shares)
+    rows = [(p, *[shares.get(p, 0.0) for shares in spread.values()]) for p in periods]
+    shape = ", ".join(["_p string", *[f"{n} double" for n in names.values()]])
+    table = df.sparkSession.createDataFrame(rows, shape)
+    # at most MAX_CELLS short rows, so the broadcast is bounded
+    return df.join(F.broadcast(table), key.eqNullSafe(F.col("_p")), "left"), names
+
+
+def _changed(step: _Step, mask: Column, shift: Column, v: Column, mode: str) -> Column:
+    shifts = step.by_period is not None or step.shift != 0.0
     if mode == "screen":
-        v = F.coalesce(v, F.lit(0.0))
+        filled = F.coalesce(v, F.lit(0.0))
         if shifts:
-            v = v + shift
+            new = filled + shift
         elif step.share:
-            v = v + F.abs(v) * step.share
+            new = filled + F.abs(filled) * step.share
         else:
-            v = v * step.factor
-        return F.when(mask, half_up_cents(v)).otherwise(column(value))
+            new = filled * step.factor
+        return F.when(mask, half_up_cents(new)).otherwise(v)
     if shifts:
         return v + F.when(mask, shift).otherwise(F.lit(0.0))
     if step.share:
         return v + F.abs(v) * F.when(mask, F.lit(step.share)).otherwise(F.lit(0.0))
-    return v * F.when(mask, F.lit(step.factor)).otherwise(F.lit(1.0))
+    return v if step.factor == 1.0 else v * F.when(mask, F.lit(step.factor)).otherwise(F.lit(1.0))
 
 
-def _first_by_join(df, rule, value, mode, period_mode, period):
+def _first_by_join(df, rule, mask, value, mode, period, key):
     """The first rule alone, for tables with too many cells: row counts per period stay a distributed table."""
-    mask, v = rule_mask(df, rule, period_mode, mode), column(value)
+    v = column(value)
     if not (_spreads(rule) and _per_period(rule, mode, period)):
         rows, total = df.filter(mask).agg(F.count(F.lit(1)), precise_sum(F.abs(v))).first()
         return [_solve(rule, [_Cell(1, 1, None, rows, total)], mode, period)], df, 1
-    key = _period_text(df, period)
     counts = df.filter(mask).groupBy(key.alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"), precise_sum(F.abs(v)).alias("_t")
     )
@@ -313,7 +332,7 @@ def _first_by_join(df, rule, value, mode, period_mode, period):
     joined = df.join(counts.drop("_t"), key.eqNullSafe(F.col("_p")), "left")
     shift = F.coalesce(F.lit(share) / F.col("_n"), F.lit(0.0))
     spread = _Step(rule, by_period={})
-    return [], joined.withColumn(value, _changed(spread, mask, shift, value, mode)).drop("_p", "_n"), 1
+    return [], joined.withColumn(value, _changed(spread, mask, shift, v, mode)).drop("_p", "_n"), 1
 
 
 def preview_rules(

@@ -60,19 +60,43 @@ def compute_scenario(
     Rows taken over from another scenario count as actual, also those it projected, and keep the
     ``baseline_<value>`` of the first scenario in the chain.
     """
-    return _compute(base, Scenario.of(scenario), _by_id(scenarios), value, period_mode, 0)
+    return _compute(base, Scenario.of(scenario), _by_id(scenarios), value, period_mode, 0, {})
 
 
-def _compute(actuals, scenario, known, value, period_mode, depth):
+def compute_scenarios(
+    base: DataFrame,
+    scenarios: Sequence[Scenario | Mapping],
+    value: str = "amount",
+    period_mode: str = "prefix",
+) -> dict[str, DataFrame]:
+    """All scenarios by name. One that others start from is worked out once, so its totals are read once."""
+    known, done = _by_id(scenarios), {}
+    return {s.name: _compute(base, s, known, value, period_mode, 0, done) for s in known.values()}
+
+
+def _compute(actuals, scenario, known, value, period_mode, depth, done):
     if depth > MAX_CHAIN:
         log.warning("scenario chain is deeper than %d, using actuals", MAX_CHAIN)
         return actuals
+    if scenario.id in done:
+        return done[scenario.id]
     config, rows = scenario.base, actuals
     if config.source == "scenario" and config.source_scenario_id in known:
-        rows = _compute(actuals, known[config.source_scenario_id], known, value, period_mode, depth + 1)
+        rows = _compute(actuals, known[config.source_scenario_id], known, value, period_mode, depth + 1, done)
     rows = select_base(rows, config, period_mode=period_mode)
     targets = sorted({m for rule in scenario.rules for m in rule.target_months()})
-    return apply_rules(project_future(rows, targets), scenario.rules, value, period_mode=period_mode)
+    output = apply_rules(project_future(rows, targets), scenario.rules, value, period_mode=period_mode)
+    if depth + _chain_length(scenario, known) <= MAX_CHAIN:
+        done[scenario.id] = output  # a chain cut off at the limit depends on where it was entered
+    return output
+
+
+def _chain_length(scenario: Scenario, known: Mapping[str, Scenario]) -> int:
+    """Links to the actuals, counted to just past the limit."""
+    links = 0
+    while links <= MAX_CHAIN and scenario.base.source == "scenario" and scenario.base.source_scenario_id in known:
+        scenario, links = known[scenario.base.source_scenario_id], links + 1
+    return links
 
 
 def scenario_with_projection(
@@ -86,7 +110,7 @@ def scenario_with_projection(
     scenario, known = Scenario.of(scenario), _by_id(scenarios)
     spec, rows = ProjectionSpec.of(projection), actuals
     if scenario.base.source == "scenario" and scenario.base.source_scenario_id in known:
-        rows = _compute(actuals, known[scenario.base.source_scenario_id], known, value, "prefix", 1)
+        rows = _compute(actuals, known[scenario.base.source_scenario_id], known, value, "prefix", 1, {})
     return project_then_rules(select_base(rows, scenario.base), spec, scenario.rules, value)
 
 

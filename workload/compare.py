@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planspark import (
-    apply_rules, chart_series, comparison, comparison_pivot, compute_scenario, variance, variance_totals, waterfall,
+    apply_rules, chart_series, comparison, comparison_pivot, compute_scenario, compute_scenarios, variance, variance_totals, waterfall,
     waterfall_screen,
 )
 from .registry import SALES, cents, exact, money, query, rounded, sales
@@ -89,7 +89,7 @@ COMPARED = f"""{GROWTH_SQL}, r3 AS (SELECT period, c_mktsegment, l_returnflag,
 
 def _scenarios(spark, sf):
     rows = dated(spark, sf)
-    return rows, {s["name"]: compute_scenario(rows, s, [GROWTH, CUT], V) for s in (GROWTH, CUT)}
+    return rows, compute_scenarios(rows, [GROWTH, CUT], V)
 
 
 @query("comparison", f"""WITH {COMPARED}, k AS (SELECT period, {exact('a')} AS a, {exact('g')} AS g, {exact('c')} AS c FROM u GROUP BY 1)

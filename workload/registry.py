@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,7 +26,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@lru_cache(maxsize=None)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table. The frame is kept, so its files are listed and their schema read only once."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
