@@ -117,10 +117,13 @@ def upsert_labels(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.select(*columns)
 
 
-def _labels_of(labels: DataFrame, name: str, dataset: str | None) -> DataFrame:
+def _labels_of(labels: DataFrame, name: str, dataset: str | None, values: DataFrame) -> DataFrame:
+    """One label per listed value."""
     mine = labels.filter(F.col("column_name") == name)
     if dataset is not None and "dataset" in labels.columns:
         mine = mine.filter(F.col("dataset") == dataset)
+    listed = values.select(F.col("value").alias("raw_value"))
+    mine = mine.join(F.broadcast(listed), "raw_value", "left_semi")
     return mine.groupBy("raw_value").agg(F.max(F.struct("display_label", "category")).alias("_l"))
 
 
@@ -144,9 +147,9 @@ def dimension_values(
     first = values.distinct().orderBy("_v").limit(top)
     if labels is None:
         return first.orderBy("_v").select("value")
-    # at most `top` values meet the labels, so this side is the one to broadcast
-    mine = _labels_of(labels, name, dataset)
-    joined = F.broadcast(first).join(mine, F.col("value") == F.col("raw_value"), "left")
+    # at most `top` values on either side: the labels are first cut down to those values
+    mine = _labels_of(labels, name, dataset, first)
+    joined = first.join(F.broadcast(mine), F.col("value") == F.col("raw_value"), "left")
     category = F.when(F.col("_l.category") != "", F.col("_l.category"))
     return joined.orderBy("_v").select("value", F.col("_l.display_label").alias("label"), category.alias("category"))
 
