@@ -123,9 +123,8 @@ def comparison_pivot_(spark, sf):
 @query("chart_series", f"""WITH {COMPARED}, k AS (
         SELECT period, {exact('a')} AS a, {exact('g')} AS g, {exact('c')} AS c, COUNT(a) AS n FROM u GROUP BY 1)
     SELECT period AS label, period, {rounded('a')} AS "Actuals", {rounded('g')} AS "Growth", {rounded('c')} AS "Cut"
-    FROM k WHERE n > 0 AND period >= '1996-06' ORDER BY period LIMIT 25""")
+    FROM k WHERE n > 0 ORDER BY period LIMIT 25""")
 def chart_series_(spark, sf):
     rows, outputs = _scenarios(spark, sf)
-    late = F.col("period") >= "1996-06"
-    got = chart_series(rows.filter(late), {n: df.filter(late) for n, df in outputs.items()}, ["period"], V)
+    got = chart_series(rows, outputs, ["period"], V)
     return cents(got, "Actuals", "Growth", "Cut")

@@ -90,11 +90,11 @@ def detect_relationships_(spark, sf):
     FROM (SELECT 'event_date' AS c, min(strftime(ts, '%Y-%m-%d')) AS sample FROM events
           UNION ALL SELECT 'event_month', min(strftime(ts, '%Y-%m')) FROM events)""")
 def calendar_link(spark, sf):
-    # a month later for some users, so that the month column has more than one value
+    # a month later for some types, so that the month column has more than one value
     ts = F.col("ts")
     events = table(spark, sf, "events").select(
         F.date_format(ts, "yyyy-MM-dd").alias("event_date"),
-        F.when(F.col("user_id") % 2 == 0, F.date_format(ts, "yyyy-MM"))
+        F.when(F.col("event_type") != "error", F.date_format(ts, "yyyy-MM"))
         .otherwise(F.date_format(F.add_months(ts, 1), "yyyy-MM")).alias("event_month"), "event_type", "value")
     profile, _ = profile_columns(events)
     links = calendar_links("events", profile)

@@ -134,10 +134,12 @@ SEASON = {
     "rules": [
         {"type": "multiplier", "factor": 1.0375, "periodFrom": "2002-01", "periodTo": "2002-03"},
         {"type": "offset", "offset": 60000, "distribution": "equal", "filters": BUILDING, "periodFrom": "2002-01", "periodTo": "2002-03"},
+        {"type": "multiplier", "factor": 1.0625, "filters": {"c_mktsegment": ["MACHINERY"]}, "periodFrom": "1997-03", "periodTo": "1997-05"},
     ],
 }
 SEASON_RULES = step(1, "period BETWEEN '2002-01' AND '2002-03'", "scale", "1.0375::DOUBLE", True).replace("FROM r0)", "FROM e0)") + ", " + step(
-    2, "c_mktsegment = 'BUILDING' AND period BETWEEN '2002-01' AND '2002-03'", "equal", "60000.0::DOUBLE", True, "3.0::DOUBLE")
+    2, "c_mktsegment = 'BUILDING' AND period BETWEEN '2002-01' AND '2002-03'", "equal", "60000.0::DOUBLE", True, "3.0::DOUBLE") + ", " + step(
+    3, "c_mktsegment = 'MACHINERY' AND period BETWEEN '1997-03' AND '1997-05'", "scale", "1.0625::DOUBLE", True)
 
 
 def _season_rows(spark, sf):
@@ -174,7 +176,7 @@ def _season(spark, sf):
 
 
 @query("ui_variance_total", f"""WITH {SEASONAL_SQL}, {SEASON_RULES},
-    t AS (SELECT (SELECT {exact('v')} FROM r2) AS s, (SELECT {exact('v')} FROM e0) AS b)
+    t AS (SELECT (SELECT {exact('v')} FROM r3) AS s, (SELECT {exact('v')} FROM e0) AS b)
     SELECT {rounded('s')} AS total, {rounded('b')} AS base_total, {rounded('s - b')} AS variance,
            ROUND(CAST(s - b AS DOUBLE) / CAST(b AS DOUBLE) * 100, 6) AS pct FROM t""")
 def ui_variance_total(spark, sf):
@@ -184,10 +186,9 @@ def ui_variance_total(spark, sf):
 
 
 @query("ui_period_delta", f"""WITH {SEASONAL_SQL}, {SEASON_RULES},
-    s AS (SELECT period, {exact('v')} AS s FROM r2 GROUP BY 1), b AS (SELECT period, {exact('v')} AS b FROM e0 GROUP BY 1)
-    SELECT s.period, {rounded('s - b')} AS delta FROM s JOIN b ON s.period = b.period WHERE s.period >= '1997-10'
+    s AS (SELECT period, {exact('v')} AS s FROM r3 GROUP BY 1), b AS (SELECT period, {exact('v')} AS b FROM e0 GROUP BY 1)
+    SELECT s.period, {rounded('s - b')} AS delta FROM s JOIN b ON s.period = b.period
     ORDER BY s.period LIMIT 6""")
 def ui_period_delta(spark, sf):
     season = _season(spark, sf)
-    late = F.col("period") >= "1997-10"
-    return cents(period_delta(season.base.filter(late), season.scenario.filter(late), V), "delta")
+    return cents(period_delta(season.base, season.scenario, V), "delta")

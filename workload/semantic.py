@@ -44,39 +44,42 @@ def _labels(spark, sf):
                           F.col("n_name").alias("display_label"), F.col("r_name").alias("category"))
 
 
-@query("upsert_labels", f"""WITH {LABELS_SQL}, c AS (
-        SELECT CAST(c_custkey AS VARCHAR) AS raw_value, max(c_name) AS name FROM customer WHERE c_custkey < 40 GROUP BY 1)
-    SELECT 'c_nationkey' AS column_name, COALESCE(l.raw_value, c.raw_value) AS raw_value,
-           COALESCE(c.name, l.display_label) AS display_label,
-           CASE WHEN CAST(c.raw_value AS BIGINT) % 2 = 0 THEN 'even' ELSE l.category END AS category
-    FROM labels_ l FULL JOIN c ON l.raw_value = c.raw_value""")
+@query("upsert_labels", """WITH c AS (
+        SELECT CAST(o_custkey AS VARCHAR) AS raw_value, arg_max('Order ' || o_orderkey, o_orderkey) AS label,
+               arg_max('closed by ' || o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS cat FROM orders GROUP BY 1)
+    SELECT 'c_custkey' AS column_name, COALESCE(raw_value, CAST(c_custkey AS VARCHAR)) AS raw_value,
+           COALESCE(label, c_name) AS display_label, COALESCE(cat, c_mktsegment) AS category
+    FROM customer FULL JOIN c ON raw_value = CAST(c_custkey AS VARCHAR)""")
 def upsert_labels_(spark, sf):
-    key = F.col("c_custkey")
-    incoming = table(spark, sf, "customer").filter(key < 40).select(
-        F.lit("c_nationkey").alias("column_name"), key.cast("string").alias("raw_value"), F.col("c_name").alias("display_label"),
-        F.when(key % 2 == 0, F.lit("even")).alias("category"), key.alias("seq"))
-    stale = incoming.withColumns({"display_label": F.lit("stale"), "seq": F.col("seq") - 1, "category": F.lit(None).cast("string")})
-    blank = incoming.withColumn("raw_value", F.lit(""))
-    return upsert_labels(_labels(spark, sf), incoming.unionByName(stale).unionByName(blank))
+    column = F.lit("c_custkey").alias("column_name")
+    known = table(spark, sf, "customer").select(
+        column, F.col("c_custkey").cast("string").alias("raw_value"), F.col("c_name").alias("display_label"),
+        F.col("c_mktsegment").alias("category"))
+    closed = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("closed by "), F.col("o_orderpriority")))
+    incoming = table(spark, sf, "orders").select(
+        column, F.col("o_custkey").cast("string").alias("raw_value"),
+        F.concat(F.lit("Order "), F.col("o_orderkey")).alias("display_label"), closed.alias("category"), F.col("o_orderkey").alias("seq"))
+    return upsert_labels(known, incoming.unionByName(incoming.withColumn("raw_value", F.lit(""))))
 
 
 @query("glossary", f"""WITH {LABELS_SQL},
     r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY raw_value) AS i FROM labels_),
     cats AS (SELECT lower(category) AS phrase, 'c_nationkey IN [' || string_agg(CASE WHEN i <= 5 THEN '''' || raw_value || '''' END, ', ' ORDER BY i)
              || CASE WHEN COUNT(*) > 5 THEN '...' ELSE '' END || ']' AS maps_to, category FROM r GROUP BY category),
-    defs AS (SELECT lower(r_name) AS phrase, 'r_name = "' || r_name || '"' AS maps_to, r_regionkey FROM region WHERE r_regionkey < 2),
-    allp AS (SELECT 1 AS part, CAST(r_regionkey AS VARCHAR) AS k, phrase, maps_to FROM defs
-             UNION ALL SELECT 3, '0' || category, phrase, maps_to FROM cats
-             UNION ALL SELECT 3, '1', 'country', 'column: c_nationkey'),
-    numbered AS (SELECT *, row_number() OVER (ORDER BY part, k) AS pos FROM allp)
+    allp AS (SELECT 1 AS part, 0 AS sub, CAST(r_regionkey AS VARCHAR) AS k, lower(r_name) AS phrase, 'r_name = "' || r_name || '"' AS maps_to
+             FROM region WHERE r_name <> 'ASIA'
+             UNION ALL SELECT 3, 0, category, phrase, maps_to FROM cats
+             UNION ALL SELECT 3, 1, printf('%04d', n_nationkey), 'country ' || lower(n_name), 'column: c_nationkey' FROM nation),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY part, sub, k) AS pos FROM allp)
     SELECT pos, phrase, maps_to FROM (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY pos) AS d FROM numbered WHERE pos <= 30)
     WHERE d = 1""")
 def glossary_(spark, sf):
-    regions = table(spark, sf, "region")
-    definitions = regions.filter("r_regionkey < 2").select(
+    # one category is defined nowhere else, the others are outranked by a definition
+    definitions = table(spark, sf, "region").filter("r_name <> 'ASIA'").select(
         F.col("r_regionkey").alias("seq"), F.lit("r_name").alias("column_name"), F.col("r_name").alias("value"), F.col("r_name").alias("term"))
-    synonyms = regions.filter("r_regionkey = 0").select(
-        F.lit(1).alias("seq"), F.lit("c_nationkey").alias("column_name"), F.lit("Country").alias("synonym"))
+    synonyms = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("seq"), F.lit("c_nationkey").alias("column_name"),
+        F.concat(F.lit("Country "), F.col("n_name")).alias("synonym"))
     return glossary(_labels(spark, sf), synonyms, definitions)
 
 
