@@ -21,8 +21,8 @@ from .operators.scenario import (
     compute_scenario, compute_scenarios, period_delta, scenario_periods, scenario_with_projection, screen_base, screen_scenarios,
     select_base, variance_total,
 )
-from .operators.transform import apply_step, apply_steps, preview_step
+from .operators.transform import apply_step, apply_steps, mark_applied, output_role, preview_step, reject
 from .plans.specs import BaseConfig, ProjectionSpec, QuerySpec, Relationship, Rule, Scenario, TableModel
 from .sources.infer import coerce_types, infer_types, normalize_period
 from .sources.naming import sanitize_columns
-from .sources.tables import IngestResult, export_rows, ingest_table, read_delimited, write_typed
+from .sources.tables import IngestResult, export_rows, ingest_table, read_delimited, write_table, write_typed

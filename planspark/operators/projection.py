@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.periods import MONTH_NAMES, next_months
-from ..functions.values import INTERNAL_COLUMNS, column, dtype_of, find_period, month_of, precise_avg, text
+from ..functions.values import INTERNAL_COLUMNS, column, dtype_of, find_period, is_temporal, month_of, precise_avg, text
 from ..plans.specs import BaseConfig, ProjectionSpec, Rule
 from .rules import apply_rules, screen_period
 
@@ -23,6 +23,11 @@ def _period_text(df: DataFrame, period: str) -> Column:
     return text(column(period), dtype_of(df, period))
 
 
+def with_text_period(df: DataFrame, period: str) -> DataFrame:
+    """Native dates as ISO text, the form in which projected months are written."""
+    return df.withColumn(period, _period_text(df, period)) if is_temporal(dtype_of(df, period)) else df
+
+
 def _one_per_target(df: DataFrame, targets: Sequence[str], out: str) -> DataFrame:
     return df.withColumn(out, F.explode(F.array(*[F.lit(t) for t in targets])))
 
@@ -40,9 +45,10 @@ def last_period_and_missing(
 def project_future(df: DataFrame, targets: Sequence[str], period: str | None = None) -> DataFrame:
     """``df`` plus a copy of its last month for each target month it lacks, tagged in ``_data_source``."""
     name = period or find_period(df)
-    actual = df.withColumn("_data_source", F.lit("actual"))
     if name is None or not targets:
-        return actual
+        return df.withColumn("_data_source", F.lit("actual"))
+    df = with_text_period(df, name)
+    actual = df.withColumn("_data_source", F.lit("actual"))
     last, missing = last_period_and_missing(df, targets, name)
     if last is None or not missing:
         return actual
@@ -107,6 +113,8 @@ def project_then_rules(
     value: str = "amount",
 ) -> DataFrame:
     """Actual rows plus projected rows, with the rules applied to both."""
+    period = find_period(df)
+    df = with_text_period(df, period) if period else df
     combined = df.withColumn("_data_source", F.lit("actual"))
     projected = project(df, spec, value) if spec is not None else None
     if projected is not None:
@@ -193,6 +201,7 @@ def _under_target(df: DataFrame, rows: DataFrame, period: str) -> DataFrame:
 def seasonal_rows(df: DataFrame, plan: Mapping[str, str | None], value: str, period: str) -> DataFrame:
     if not plan:
         return df
+    df = with_text_period(df, period)
     rows = _templates(df, plan, value, period)
     projected = _under_target(df, rows, period).withColumns({
         "_data_source": F.lit("projected"), "_baseline_period": F.col("_template"),
@@ -207,6 +216,7 @@ def comparison_base(
     name = period or screen_period(df)
     if name is None or not plan:
         return df
+    df = with_text_period(df, name)
     rows = _templates(df, plan, value, name)
     shifted = _under_target(df, rows, name).withColumn("_is_comparison_base", F.lit(True))
     return df.unionByName(shifted.drop("_target", "_template"), allowMissingColumns=True)

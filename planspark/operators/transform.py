@@ -107,7 +107,7 @@ def apply_step(df: DataFrame, step: Mapping) -> DataFrame:
 def apply_steps(df: DataFrame, steps: Sequence[Mapping]) -> DataFrame:
     """Pending and approved steps in ``step_order``, each output stored in its declared type.
 
-    All steps fold into the same scan. Write the result as a new table version with ``write_typed``.
+    All steps fold into the same scan. Write the result as a new table version with ``write_table``.
     """
     todo = [s for s in steps if s.get("status", "pending") in ("pending", "approved")]
     for step in sorted(todo, key=lambda s: s.get("step_order", 0)):
@@ -118,6 +118,23 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping]) -> DataFrame:
     return df
 
 
+def mark_applied(steps: Sequence[Mapping]) -> list[dict]:
+    """The steps with the ones that :func:`apply_steps` runs set to applied."""
+    return [{**s, "status": "applied"} if s.get("status", "pending") in ("pending", "approved") else dict(s) for s in steps]
+
+
+def reject(step: Mapping) -> dict:
+    """The step set to rejected; an applied step has already changed the table and cannot be."""
+    if step.get("status") == "applied":
+        raise ValueError("an applied step cannot be rejected")
+    return {**step, "status": "rejected"}
+
+
+def output_role(step: Mapping) -> str:
+    """Role of a step's output column."""
+    return "attribute" if step.get("output_type", "text") == "text" else "measure"
+
+
 @dataclass(frozen=True)
 class Preview:
     columns_before: list[str] = field(default_factory=list)

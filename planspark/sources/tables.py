@@ -6,7 +6,8 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.values import column, is_temporal, resolve
 from ..operators.profile import ColumnProfile, profile_columns
@@ -27,16 +28,21 @@ def sniff_separator(header: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, null_tokens: Sequence[str] = NULL_TOKENS
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    null_tokens: Sequence[str] = NULL_TOKENS,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text with a header line, every column as text; null tokens and empty fields become NULL.
 
     ``path`` may be a file, a folder or a pattern. A byte order mark is dropped; broken UTF-8 is replaced.
+    ``multi_line=True`` allows line breaks inside quotes; a file is then read by one task.
     """
     if sep is None:
         first = None if path.lower().endswith(".tsv") else spark.read.text(path).first()
         sep = "\t" if path.lower().endswith(".tsv") else sniff_separator(first[0] if first else "")
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=False, escape='"')
+    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, escape='"')
     names = [c.lstrip("﻿") for c in raw.columns]
     raw = raw.toDF(*names)
     return raw.select(*[F.when(~column(c).isin(*null_tokens), column(c)).alias(c) for c in names])
@@ -74,25 +80,40 @@ def _is_time_like(df: DataFrame, name: str) -> bool:
     return isinstance(dtype, T.StringType) or is_temporal(dtype)
 
 
-def write_typed(
-    df: DataFrame, types: Mapping[str, str], path: str, partition_by: str | None = None, mode: str = "overwrite"
-) -> int:
-    """Coerce to the declared types, add ``_row_id``, write Parquet; returns the rows written.
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> int:
+    """Write Parquet and return the rows written.
 
-    The count is observed while writing. With ``partition_by`` the rows are first rebalanced on that column,
-    which cuts a period holding much of the data into several files instead of one task.
+    The rows are counted from the footers of the written files, since a metric observed while writing counts
+    rows twice when a lost executor's tasks run again. With ``partition_by`` the rows are first rebalanced on
+    that column, which cuts a period holding much of the data into several files instead of one task.
     """
-    typed = coerce_types(df, types)
-    typed = typed.select(*[column(n).try_cast(STORED_TYPES[types.get(n, "text")]).alias(n) for n in typed.columns if n != "_row_id"])
-    numbered = typed.withColumn("_row_id", F.monotonically_increasing_id())
-    seen = Observation()
-    observed = numbered.observe(seen, F.count(F.lit(1)).alias("rows"))
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be overwrite or append, got {mode!r}")
+    before = stored_rows(df.sparkSession, path) if mode == "append" else 0
     if partition_by:
-        resolve(typed, partition_by)
-        observed.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
+        df.hint("rebalance", resolve(df, partition_by)).write.mode(mode).partitionBy(partition_by).parquet(path)
     else:
-        observed.write.mode(mode).parquet(path)
-    return seen.get["rows"]
+        df.write.mode(mode).parquet(path)
+    return stored_rows(df.sparkSession, path) - before
+
+
+def stored_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a stored table, 0 when there is none yet."""
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+
+
+def write_typed(
+    df: DataFrame, types: Mapping[str, str], path: str, partition_by: str | None = None, mode: str = "overwrite"
+) -> int:
+    """Coerce to the declared types, add ``_row_id`` and write with :func:`write_table`."""
+    typed = coerce_types(df, types)
+    stored = [column(n).try_cast(STORED_TYPES[types.get(n, "text")]).alias(n) for n in typed.columns if n != "_row_id"]
+    return write_table(typed.select(*stored).withColumn("_row_id", F.monotonically_increasing_id()), path, partition_by, mode)
 
 
 def export_rows(df: DataFrame) -> DataFrame:

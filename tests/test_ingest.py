@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from planspark import (
     coerce_types, export_rows, infer_types, ingest_table, measure_stats, normalize_period, profile_columns, read_delimited,
-    sanitize_columns, write_typed,
+    sanitize_columns, write_table, write_typed,
 )
 from planspark.operators.profile import column_facts, default_fact, detect_role, is_fact
 from planspark.sources.infer import infer_schema
@@ -162,6 +162,13 @@ def test_written_table_is_typed_counted_and_numbered(spark, tmp_path):
     back = spark.read.parquet(path)
     assert dict(back.dtypes)["v"] == "decimal(18,4)" and back.select("_row_id").distinct().count() == 2
     assert rows(back.select("k", F.col("v").cast("string"))) == [(1, "2.5000"), (None, "3.0000")]
+    assert write_table(back, str(tmp_path / "u"), mode="append") == 2 == write_table(back, str(tmp_path / "u"), mode="append")
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n1,"x\ny"\n')
+    assert rows(read_delimited(spark, str(path), multi_line=True)) == [("1", "x\ny")]
 
 
 def test_export_is_fit_for_json(spark):

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from planspark import (
-    BaseConfig, aggregate_rule, apply_rules, apply_step, apply_steps, auto_labels_for, available_periods, calendar_dim,
+    TableModel, aggregate_rule, apply_rules, apply_step, apply_steps, auto_labels_for, available_periods, build_all_baselines, calendar_dim,
     calendar_links, chart_series, comparison, comparison_pivot, comparison_totals, derive_period, detect_relationships,
     dimension_size, dimension_values, eval_metric, filter_values, first_per_key, glossary, grouping_values, join_dimension,
-    metric_ratio, pivot_long, pivot_wide, preview_step, profile_columns, query_grouped, relationship_coverage, run_query,
+    mark_applied, metric_ratio, output_role, pivot_long, pivot_wide, preview_step, profile_columns, query_grouped, reject, relationship_coverage, run_query,
     screen_filter, sort_pivot, upsert_labels, value_column, variance, variance_totals, waterfall, waterfall_screen,
 )
 from planspark.operators.labels import describing_column
@@ -127,6 +127,14 @@ def test_pivot_order(facts, mode, rowf, first):
     assert got.filter("pos = 1").first()[rowf] == first
 
 
+def test_many_pivot_columns(spark):
+    df = spark.range(600).select((F.col("id") % 3).cast("string").alias("r"), F.format_string("c%03d", F.col("id") % 150).alias("c"), F.lit(1.5).alias("v"))
+    wide = pivot_wide(df, ["r"], "c", "v")
+    assert len(wide.columns) == 152
+    got = wide.filter("r = '1'").first()
+    assert (got["c001"], got["c000"], got["_total"]) == (6.0, 0.0, 300.0)
+
+
 # --- comparison ----------------------------------------------------------------------------------------------
 
 def sides(spark):
@@ -222,6 +230,22 @@ def test_steps_preview_and_errors(spark):
     assert done.columns == ["i", "a", "b", "d"] and dict(done.dtypes)["d"] == "bigint"
 
 
+def test_step_status():
+    steps = [{"status": "pending"}, {"status": "rejected"}, {}]
+    assert [s["status"] for s in mark_applied(steps)] == ["applied", "rejected", "applied"]
+    assert reject({"status": "pending"}) == {"status": "rejected"} and output_role({}) == "attribute"
+    assert output_role({"output_type": "numeric"}) == "measure"
+    with pytest.raises(ValueError):
+        reject({"status": "applied"})
+
+
+def test_all_baselines(spark, facts):
+    dim = spark.createDataFrame([("a", "Alpha")], "seg string, name string")
+    model = TableModel({"f": facts, "d": dim}, [Relationship("f", "seg", "d", "seg")])
+    wide = build_all_baselines(model)
+    assert sorted(wide) == ["d", "f"] and wide["f"].count() == 4 and wide["f"].columns[-1] == "name"
+
+
 # --- labels and metrics --------------------------------------------------------------------------------------
 
 LABEL = "column_name string, raw_value string, display_label string, category string"

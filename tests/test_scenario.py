@@ -48,6 +48,13 @@ def test_months_that_exist_are_not_projected_also_at_day_grain(spark):
         ("2025-01", 1.0, "projected"), ("2025-01", 2.0, "projected")]
 
 
+def test_native_dates_become_text_when_months_are_projected(base):
+    dated = base.withColumn("period", F.to_date(F.concat("period", F.lit("-05"))))
+    scenario = {"id": "s", "base_config": {"base_year": 2024}, "rules": [{"type": "multiplier", "factor": 2, "periodFrom": "2025-01"}]}
+    got = compute_scenario(dated, scenario).select("period", "amount")
+    assert rows(got) == [("2024-11-05", 10.0), ("2024-12-05", 20.0), ("2024-12-05", 30.0), ("2025-01", 40.0), ("2025-01", 60.0)]
+
+
 def test_empty_base_projects_nothing(base):
     got = compute_scenario(base, {"id": "s", "base_config": {"base_year": 1999}, "rules": [
         {"type": "offset", "offset": 5, "periodFrom": "2025-01"}]})
