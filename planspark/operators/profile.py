@@ -71,16 +71,16 @@ def detect_roles(profile: Sequence[ColumnProfile], rows: int) -> dict[str, str]:
     }
 
 
-def _text_number(c: Column) -> Column:
-    """Number in a text with currency signs, decimal comma or thousands dots; NULL when there is none."""
-    bare = F.replace(F.translate(c, "€$£¥ \t\u00a0", ""), F.lit(","), F.lit("."))
-    plain = F.when(bare.rlike(r"\..*\."), F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare)
-    return text_to_double(plain)
-
-
 def _looked_at(values: DataFrame) -> DataFrame:
-    """Adds the number in each text, computed once."""
-    return values.select("*", F.trim("value").alias("_text"), _text_number(F.col("value")).alias("_number"))
+    """Adds the trimmed text and the number in it: currency signs dropped, decimal comma and thousands dots read.
+
+    Built in steps, so that each form of the text is computed once.
+    """
+    bare = F.replace(F.translate("value", "€$£¥ \t\u00a0", ""), F.lit(","), F.lit("."))
+    stripped = values.select("*", F.trim("value").alias("_text"), bare.alias("_bare"))
+    no_dots = F.replace("_bare", F.lit("."), F.lit(""))
+    plain = stripped.select("*", F.when(F.col("_bare").rlike(r"\..*\."), no_dots).otherwise(F.col("_bare")).alias("_plain"))
+    return plain.select(*values.columns, "_text", text_to_double(F.col("_plain")).alias("_number"))
 
 
 def _text_facts(rows: Column) -> list[Column]:
@@ -131,7 +131,8 @@ def column_facts(df: DataFrame, samples: int = SAMPLES, approx: bool = False) ->
     values = stacked_values(df, names)
     if approx:
         ends = F.filter(F.array(F.min("value"), F.max("value")), lambda x: x.isNotNull())
-        unique = F.approx_count_distinct("value") + F.max(F.isnull("value").cast("int"))
+        # this sketch also makes Spark aggregate by hash; text extremes alone would have every value sorted first
+        unique = F.hll_sketch_estimate(F.hll_sketch_agg("value")) + F.max(F.isnull("value").cast("int"))
         return _looked_at(values).groupBy("column_name").agg(unique.alias("unique_count"), ends.alias("samples"), *_text_facts(F.lit(1)))
     pairs = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
     counts = _looked_at(pairs).groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"), *_text_facts(F.col("rows")))

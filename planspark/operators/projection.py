@@ -35,7 +35,10 @@ def _one_per_target(df: DataFrame, targets: Sequence[str], out: str) -> DataFram
 def last_period_and_missing(
     df: DataFrame, targets: Sequence[str], period: str
 ) -> tuple[str | None, list[str]]:
-    """Last month of the table and the target months it has no rows for: one aggregate, one result row."""
+    """Last month of the table and the target months it has no rows for: one aggregate, one result row.
+
+    Neither a maximum nor a set changes when rows repeat, so Spark leaves out the dimension joins of ``df``.
+    """
     month = month_of(_period_text(df, period))
     present = F.collect_set(F.when(month.isin(*targets), month)) if targets else F.array().cast("array<string>")
     last, found = df.agg(F.max(month), present).first()
@@ -173,8 +176,8 @@ def plan_seasonal(df: DataFrame, targets: Sequence[str], base_year: str | None,
     month = month_of(_period_text(df, period))
     if not wanted:
         return {}
-    rows, found = df.agg(F.count(F.lit(1)), F.collect_set(F.when(month.isin(*wanted), month))).first()
-    if rows == 0:
+    any_row, found = df.agg(F.max(F.lit(1)), F.collect_set(F.when(month.isin(*wanted), month))).first()
+    if any_row is None:
         return {}
     return {t: same[t] if same[t] in found else None for t in sorted(targets) if t not in found}
 

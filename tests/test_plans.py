@@ -62,6 +62,13 @@ def test_unused_grouped_dimension_is_removed_by_the_optimizer(spark, sf):
     assert plan(wide).count("FileScan") == 1
 
 
+def test_months_are_looked_up_without_the_dimension_joins(spark, sf):
+    rows_ = sales(spark, sf, "period", "c_mktsegment", "n_name", V)
+    month = F.substring("period", 1, 7)
+    assert plan(rows_.agg(F.max(month), F.collect_set(F.when(month.isin("1997-01"), month)))).count("FileScan") == 1
+    assert plan(rows_.agg(F.max(F.lit(1)), F.collect_set(month))).count("FileScan") == 1
+
+
 def test_multipliers_are_one_projection_and_no_job(spark, sf):
     tracker = spark.sparkContext.statusTracker()
     before = len(tracker.getJobIdsForGroup(None))

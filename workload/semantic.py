@@ -10,7 +10,7 @@ from .registry import SALES, cents, exact, money, query, rounded, sales, table
 
 
 @query("auto_labels", """
-    SELECT 'l_partkey' AS column_name, CAST(p_partkey AS VARCHAR) AS raw_value, p_name AS display_label, NULL AS category
+    SELECT 'l_partkey' AS column_name, CAST(p_partkey AS VARCHAR) AS raw_value, p_name AS display_label, CAST(NULL AS VARCHAR) AS category
     FROM part WHERE p_size <> 1 AND p_name IS NOT NULL""")
 def auto_labels_(spark, sf):
     fact = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", F.col("l_extendedprice").alias("amount"))
