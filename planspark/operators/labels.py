@@ -189,7 +189,8 @@ def glossary(
     )]
     if synonyms is not None:
         parts.append(synonyms.select(
-            F.lit(3).alias("_part"), F.concat_ws("\t", "column_name", F.lit("1"), F.format_string("%012d", F.col("seq").cast("bigint"))).alias("_key"),
+            F.lit(3).alias("_part"),
+            F.concat_ws("\t", "column_name", F.lit("1"), F.format_string("%012d", F.col("seq").cast("bigint"))).alias("_key"),
             F.lower("synonym").alias("phrase"), F.concat(F.lit("column: "), F.col("column_name")).alias("maps_to"),
         ))
     for part, table in ((1, definitions), (2, groupings)):

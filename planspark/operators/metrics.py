@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import all_of, column, dtype_of, equal_to, literals_for, member_of, precise_avg, precise_sum, require_numeric, resolve
+from ..functions.values import (
+    all_of, column, dtype_of, equal_to, literals_for, member_of, precise_avg, precise_sum, require_numeric, resolve,
+)
 from ..plans.specs import QuerySpec
 from .query import run_query
 

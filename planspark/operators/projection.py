@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.periods import MONTH_NAMES, next_months
 from ..functions.values import INTERNAL_COLUMNS, column, dtype_of, find_period, is_temporal, month_of, precise_avg, text
-from ..plans.specs import BaseConfig, ProjectionSpec, Rule
+from ..plans.specs import ProjectionSpec, Rule
 from .rules import apply_rules, screen_period
 
 # Columns that describe the period or the origin of a row and so are not dimensions.

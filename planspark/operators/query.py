@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.values import (
-    PERIOD_NAMES, all_of, column, dtype_of, equal_to, find_period, is_numeric, is_temporal, member_of, month_of,
+    all_of, column, dtype_of, equal_to, find_period, is_numeric, is_temporal, member_of, month_of,
     period_between, precise_avg, precise_sum, require_numeric, resolve, text,
 )
 from ..plans.specs import QuerySpec

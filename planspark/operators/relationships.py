@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.values import column, dtype_of, is_numeric, resolve, text
+from ..functions.values import column, dtype_of, resolve, text
 from ..plans.specs import Relationship
 from .profile import ColumnProfile
 
@@ -16,12 +16,14 @@ CALENDAR = "_calendar"  # fixed value: name of the calendar table
 MAX_TABLES = 62  # one bit per table
 
 
-def _key_text(df: DataFrame, name: str):
-    """Text under which equal keys of different numeric types are equal."""
+def _key_text(df: DataFrame, name: str) -> Column:
+    """Text under which equal keys of different numeric types are equal: whole numbers have no decimal places."""
     c, dtype = column(name), dtype_of(df, name)
-    if is_numeric(dtype):
-        whole = c.try_cast("decimal(38,0)")
-        return F.when(whole == c, whole.cast("string")).otherwise(c.cast("string"))
+    if isinstance(dtype, T.DecimalType):
+        return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.rtrim(c.cast("string"), F.lit("0")))
+    if isinstance(dtype, T.FractionalType):
+        exact = (c == F.floor(c)) & (F.abs(c) < 1e18)
+        return F.when(exact, F.floor(c).cast("string")).otherwise(c.cast("string"))
     return text(c, dtype)
 
 

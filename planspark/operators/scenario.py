@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import clean_measure, column, dtype_of, find_period, period_between, precise_sum, text
-from ..plans.specs import BaseConfig, ProjectionSpec, Rule, Scenario
+from ..plans.specs import BaseConfig, ProjectionSpec, Scenario
 from .projection import (
     comparison_base, last_period_and_missing, plan_seasonal, project_future, project_then_rules,
     seasonal_rows,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planspark import (
-    apply_rules, build_baseline, compute_scenario, filter_period_range, first_per_key, join_dimension, run_query, scan,
+    apply_rules, build_baseline, compute_scenario, filter_period_range, first_per_key, join_dimension, scan,
     variance, with_running,
 )
 from planspark.plans.joins import plan_joins, prune_joins

@@ -1,12 +1,10 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from planspark import (
     apply_rules, chart_series, comparison, comparison_pivot, compute_scenario, compute_scenarios, variance, variance_totals, waterfall,
     waterfall_screen,
 )
-from .registry import SALES, cents, exact, money, query, rounded, sales
+from .registry import SALES, cents, exact, query, rounded, sales
 from .rules import BUILDING, V, YEAR_1997
 from .scenario import CUT, GROWTH, GROWTH_SQL, dated
 

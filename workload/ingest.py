@@ -6,7 +6,6 @@ from planspark import (
     coerce_types, export_rows, infer_types, ingest_table, measure_stats, normalize_period, profile_columns, read_delimited,
     sanitize_columns, write_typed,
 )
-from planspark.functions import precise_sum
 from planspark.operators.profile import column_facts
 from planspark.sources.shared import new_path
 from .registry import cents, exact, query, rounded, table

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planspark import (
-    build_baseline, calendar_for, calendar_links, detect_relationships, first_per_key, join_dimension, profile_columns,
-    relationship_coverage, with_period,
+    build_baseline, calendar_for, calendar_links, detect_relationships, join_dimension, profile_columns,
+    relationship_coverage,
 )
+from planspark.functions import precise_sum
 from .registry import SALES, cents, money, query, sales_model, table
 
 
@@ -40,7 +41,6 @@ def join_dedup_dim(spark, sf):
 def baseline_snowflake(spark, sf):
     wide = build_baseline(sales_model(spark, sf, unique=frozenset({("orders", "o_orderkey")})), "lineitem", columns=[
         "r_name", "n_name", "c_mktsegment", "p_type", "s_name", "l_extendedprice"])
-    from planspark.functions import precise_sum
     got = wide.groupBy("r_name", "n_name", "c_mktsegment", "p_type").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("s_name").alias("suppliers"),
         precise_sum(F.col("l_extendedprice")).alias("revenue"))
@@ -131,7 +131,6 @@ def calendar_join_month(spark, sf):
 
 
 def _calendar_join(spark, sf, grain, key):
-    from planspark.functions import precise_sum
     events = table(spark, sf, "events")
     dated = events.withColumn("on_date", F.date_format("ts", grain))
     joined = join_dimension(dated, calendar_for(events, "ts"), "on_date", key, {"quarter": "quarter", "month_name": "month_name"})

@@ -9,7 +9,7 @@ from planspark import (
 from planspark.functions import precise_sum
 from planspark.operators.projection import plan_seasonal
 from .registry import SALES, cents, exact, money, query, rounded, sales
-from .rules import BASE, BUILDING, V, YEAR_1997, by_period, rows, step
+from .rules import BASE, BUILDING, V, by_period, rows, step
 
 
 def dated(spark, sf):
