@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decontamination, mixing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,19 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
            CAST((floor(rate) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM m""")
 def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+URL_RULES = (
+    urls.UrlRule("allow", "com"), urls.UrlRule("block", "example.com", "/en/"), urls.UrlRule("allow", "www.example.com", "/en/"),
+    urls.UrlRule("block", "net", "/es/"), urls.UrlRule("block", "net", "/fr/"),
+)
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(_table(spark, sf, "pages"), URL_RULES)
