@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, urls
+from . import decontamination, mixing, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,13 @@ URL_RULES = (
 @query("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(_table(spark, sf, "pages"), URL_RULES)
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))

@@ -91,16 +91,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return kept[:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the number of words of every document."""
-    if not len(data):
+def runs(blank: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs without blanks inside one document, and their number per document."""
+    if not len(blank):
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offsets) - 1, np.int64)
-    blank = _SPACES[data]
-    before = np.empty(len(data), bool)
+    before, after = np.empty(len(blank), bool), np.empty(len(blank), bool)
     before[0], before[1:] = True, blank[:-1]
-    before[offsets[:-1][offsets[:-1] < len(data)]] = True
-    after = np.empty(len(data), bool)
+    before[offsets[:-1][offsets[:-1] < len(blank)]] = True
     after[-1], after[:-1] = True, blank[1:]
     after[offsets[1:][offsets[1:] > 0] - 1] = True
     starts = np.flatnonzero(~blank & before)
@@ -108,6 +106,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the number of words of every document."""
+    return runs(_SPACES[data], offsets)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased, and the number of words of every document."""
     starts, ends, counts = words(data, offsets)
