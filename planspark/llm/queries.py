@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality, toxicity, urls
+from . import decontamination, language, mixing, perplexity, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,13 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query("op5_perplexity")
+def op5_perplexity(spark: SparkSession, sf: str) -> DataFrame:
+    return perplexity.perplexity(_table(spark, sf, "documents"))
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(_table(spark, sf, "documents"))

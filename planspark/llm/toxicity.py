@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .sampling import labelled_sample
-from .texts import LOWER, Rolling, byte_column, chunks, fold_column, runs
+from .texts import LOWER, Rolling, byte_column, chunks, fold_column, mixed, runs
 
 PER_CLASS = 5_000
 BUCKETS = 1 << 20
 ROUNDS = 300
+OPENINGS, LEVELS = (5, 6), (1, 2, 3)
 
 # Neutral names of groups, per language.
 IDENTITY_TERMS = (
@@ -35,17 +36,38 @@ _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80
 
 
 def term_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the distinct words (runs of letters and digits, A-Z lower-cased) and their number per document."""
+    """Hash buckets of the distinct features of every document, ascending, and their number per document.
+
+    Features are its words (runs of letters and digits, A-Z lower-cased) and, for inflected insults, the openings of its
+    words of ``OPENINGS`` bytes, each once for every one of ``LEVELS`` that the number of occurrences reaches.
+    """
     starts, ends, counts = runs(~_LETTER[data], offsets)
-    buckets = (Rolling(LOWER[data]).ranges(starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
     owner = np.repeat(np.arange(len(counts)), counts)
-    keys = np.unique(owner * BUCKETS + buckets)
-    return (keys % BUCKETS).astype(np.int32), np.bincount(keys // BUCKETS, minlength=len(counts))
+    rolling = Rolling(LOWER[data])
+    keys = [np.unique(owner * BUCKETS + _place(rolling.ranges(starts, ends), 0, 0))]
+    for size in OPENINGS:
+        long = ends - starts >= size
+        opening = rolling.ranges(starts[long], starts[long] + size)
+        order = np.lexsort((opening, owner[long]))
+        who, what = owner[long][order], opening[order]
+        new = np.ones(len(what), bool)
+        new[1:] = (what[1:] != what[:-1]) | (who[1:] != who[:-1])
+        heads = np.flatnonzero(new)
+        number = np.diff(np.append(heads, len(what)))
+        for level in LEVELS:
+            reached = heads[number >= level]
+            keys.append(who[reached] * BUCKETS + _place(what[reached], size, level))
+    merged = np.unique(np.concatenate(keys))
+    return (merged % BUCKETS).astype(np.int32), np.bincount(merged // BUCKETS, minlength=len(counts))
+
+
+def _place(hashes: np.ndarray, size: int, level: int) -> np.ndarray:
+    return (mixed(hashes + np.uint64(size * 16 + level)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _bucket(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
-    return int(term_buckets(data, np.array([0, len(data)]))[0][0])
+    return int(_place(Rolling(LOWER[data]).ranges(np.array([0]), np.array([len(data)])), 0, 0)[0])
 
 
 def swaps() -> dict[int, int]:
@@ -73,10 +95,10 @@ def _scores(table: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarra
 
 
 def train(terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, fairness: float = 10.0, sparsity: float = 1e-3,
-          least: int = 5, rounds: int = ROUNDS, prior: float = 0.5) -> ToxicModel:
+          least: int = 5, rounds: int = ROUNDS, prior: float = 0.2) -> ToxicModel:
     """Accelerated proximal gradient steps on the weighted loss; words in fewer than ``least`` texts get no weight.
 
-    ``prior`` is the weight of label 1 in all: its share of the labels, whatever the sample took of each.
+    ``prior`` is the weight of label 1 in all: its share of the labels, whatever the sample took of each; the sample itself is about even.
     """
     empty = ToxicModel(np.empty(0, np.int64), np.empty(0), 0.0)
     if len(set(labels)) < 2:
