@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, perplexity, quality, toxicity, urls
+from . import decontamination, language, mixing, neighbours, perplexity, quality, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op5_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_language")
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(_table(spark, sf, "documents"))
+
+
+@query("op7_nearest_vectors")
+def op7_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf, "embeddings"))
