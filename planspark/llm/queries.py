@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, language, mixing, neighbours, perplexity, quality, toxicity, urls
+from . import decontamination, jaccard, language, mixing, neighbours, perplexity, quality, repeats, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,28 @@ def op7_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)""")
 def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf, "documents"), jaccard.Similarity(3, 90))
+
+
+@query("op2_suffix_repeats", """
+    WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    grams AS (
+        SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS g
+        FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM b WHERE length(h) >= 200)),
+    later AS (
+        SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM grams) WHERE k > 1),
+    starts AS (
+        SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM later),
+    runs AS (
+        SELECT doc_id, min(p) AS a, max(p) + 100 AS b
+        FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM starts) GROUP BY doc_id, run),
+    gaps AS (
+        SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+        UNION ALL SELECT b.doc_id, coalesce(max(r.b), 0), any_value(length(h) // 2) FROM b LEFT JOIN runs r ON r.doc_id = b.doc_id GROUP BY b.doc_id),
+    kept AS (
+        SELECT gaps.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (gaps.b - a)), '' ORDER BY a) AS k FROM gaps JOIN b ON b.doc_id = gaps.doc_id GROUP BY gaps.doc_id)
+    SELECT b.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.removed, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(r.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+    FROM b JOIN kept ON kept.doc_id = b.doc_id
+    LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id) r ON r.doc_id = b.doc_id""")
+def op2_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.without_repeats(_table(spark, sf, "documents")).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

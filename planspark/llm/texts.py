@@ -135,12 +135,10 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.nda
     owners, values = owner[whole], mixed(sums[whole])
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        extra = np.empty(len(short), np.uint64)
-        for i, d in enumerate(short):
-            h = np.uint64(counts[d])
-            for x in hashes[bounds[d]:bounds[d + 1]]:
-                h = mixed(np.array([h * np.uint64(0x100000001B3) + x]))[0]
-            extra[i] = h
+        extra = mixed(counts[short].astype(np.uint64))
+        for k in range(int(counts[short].max())):
+            more = counts[short] > k
+            extra[more] = mixed(extra[more] * np.uint64(0x100000001B3) + hashes[bounds[:-1][short[more]] + k])
         owners, values = np.concatenate((owners, short)), np.concatenate((values, extra))
     order = np.lexsort((values, owners)) if len(short) else None
     if order is not None:
