@@ -1,6 +1,63 @@
-STAGES = []
+"""From raw documents to a training mix: quality, near-duplicates, repeated passages, benchmark leaks, source weights.
+
+Every stage takes ``(spark, docs, sf_dir)`` and returns a frame; each is written as Parquet and reread as the next one's
+documents. All but the last return the columns of ``documents``; the last adds the number of the copy.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from planspark.llm import decontamination, jaccard, mixing, quality, repeats
+from planspark.sources.shared import new_path
+
+QUALITY = 0.7
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels), QUALITY)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words and a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, jaccard.Similarity(5, 80))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that an earlier 100-byte passage has; documents of which nothing is left go."""
+    found = repeats.without_repeats(docs).filter("n_removed = 0 OR n_removed < n_bytes")
+    columns = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("doc.n_chars")).cast("long")}
+    return found.select(*[columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's weight asks for, with the copy's number as ``mix_copy``."""
+    return mixing.emit(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("n-gram jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("mixing to target weights", source_mix),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result stored in the shared folder before the next stage reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        path = new_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

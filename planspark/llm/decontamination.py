@@ -109,6 +109,16 @@ def _windows(begins: list[int], size: int, errors: int, end: int) -> Iterator[tu
     yield first, min(last, end)
 
 
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most about ``block_chars`` characters; one block at a time is on the driver."""
+    listed = benchmark.select("item_id", "text").filter("text IS NOT NULL")
+    chars = listed.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(chars) // block_chars))
+    for block in range(blocks):
+        own = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All (document, item) pairs where the document holds the item: ``doc_id, item_id, distance, errors``.
 
@@ -117,18 +127,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     characters, each block a pass over the documents, so nothing grows with the benchmark. Null and empty texts hold
     nothing; items without letters or digits are never held; repeated rows give repeated pairs; rows with null ids count.
     """
-    spark = docs.sparkSession
-    listed = benchmark.select("item_id", "text").filter("text IS NOT NULL")
-    chars = listed.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // block_chars))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance int, errors int"
     found = None
-    for block in range(blocks):
-        own = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        items = [(r.item_id, r.text) for r in own.collect()]  # at most about block_chars characters
+    for items in item_blocks(benchmark, block_chars):
         pairs = docs.select("doc_id", "text").filter("text IS NOT NULL").mapInArrow(_search(items, rate), schema)
         found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else spark.createDataFrame([], schema)
+    return found
 
 
 def _search(items: list[tuple[int, str]], rate: float):
@@ -147,3 +151,18 @@ def _search(items: list[tuple[int, str]], rate: float):
                     [ids.take(pa.array(rows, pa.int64())), pa.array(named, pa.int64()), pa.array(near, pa.int32()), pa.array(errors, pa.int32())],
                     ["doc_id", "item_id", "distance", "errors"])
     return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns."""
+    def filtered(items: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(items, rate)
+            for batch in batches:
+                clean = pa.array([not finder(normal(t.as_py())) for t in batch.column("text")], pa.bool_())
+                yield batch.filter(clean)
+        return run
+
+    for items in item_blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(filtered(items), docs.schema)
+    return docs

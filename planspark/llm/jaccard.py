@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.shared import new_path, settle
 from .bits import BitSet, bit_set
@@ -280,3 +280,37 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity()) -> DataF
     least = own.filter("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
     return own.join(least, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
+    """The rows of ``docs`` with one of each linked group: the one with the smallest id (then text hash).
+
+    All columns stay. Only rows that may be in a group are shuffled; documents with empty sets are all kept.
+    """
+    sets, found = link_classes(docs, how)
+    own = sets.filter("k IS NOT NULL").select("doc_id", "k").join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    many = own.groupBy("c").count().filter("count > 1").select("c")
+    grouped = settle(own.join(many, "c").select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "c").distinct())
+    member = bit_set(grouped, F.xxhash64("id"))
+    rows = docs.select(F.struct("*").alias("doc"), "text", F.xxhash64("doc_id").alias("h"))
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(~member.has(np.asarray(batch.column(2), np.int64).copy())))
+            if kept.num_rows:
+                yield kept.select(["doc"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            batch = batch.filter(pa.array(member.has(np.asarray(batch.column(2), np.int64).copy())))
+            if batch.num_rows:
+                _, sizes, keys = _sets(*byte_column(batch.column(1)), how.width)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, mask=sizes == 0)], ["doc", "k"])
+
+    hits = rows.mapInArrow(keyed, f"doc {kind}, k long").join(
+        grouped, F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left")
+    alone = hits.filter("c IS NULL").select("doc")
+    best = Window.partitionBy("c").orderBy(F.col("doc.doc_id").asc_nulls_last(), F.xxhash64("doc.text"))
+    first = hits.filter("c IS NOT NULL").withColumn("place", F.row_number().over(best)).filter("place = 1").select("doc")
+    return rows.mapInArrow(others, f"doc {kind}").unionByName(alone).unionByName(first).select("doc.*")
