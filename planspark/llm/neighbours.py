@@ -84,6 +84,15 @@ class Trees:
         return out
 
 
+def _listed(u, v: list, d: list) -> pd.DataFrame:
+    """Rows ``u, v[], d[]``; lists are objects even where there are none."""
+    boxes = [np.empty(len(v), object), np.empty(len(d), object)]
+    for box, lists in zip(boxes, (v, d)):
+        for i, x in enumerate(lists):
+            box[i] = x
+    return pd.DataFrame({"u": np.asarray(u, np.int64), "v": boxes[0], "d": boxes[1]})
+
+
 def _nearest_in_cell(group: pd.DataFrame) -> pd.DataFrame:
     ids, x = group["u"].to_numpy(), _matrix(group["x"])
     keep = min(DEGREE, len(ids) - 1)
@@ -94,7 +103,7 @@ def _nearest_in_cell(group: pd.DataFrame) -> pd.DataFrame:
         near = np.argpartition(d, keep - 1, 1)[:, :keep] if keep > 0 else np.zeros((len(d), 0), int)
         lists += list(ids[near])
         far += list(np.take_along_axis(d, near, 1))
-    return pd.DataFrame({"u": ids, "v": lists, "d": far})
+    return _listed(ids, lists, far)
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +122,7 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
     rank = np.arange(len(u)) - np.repeat(first, number)
     v, d, kept = v[rank < DEGREE], d[rank < DEGREE], np.minimum(number, DEGREE)
     cuts = np.cumsum(kept)[:-1]
-    return pd.DataFrame({"u": nodes, "v": np.split(v, cuts), "d": np.split(d, cuts)})
+    return _listed(nodes, np.split(v, cuts), np.split(d, cuts))
 
 
 LISTS = "u long, v array<long>, d array<float>"
@@ -139,7 +148,7 @@ def _local_join(group: pd.DataFrame) -> pd.DataFrame:
             out_u.append(ids[i])
             out_v.append(ids[better[i]])
             out_d.append(d[i, better[i]])
-    return pd.DataFrame({"u": np.array(out_u, np.int64), "v": out_v, "d": out_d})
+    return _listed(out_u, out_v, out_d)
 
 
 def build_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, trees: int = TREES, cell: int = CELL) -> DataFrame:

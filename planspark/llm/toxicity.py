@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,17 @@ def term_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """Hash buckets of the distinct features of every document, ascending, and their number per document.
 
     Features are its words (runs of letters and digits, A-Z lower-cased) and, for inflected insults, the openings of its
-    words of ``OPENINGS`` bytes, each once for every one of ``LEVELS`` that the number of occurrences reaches.
+    words of ``OPENINGS`` bytes, each once for every one of ``LEVELS`` that the number of occurrences reaches. Identity terms
+    have no openings, so a swap of the word is a swap of all its features.
     """
     starts, ends, counts = runs(~_LETTER[data], offsets)
     owner = np.repeat(np.arange(len(counts)), counts)
     rolling = Rolling(LOWER[data])
-    keys = [np.unique(owner * BUCKETS + _place(rolling.ranges(starts, ends), 0, 0))]
+    whole = _place(rolling.ranges(starts, ends), 0, 0)
+    keys = [np.unique(owner * BUCKETS + whole)]
+    plain = ~np.isin(whole, _identities())
     for size in OPENINGS:
-        long = ends - starts >= size
+        long = (ends - starts >= size) & plain
         opening = rolling.ranges(starts[long], starts[long] + size)
         order = np.lexsort((opening, owner[long]))
         who, what = owner[long][order], opening[order]
@@ -65,6 +69,11 @@ def _place(hashes: np.ndarray, size: int, level: int) -> np.ndarray:
     return (mixed(hashes + np.uint64(size * 16 + level)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _identities() -> np.ndarray:
+    return np.array([_bucket(w) for w in IDENTITY_TERMS])
+
+
 def _bucket(word: str) -> int:
     data = np.frombuffer(word.encode(), np.uint8)
     return int(_place(Rolling(LOWER[data]).ranges(np.array([0]), np.array([len(data)])), 0, 0)[0])
@@ -72,7 +81,7 @@ def _bucket(word: str) -> int:
 
 def swaps() -> dict[int, int]:
     """The bucket of every identity term and that of the term it is swapped for: the next one of the list."""
-    found = [_bucket(w) for w in IDENTITY_TERMS]
+    found = _identities().tolist()
     return {a: b for a, b in zip(found, found[1:] + found[:1]) if a != b}
 
 
@@ -96,16 +105,18 @@ def _scores(table: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarra
 
 def train(terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, fairness: float = 10.0, sparsity: float = 1e-3,
           least: int = 5, rounds: int = ROUNDS, prior: float = 0.2) -> ToxicModel:
-    """Accelerated proximal gradient steps on the weighted loss; words in fewer than ``least`` texts get no weight.
+    """Accelerated proximal gradient steps on the weighted loss; features of fewer than ``least`` texts get no weight.
 
-    ``prior`` is the weight of label 1 in all: its share of the labels, whatever the sample took of each; the sample itself is about even.
+    ``prior`` is what the texts of label 1 weigh in all, whatever number of them the sample has.
     """
     empty = ToxicModel(np.empty(0, np.int64), np.empty(0), 0.0)
     if len(set(labels)) < 2:
         return empty
-    used, column, seen = np.unique(terms, return_inverse=True, return_counts=True)
     swap = swaps()
-    wanted = (seen >= least) | np.isin(used, list(swap) + list(swap.values()))
+    # Every identity term has a column, seen or not: a text may be swapped into one that the sample lacks.
+    used, column, seen = np.unique(np.concatenate((terms, list(swap))), return_inverse=True, return_counts=True)
+    column = column[:len(terms)]
+    wanted = (seen >= least) | np.isin(used, list(swap))
     place = np.cumsum(wanted) - 1
     row = np.repeat(np.arange(len(counts)), counts)
     known = wanted[column]
@@ -114,21 +125,19 @@ def train(terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, fairness: f
     if not width:
         return empty
     # Difference between a text and its counterfactual, as (row, column, change).
-    at = {int(b): i for i, b in enumerate(used)}
-    moves = [(r, c, at[swap[int(used[c])]]) for r, c in zip(*_identity(row, column, used, swap)) if swap[int(used[c])] in at]
-    away = np.array([m[0] for m in moves], int), np.array([m[1] for m in moves], int), np.array([m[2] for m in moves], int)
+    other = {int(np.searchsorted(used, a)): int(np.searchsorted(used, b)) for a, b in swap.items()}
+    named = np.isin(column, list(other))
+    away = row[named], column[named], np.array([other[c] for c in column[named]], int)
     share = np.where(labels == 1, prior / (labels == 1).sum(), (1 - prior) / (labels == 0).sum())
-    # The largest curvature is bounded by a quarter of the longest weighted row plus the penalty's.
-    length = np.bincount(row, minlength=n)
     weights, bias, old, old_bias, momentum = np.zeros(width), 0.0, np.zeros(width), 0.0, 1.0
-    step = 1.0 / _curvature(row, column, share, width, n, length)
+    step = 1.0 / _curvature(row, column, away, share, width, n, fairness)
     for _ in range(rounds):
         grown = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
         ahead, ahead_bias = weights + (momentum - 1) / grown * (weights - old), bias + (momentum - 1) / grown * (bias - old_bias)
         odds = np.bincount(row, ahead[column], n) + ahead_bias
         error = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - labels) * share
         slope = np.bincount(column, error[row], width)
-        if moves:
+        if len(away[0]):
             change = np.bincount(away[0], ahead[away[1]] - ahead[away[2]], n) * 2 * fairness * share
             slope += np.bincount(away[1], change[away[0]], width) - np.bincount(away[2], change[away[0]], width)
         old, old_bias, momentum = weights, bias, grown
@@ -139,21 +148,18 @@ def train(terms: np.ndarray, counts: np.ndarray, labels: np.ndarray, fairness: f
     return ToxicModel(used[kept], weights[kept], float(bias))
 
 
-def _identity(row, column, used, swap):
-    named = np.isin(used[column], list(swap))
-    return row[named], column[named]
-
-
-def _curvature(row, column, share, width, n, length) -> float:
-    """Largest eigenvalue of the weighted design, by a few power steps, with the intercept."""
-    v, b = np.ones(width) / np.sqrt(width), 1.0
+def _curvature(row, column, away, share, width, n, fairness) -> float:
+    """A bound of the loss's curvature: the largest eigenvalue of its quadratic part, by a few power steps."""
+    v, b = np.random.default_rng(1).normal(size=width), 1.0
     value = 1.0
-    for _ in range(12):
-        z = (np.bincount(row, v[column], n) + b) * share
-        v, b = np.bincount(column, z[row], width), z.sum()
-        value = float(np.sqrt((v * v).sum() + b * b))
+    for _ in range(20):
+        z = 0.25 * (np.bincount(row, v[column], n) + b) * share
+        y = 2 * fairness * np.bincount(away[0], v[away[1]] - v[away[2]], n) * share if len(away[0]) else np.zeros(n)
+        v = np.bincount(column, z[row], width) + np.bincount(away[1], y[away[0]], width) - np.bincount(away[2], y[away[0]], width)
+        b = z.sum()
+        value = float(np.sqrt((v * v).sum() + b * b)) + 1e-12
         v, b = v / value, b / value
-    return 0.25 * value * 1.2 + 1e-9
+    return 1.3 * value
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 4, held_fold: int = 2, fairness: float = 10.0) -> ToxicModel:
