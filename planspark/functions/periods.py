@@ -6,9 +6,6 @@ import re
 
 _MONTH = re.compile(r"^(\d{4})-(\d{2})")
 
-# Fixed value: a range is cut after this many generated months.
-MAX_RANGE = 121
-
 # English month names in calendar order.
 MONTH_NAMES = (
     "January", "February", "March", "April", "May", "June",
@@ -30,7 +27,7 @@ def month_range(start: str, end: str) -> list[str]:
     first, last = _index(start), _index(end)
     if first is None or last is None:
         return []
-    return [_label(i) for i in range(first, min(last, first + MAX_RANGE - 1) + 1)]
+    return [_label(i) for i in range(first, last + 1)]
 
 
 def next_months(period: str, n: int) -> list[str]:

@@ -24,11 +24,12 @@ def precise_sum(value: Column) -> Column:
     """Sum of a double column that does not depend on the order of the rows.
 
     A plain double sum changes in the last digits with partitioning and task retries, and a decimal sum costs
-    an object per row. Whole parts are summed as longs (exact), fractions as doubles (each below one, so
-    the error stays far under a cent). An empty or all-null group gives 0.0; a long overflow raises.
+    an object per row. Whole parts and fractions are summed apart as doubles: sums of whole numbers are exact up to 9e15
+    in any order, and fractions (each below one) err far under a cent, though their last bits may differ. Beyond 9e15 the
+    result is that of a plain double sum; nothing overflows. An empty or all-null group gives 0.0.
     """
-    whole = F.floor(value)
-    return F.coalesce(F.sum(whole), F.lit(0)).cast("double") + F.coalesce(F.sum(value - whole), F.lit(0.0))
+    whole = F.floor(value).cast("double")
+    return F.coalesce(F.sum(whole), F.lit(0.0)) + F.coalesce(F.sum(value - whole), F.lit(0.0))
 
 
 def precise_avg(value: Column) -> Column:
@@ -86,7 +87,15 @@ def find_period(df: DataFrame, candidates: Sequence[str] = PERIOD_NAMES) -> str
 
 
 def text(c: Column, dtype: T.DataType | None = None) -> Column:
-    """Text form used for keys and labels; dates and midnight timestamps become ISO dates."""
+    """Text form used for keys and labels: dates and midnight timestamps are ISO dates, other timestamps keep their time."""
+    if dtype is not None and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        day = c.cast("date")
+        return F.when(day.cast(dtype) == c, day.cast("string")).otherwise(c.cast("string"))
+    return c.cast("string")
+
+
+def day_text(c: Column, dtype: T.DataType | None = None) -> Column:
+    """Text form of a period: that of :func:`text`, with timestamps cut to their day."""
     if dtype is not None and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd")
     return c.cast("string")

@@ -87,6 +87,23 @@ def build_baseline(
     return wide if columns is None else wide.select(*[column(c) for c in columns])
 
 
+def verify_unique(model: TableModel) -> DataFrame:
+    """``table_name, column_name, repeated`` for every column that ``model.unique`` declares: rows beyond the first of a key.
+
+    A wrong declaration multiplies fact rows, so check a model once before it is used; NULL keys don't count.
+    """
+    parts = []
+    for name, key in sorted(model.unique):
+        df = model.tables[name]
+        per_key = df.filter(column(resolve(df, key)).isNotNull()).groupBy(column(resolve(df, key)).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated")).select(
+            F.lit(name).alias("table_name"), F.lit(key).alias("column_name"), "repeated"))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def build_all_baselines(model: TableModel) -> dict[str, DataFrame]:
     """One lazy baseline for each table that takes part in a relationship."""
     linked = [n for r in model.relationships for n in (r.source, r.target)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.periods import MONTH_NAMES
-from ..functions.values import column, dtype_of, is_temporal, resolve, text
+from ..functions.values import column, day_text, dtype_of, is_temporal, resolve
 
 START, END = "2020-01-01", "2027-12-31"  # fixed values: days of the default calendar
 
@@ -38,7 +38,7 @@ def calendar_for(df: DataFrame, name: str) -> DataFrame:
 def filter_values(df: DataFrame, field: str, calendar: DataFrame, calendar_field: str | None = None) -> DataFrame:
     """Sorted values of a filter list: those of the data and, for a calendar field, those of the calendar."""
     name = resolve(df, field)
-    found = df.select(text(column(name), dtype_of(df, name)).alias("value"))
+    found = df.select(day_text(column(name), dtype_of(df, name)).alias("value"))
     known = {"_period": "month_year", "period": "month_year"}.get(field, field)
     source = calendar_field or (known if known in calendar.columns and known != "date" else None)
     if source:

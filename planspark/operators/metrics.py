@@ -68,8 +68,15 @@ def eval_metric(
     sides = []
     for table in used:
         df = tables[table]
-        total = None
-        for part in (c for c in components if c["source_table"] == table):
+        total, parts = None, [c for c in components if c["source_table"] == table]
+        tests = [[condition(df, t) for t in part.get("filters") or () if t.get("column")] for part in parts]
+        if not by and all(tests):
+            # Rows that no component counts are left out at the scan; in groups they decide which groups there are.
+            some = all_of(tests[0])
+            for other in tests[1:]:
+                some = some | all_of(other)
+            df = df.filter(some)
+        for part in parts:
             figure = F.coalesce(_figure(df, part), F.lit(0.0))
             signed = -figure if str(part.get("sign", "+")) in ("-", "-1") else figure
             total = signed if total is None else total + signed

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.values import precise_sum
 from ..sources.shared import settle
 
-# Results up to this many rows are numbered by one plain window; larger ones go through range partitions.
-SINGLE_WINDOW_ROWS = 100_000
-
 
 def with_running(
     df: DataFrame,
@@ -19,21 +16,16 @@ def with_running(
     position: str | None = "pos",
     running: Mapping[str, str] | None = None,
     stored: bool = False,
-    single_window_rows: int = SINGLE_WINDOW_ROWS,
 ) -> DataFrame:
     """Add the 1-based position and running totals (``{new column: summed column}``) in the given order.
 
     ``df`` is a group-level result, computed once and kept in shared storage (``stored=True``: it already reads
     from there). ``order`` must be total.
-    Small results use a single window. Larger ones are range-partitioned by the order; each range is
-    numbered on its own and shifted by the sums of the ranges before it (one row per range).
+    The rows are range-partitioned by the order; each range is numbered on its own and shifted by the sums of the ranges
+    before it (one row per range).
     """
     running = dict(running or {})
     settled = df if stored else settle(df)
-    if settled.count() <= single_window_rows:
-        window = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return _numbered(settled, window, position, running)
-
     parts = int(settled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = settle(settled.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

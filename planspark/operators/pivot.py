@@ -10,7 +10,6 @@ from ..functions.values import clean_measure, column, dtype_of, precise_sum, res
 from .ordering import with_running
 
 MISSING_LABEL = "—"  # fixed value: label of a NULL row or column field
-ONE_AGGREGATE_KEYS = 100  # columns made by one aggregate; Spark's pivot handles more
 TIME_HINTS = ("period", "_year", "_month", "date")  # fixed values: names that sort by time
 
 
@@ -51,11 +50,10 @@ def pivot_wide(
     keys = list(values) if values is not None else column_keys(df, col)
     long = pivot_long(df, rows, col, value)
     grouped, total = long.groupBy(*[column(r) for r in rows]), F.sum(column(value)).alias("_total")
-    if len(keys) <= ONE_AGGREGATE_KEYS:
-        cells = [F.sum(F.when(column(col) == k, column(value))).alias(k) for k in keys]
-        wide = grouped.agg(*cells, total)
-    else:
-        wide = grouped.pivot(col, keys).agg(F.sum(column(value))).join(grouped.agg(total), list(rows))
+    # One map per row key instead of an aggregate per column: the plan stays small, however many columns there are.
+    cells = F.map_from_entries(F.collect_list(F.when(column(col).isin(*keys), F.struct(column(col), column(value))))).alias("_cells")
+    wide = grouped.agg(cells, total).select(
+        *[column(r) for r in rows], *[F.col("_cells")[k].alias(k) for k in keys], "_total")
     wide = wide.select(*[column(r) for r in rows], *[F.coalesce(column(k), F.lit(0.0)).alias(k) for k in keys], "_total")
     if not totals:
         return wide

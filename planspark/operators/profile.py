@@ -41,19 +41,25 @@ class ColumnProfile:
     null_count: int
     sample_values: list[str] = field(default_factory=list)
     role: str = "attribute"
+    calendar: str | None = None  # calendar column that the values match, judged by all of them
 
     def as_text(self) -> ColumnProfile:
         return replace(self, data_type="text")
 
 
-def detect_role(name: str, data_type: str, unique: int, nulls: int, rows: int, samples: Sequence[str] = ()) -> str:
-    """Role of a column from its name and profile; the first rule that holds decides."""
+def detect_role(
+    name: str, data_type: str, unique: int, nulls: int, rows: int, samples: Sequence[str] = (), accounts: int | None = None
+) -> str:
+    """Role of a column from its name and profile; the first rule that holds decides.
+
+    ``accounts`` is the number of rows whose value looks like an account number; without it the samples are judged.
+    """
     def says(words: str) -> bool:
         return re.search(words, name, re.IGNORECASE) is not None
 
     account_like = (
-        data_type == "integer" and 2 <= unique <= 500 and len(samples) > 0
-        and all(re.fullmatch(r"\d{3,6}", str(s)) for s in samples[:5])
+        data_type == "integer" and 2 <= unique <= 500
+        and (0 < accounts == rows - nulls if accounts is not None else len(samples) > 0 and all(re.fullmatch(r"\d{3,6}", str(s)) for s in samples))
     )
     rules = (
         ("ignore", (rows > 0 and nulls / rows > 0.5) or unique == 1 or says(IGNORED_WORDS)),
@@ -97,6 +103,9 @@ def _text_facts(rows: Column) -> list[Column]:
         rows_where((F.length(text_form) <= 10) & text_form.rlike("^(" + "|".join(DATE_SHAPES) + ")$")).alias("dates"),
         rows_where(number.isNotNull()).alias("numbers"),
         rows_where(number == F.floor(number)).alias("wholes"),
+        rows_where(text_form.rlike(r"^\d{3,6}$")).alias("accounts"),
+        rows_where(text_form.rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("days"),
+        rows_where(text_form.rlike(r"^\d{4}-\d{2}$")).alias("months"),
     ]
 
 
@@ -125,7 +134,8 @@ def column_facts(df: DataFrame, samples: int = SAMPLES, approx: bool = False) ->
 
     Exact counts come from one shuffle of the distinct (column, value) pairs, combined before the shuffle, so a
     frequent value costs one row per task and is looked at once; ``samples`` are the smallest values in text order.
-    ``approx=True`` sketches the distinct counts without shuffling values and samples only the two extremes.
+    ``approx=True`` sketches the distinct counts without shuffling values; its samples are the two extremes. What roles and
+    calendar links ask of the texts (``accounts``, ``days``, ``months``) is counted over all values either way.
     """
     names = [c for c in df.columns if c != "_row_id"]
     values = stacked_values(df, names)
@@ -163,8 +173,9 @@ def profile_columns(
             continue
         kind, sample = _data_type(f.dataType, found), list(found["samples"] or [])
         unique, nulls = found["unique_count"], found["null_count"]
-        role = detect_role(display, kind, unique, nulls, rows, sample)
-        profiles.append(ColumnProfile(f.name, display, kind, unique, nulls, sample, role))
+        role = detect_role(display, kind, unique, nulls, rows, sample, found["accounts"])
+        calendar = "date" if found["days"] else "month_year" if found["months"] else None
+        profiles.append(ColumnProfile(f.name, display, kind, unique, nulls, sample, role, calendar))
     return profiles, rows
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.periods import MONTH_NAMES, next_months
-from ..functions.values import INTERNAL_COLUMNS, column, dtype_of, find_period, is_temporal, month_of, precise_avg, text
+from ..functions.values import INTERNAL_COLUMNS, column, day_text, dtype_of, find_period, is_temporal, month_of, precise_avg
 from ..plans.specs import ProjectionSpec, Rule
 from .rules import apply_rules, screen_period
 
@@ -20,7 +20,7 @@ AVERAGED = "_averaged"  # fixed value: template name of a month without base row
 
 
 def _period_text(df: DataFrame, period: str) -> Column:
-    return text(column(period), dtype_of(df, period))
+    return day_text(column(period), dtype_of(df, period))
 
 
 def with_text_period(df: DataFrame, period: str) -> DataFrame:
@@ -46,18 +46,34 @@ def last_period_and_missing(
 
 
 def project_future(df: DataFrame, targets: Sequence[str], period: str | None = None) -> DataFrame:
-    """``df`` plus a copy of its last month for each target month it lacks, tagged in ``_data_source``."""
+    """``df`` plus a copy of its last month for each target month it lacks, tagged in ``_data_source``.
+
+    The rows are read once: a row of the last month becomes several, its own and one per target. Copies have no ``_row_id``
+    and keep other native dates of their row.
+    """
     name = period or find_period(df)
     if name is None or not targets:
         return df.withColumn("_data_source", F.lit("actual"))
     df = with_text_period(df, name)
-    actual = df.withColumn("_data_source", F.lit("actual"))
     last, missing = last_period_and_missing(df, targets, name)
     if last is None or not missing:
-        return actual
-    template = df.filter(month_of(_period_text(df, name)) == last).drop("_row_id")
-    copies = _one_per_target(template, missing, name).withColumn("_data_source", F.lit("projected"))
-    return actual.unionByName(copies, allowMissingColumns=True)
+        return df.withColumn("_data_source", F.lit("actual"))
+    own = F.struct(column(name).alias("period"), F.lit("actual").alias("source"))
+    copies = [F.struct(F.lit(t).alias("period"), F.lit("projected").alias("source")) for t in missing]
+    return _repeated(df, month_of(column(name)) == last, own, copies, {name: "period", "_data_source": "source"})
+
+
+def _repeated(df: DataFrame, template: Column, own: Column, copies: Sequence[Column], names: Mapping[str, str]) -> DataFrame:
+    """Every row once as ``own``, template rows also as each of ``copies``; ``names`` maps columns to fields of the structs.
+
+    Copies have a NULL ``_row_id``.
+    """
+    rows = df.select(
+        "*", F.posexplode(F.when(template, F.array(own, *copies)).otherwise(F.array(own))).alias("_copy", "_as"))
+    changed = {c: F.col("_as")[f] for c, f in names.items()}
+    if "_row_id" in df.columns:
+        changed["_row_id"] = F.when(F.col("_copy") == 0, F.col("_row_id"))
+    return rows.withColumns(changed).drop("_copy", "_as")
 
 
 def project(df: DataFrame, spec: ProjectionSpec | Mapping, value: str = "amount") -> DataFrame | None:
@@ -86,6 +102,16 @@ def _copy_year(df: DataFrame, spec: ProjectionSpec, value: str, period: str) ->
     })
 
 
+def _with_copied_year(df: DataFrame, spec: ProjectionSpec, value: str, period: str) -> DataFrame:
+    """The rows and the copies of the source year, from one read."""
+    when, amount = _period_text(df, period), column(value).cast("double")
+    moved = F.concat(F.lit(spec.target_year), F.substring(when, len(spec.source_year) + 1, 32))
+    fields = lambda p, v, s: F.struct(p.alias("period"), v.alias("value"), F.lit(s).alias("source"))
+    return _repeated(
+        df, F.coalesce(when.startswith(spec.source_year), F.lit(False)), fields(when, amount, "actual"),
+        [fields(moved, amount * spec.growth, "projected")], {period: "period", value: "value", "_data_source": "source"})
+
+
 def _average(df: DataFrame, spec: ProjectionSpec, value: str, period: str | None) -> DataFrame | None:
     targets, source = list(spec.target_periods), df
     if period is not None:
@@ -118,8 +144,11 @@ def project_then_rules(
     """Actual rows plus projected rows, with the rules applied to both."""
     period = find_period(df)
     df = with_text_period(df, period) if period else df
+    spec = ProjectionSpec.of(spec)
+    if spec.method == "copy_year" and spec.source_year and period is not None:
+        return apply_rules(_with_copied_year(df, spec, value, period), rules, value)
     combined = df.withColumn("_data_source", F.lit("actual"))
-    projected = project(df, spec, value) if spec is not None else None
+    projected = project(df, spec, value)
     if projected is not None:
         combined = combined.unionByName(projected, allowMissingColumns=True)
     return apply_rules(combined, rules, value)
@@ -138,35 +167,50 @@ def period_parts(df: DataFrame, target: Column) -> dict[str, Column]:
     return {name: c.try_cast(dtype_of(df, name)) for name, c in parts.items() if name in df.columns}
 
 
-def _templates(
-    base: DataFrame, targets: Mapping[str, str | None], value: str, period: str
+def _zero_rows(base: DataFrame, months: Sequence[str], value: str, dims: Sequence[str] | None) -> DataFrame:
+    """A zero row per month and combination of the dimension columns: by default all but periods, native dates and the measure."""
+    if dims is None:
+        dims = [f.name for f in base.schema.fields if f.name not in PERIOD_PARTS and f.name not in (value, f"baseline_{value}")
+                and not is_temporal(f.dataType)]
+    empty = base.select(*[column(c) for c in dims]).distinct().withColumn(value, F.lit(0.0))
+    return _one_per_target(empty, months, "_target").withColumn("_template", F.lit(AVERAGED))
+
+
+def _with_templates(
+    df: DataFrame, targets: Mapping[str, str | None], value: str, period: str, marks: Mapping[str, tuple[Column, str]],
+    dims: Sequence[str] | None,
 ) -> DataFrame:
-    """Rows for each target month: its template month's rows, or the zero rows of every dimension combination.
+    """The rows plus, for each target month, the rows of its template month under the target, from one read.
 
-    ``targets`` maps a month to its template month, or to ``None``. Adds ``_target`` and ``_template``.
+    ``targets`` maps a month to its template month, or to ``None``: such months get zero rows, from an aggregate over the
+    dimension columns. ``marks`` maps columns to their value on added rows and its type (NULL, or as it was, on others).
     """
     by_template: dict[str, list[str]] = {}
     for month, template in targets.items():
         if template is not None:
             by_template.setdefault(template, []).append(month)
-    unmatched = [m for m, t in targets.items() if t is None]
-    month = month_of(_period_text(base, period))
-    parts = []
+    result = df.withColumns({c: F.lit(None).cast(kind) for c, (_, kind) in marks.items() if c not in df.columns})
+    rows = result
     if by_template:
-        copies = None
+        month = month_of(_period_text(df, period))
+        own = F.array(F.lit(None).cast("string"))
+        wanted = None
         for template, months in by_template.items():
-            branch = (month == template, F.array(*[F.lit(m) for m in months]))
-            copies = F.when(*branch) if copies is None else copies.when(*branch)
-        rows = base.drop("_row_id").filter(month.isin(*by_template))
-        parts.append(rows.withColumns({"_template": month, "_target": copies}).withColumn("_target", F.explode("_target")))
+            branch = (month == template, F.concat(own, F.array(*[F.lit(m) for m in months])))
+            wanted = F.when(*branch) if wanted is None else wanted.when(*branch)
+        copied = result.select("*", month.alias("_template"), F.explode(wanted.otherwise(own)).alias("_target"))
+        added = F.col("_target").isNotNull()
+        under = {**period_parts(df, F.col("_target")), period: F.col("_target"), **{c: v for c, (v, _) in marks.items()}}
+        changed = {c: F.when(added, v).otherwise(column(c)) for c, v in under.items()}
+        if "_row_id" in df.columns:
+            changed["_row_id"] = F.when(~added, F.col("_row_id"))
+        rows = copied.withColumns(changed).drop("_template", "_target")
+    unmatched = [m for m, t in targets.items() if t is None]
     if unmatched:
-        dims = [c for c in base.columns if c not in PERIOD_PARTS and c not in (value, f"baseline_{value}")]
-        empty = base.select(*[column(c) for c in dims]).distinct().withColumn(value, F.lit(0.0))
-        parts.append(_one_per_target(empty, unmatched, "_target").withColumn("_template", F.lit(AVERAGED)))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part, allowMissingColumns=True)
-    return result
+        zero = _zero_rows(df, unmatched, value, dims)
+        zero = zero.withColumns({**period_parts(df, F.col("_target")), period: F.col("_target"), **{c: v for c, (v, _) in marks.items()}})
+        rows = rows.unionByName(zero.drop("_target", "_template"), allowMissingColumns=True)
+    return rows
 
 
 def plan_seasonal(df: DataFrame, targets: Sequence[str], base_year: str | None, period: str) -> dict[str, str | None]:
@@ -183,43 +227,34 @@ def plan_seasonal(df: DataFrame, targets: Sequence[str], base_year: str | None,
 
 
 def project_seasonal(
-    df: DataFrame, targets: Sequence[str], base_year: str | None, value: str = "amount", period: str | None = None
+    df: DataFrame, targets: Sequence[str], base_year: str | None, value: str = "amount", period: str | None = None,
+    dims: Sequence[str] | None = None,
 ) -> DataFrame:
     """``df`` plus rows for each target month it lacks: the same month of ``base_year``, or zero rows.
 
     Projected rows carry the target month in every period column, ``_data_source = 'projected'`` and the
-    template month (or ``_averaged``) in ``_baseline_period``.
+    template month (or ``_averaged``) in ``_baseline_period``. Zero rows come for each combination of ``dims``.
     """
     name = period or screen_period(df)
     if name is None:
         return df
-    return seasonal_rows(df, plan_seasonal(df, targets, base_year, name), value, name)
+    return seasonal_rows(df, plan_seasonal(df, targets, base_year, name), value, name, dims)
 
 
-def _under_target(df: DataFrame, rows: DataFrame, period: str) -> DataFrame:
-    """Template rows with the table's period columns set to the target month."""
-    return rows.withColumns({**period_parts(df, F.col("_target")), period: F.col("_target")})
-
-
-def seasonal_rows(df: DataFrame, plan: Mapping[str, str | None], value: str, period: str) -> DataFrame:
+def seasonal_rows(
+    df: DataFrame, plan: Mapping[str, str | None], value: str, period: str, dims: Sequence[str] | None = None
+) -> DataFrame:
     if not plan:
         return df
-    df = with_text_period(df, period)
-    rows = _templates(df, plan, value, period)
-    projected = _under_target(df, rows, period).withColumns({
-        "_data_source": F.lit("projected"), "_baseline_period": F.col("_template"),
-    })
-    return df.unionByName(projected.drop("_target", "_template"), allowMissingColumns=True)
+    marks = {"_data_source": (F.lit("projected"), "string"), "_baseline_period": (F.col("_template"), "string")}
+    return _with_templates(with_text_period(df, period), plan, value, period, marks, dims)
 
 
 def comparison_base(
-    df: DataFrame, plan: Mapping[str, str | None], value: str = "amount", period: str | None = None
+    df: DataFrame, plan: Mapping[str, str | None], value: str = "amount", period: str | None = None, dims: Sequence[str] | None = None
 ) -> DataFrame:
     """Base rows plus, for each projected month of ``plan``, its template rows under the projected month."""
     name = period or screen_period(df)
     if name is None or not plan:
         return df
-    df = with_text_period(df, name)
-    rows = _templates(df, plan, value, name)
-    shifted = _under_target(df, rows, name).withColumn("_is_comparison_base", F.lit(True))
-    return df.unionByName(shifted.drop("_target", "_template"), allowMissingColumns=True)
+    return _with_templates(with_text_period(df, name), plan, value, name, {"_is_comparison_base": (F.lit(True), "boolean")}, dims)

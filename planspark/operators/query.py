@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.values import (
-    all_of, column, dtype_of, equal_to, find_period, is_numeric, is_temporal, member_of, month_of,
+    all_of, column, day_text, dtype_of, equal_to, find_period, is_numeric, is_temporal, member_of, month_of,
     period_between, precise_avg, precise_sum, require_numeric, resolve, text,
 )
 from ..plans.specs import QuerySpec
@@ -146,7 +146,7 @@ def available_periods(df: DataFrame, period: str | None = None) -> DataFrame:
     name = period or find_period(df)
     if name is None:
         raise ValueError(f"no period column among {df.columns}")
-    periods = df.select(text(column(name), dtype_of(df, name)).alias("period")).filter("period IS NOT NULL").distinct()
+    periods = df.select(day_text(column(name), dtype_of(df, name)).alias("period")).filter("period IS NOT NULL").distinct()
     year = F.when(F.length("period") >= 4, F.substring("period", 1, 4))
     return periods.select("period", year.alias("year")).orderBy("period")
 

@@ -13,7 +13,7 @@ from .profile import ColumnProfile
 
 MIN_COVERAGE = 50  # fixed value: percent of source values that must exist in the target
 CALENDAR = "_calendar"  # fixed value: name of the calendar table
-MAX_TABLES = 62  # one bit per table
+WORD_BITS = 62  # tables per word of a bit set
 
 
 def _key_text(df: DataFrame, name: str) -> Column:
@@ -49,51 +49,51 @@ def relationship_scores(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Coverage of every pair of tables (in the given order) on each column name they share.
 
     Columns: ``source, target, column_name, coverage, overlap``. All tables go through one shuffle that leaves
-    one row per (column, value) with a bit per table; the pairs are formed on the counts of those bit sets.
+    one row per (column, value) with a bit per table; the pairs are formed on the counts of those bit sets, by joins of
+    small frames, so the plan does not grow with the number of pairs.
     """
     names = list(tables)
-    if len(names) > MAX_TABLES:
-        raise ValueError(f"at most {MAX_TABLES} tables at a time")
     owners: dict[str, list[int]] = {}
     for i, name in enumerate(names):
         for c in tables[name].columns:
             if c != "_row_id":
                 owners.setdefault(c, []).append(i)
     shared = {c: found for c, found in owners.items() if len(found) > 1}
+    words = [f"_o{w}" for w in range(-(-len(names) // WORD_BITS))]
     parts = []
     for i, name in enumerate(names):
         mine = [c for c, found in shared.items() if i in found]
         if mine:
             keys = tables[name].select(*[_key_text(tables[name], c).alias(c) for c in mine])
-            parts.append(keys.unpivot([], [column(c) for c in mine], "column_name", "value").withColumn(
-                "owner", F.lit(1 << i).cast("bigint")))
+            bits = {w: F.lit(1 << i % WORD_BITS if k == i // WORD_BITS else 0).cast("bigint") for k, w in enumerate(words)}
+            parts.append(keys.unpivot([], [column(c) for c in mine], "column_name", "value").withColumns(bits))
     spark = tables[names[0]].sparkSession
     if not parts:
         return spark.createDataFrame([], "source string, target string, column_name string, coverage bigint, overlap bigint")
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
-    per_value = stacked.filter("value IS NOT NULL").groupBy("column_name", "value").agg(F.bit_or("owner").alias("owners"))
-    per_set = per_value.groupBy("column_name", "owners").agg(F.count(F.lit(1)).alias("n"))
-    pairs = [
-        F.struct(
-            F.lit(names[i]).alias("source"), F.lit(names[j]).alias("target"), F.lit(c).alias("pair_column"),
-            F.lit(1 << i).cast("bigint").alias("src"), F.lit(1 << j).cast("bigint").alias("tgt"),
-        )
-        for c, found in shared.items() for k, i in enumerate(found) for j in found[k + 1:]
-    ]
-    # the pair list comes from the schemas, the counts have one row per column and set of tables
-    named = per_set.withColumn("pair", F.explode(F.array(*pairs))).filter("pair.pair_column = column_name")
-    in_src = F.col("owners").bitwiseAND(F.col("pair.src")) != 0
-    in_tgt = F.col("owners").bitwiseAND(F.col("pair.tgt")) != 0
-    counted = named.groupBy("pair.source", "pair.target", "column_name").agg(
-        F.sum(F.when(in_src, F.col("n")).otherwise(F.lit(0))).alias("known"),
-        F.sum(F.when(in_src & in_tgt, F.col("n")).otherwise(F.lit(0))).alias("overlap"),
-        F.max(in_tgt.cast("int")).alias("filled"),
-    )
-    coverage = F.floor(F.col("overlap") * 100 / F.col("known")).cast("bigint")
-    found = counted.filter("known > 0 AND filled = 1")
-    return found.select("source", "target", "column_name", coverage.alias("coverage"), F.col("overlap").cast("bigint").alias("overlap"))
+    per_value = stacked.filter("value IS NOT NULL").groupBy("column_name", "value").agg(*[F.bit_or(w).alias(w) for w in words])
+    per_set = per_value.groupBy("column_name", *words).agg(F.count(F.lit(1)).alias("n"))
+    # From here on: a row per column and set of tables, then per column and pair of tables.
+    held = F.flatten(F.array(*[_members(w, k * WORD_BITS) for k, w in enumerate(words)]))
+    sets = per_set.select("column_name", "n", held.alias("held"))
+    known = sets.select("column_name", "n", F.explode("held").alias("i")).groupBy("column_name", "i").agg(F.sum("n").alias("known"))
+    both = (sets.select("column_name", "n", "held", F.explode("held").alias("i")).select("column_name", "n", "i", F.explode("held").alias("j"))
+            .filter("i < j").groupBy("column_name", "i", "j").agg(F.sum("n").alias("overlap")))
+    ids = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    pairs = (known.join(known.select("column_name", F.col("i").alias("j")), "column_name").filter("i < j")
+             .join(both, ["column_name", "i", "j"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)).cast("bigint"))
+             .join(ids.withColumnRenamed("name", "source"), "i")
+             .join(ids.select(F.col("i").alias("j"), F.col("name").alias("target")), "j"))
+    return pairs.select(
+        "source", "target", "column_name", F.floor(F.col("overlap") * 100 / F.col("known")).cast("bigint").alias("coverage"), "overlap")
+
+
+def _members(word: str, first: int) -> Column:
+    """Numbers of the tables whose bit is set in a word."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda b: F.getbit(F.col(word), b) == 1)
+    return F.transform(bits, lambda b: b + first)
 
 
 def detect_relationships(tables: Mapping[str, DataFrame], min_coverage: int = MIN_COVERAGE) -> DataFrame:
@@ -108,8 +108,8 @@ def as_relationships(detected: DataFrame) -> list[Relationship]:
 
 
 def calendar_column(samples: Sequence[object]) -> str | None:
-    """Calendar column that a time column joins to, judged by its first ten samples."""
-    shown = [str(s) for s in samples if s is not None][:10]
+    """Calendar column that a time column with these values joins to."""
+    shown = [str(s) for s in samples if s is not None]
     if any(re.fullmatch(r"\d{4}-\d{2}-\d{2}", s) for s in shown):
         return "date"
     return "month_year" if any(re.fullmatch(r"\d{4}-\d{2}", s) for s in shown) else None
@@ -122,7 +122,7 @@ def calendar_links(
     linked = {r.source_column for r in existing if r.source == table and r.target == CALENDAR}
     links = []
     for p in profile:
-        target = calendar_column(p.sample_values) if p.role == "time" and p.column_name not in linked else None
+        target = (p.calendar or calendar_column(p.sample_values)) if p.role == "time" and p.column_name not in linked else None
         if target:
             links.append(Relationship(table, p.column_name, CALENDAR, target))
     return links

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.periods import month_range
 from ..functions.values import (
-    PERIOD_NAMES, SCREEN_PERIOD_NAMES, all_of, column, dtype_of, find_period, half_up_cents, member_of,
-    period_at_least, period_at_most, period_between, precise_sum, require_numeric, text, to_cents,
+    PERIOD_NAMES, SCREEN_PERIOD_NAMES, all_of, column, day_text, dtype_of, find_period, half_up_cents, member_of,
+    period_at_least, period_at_most, period_between, precise_sum, require_numeric, to_cents,
 )
 from ..plans.specs import Rule
 
@@ -179,7 +179,7 @@ def _period_column(df: DataFrame, mode: str) -> str | None:
 
 
 def _period_text(df: DataFrame, period: str | None) -> Column:
-    return F.lit(None).cast("string") if period is None else text(column(period), dtype_of(df, period))
+    return F.lit(None).cast("string") if period is None else day_text(column(period), dtype_of(df, period))
 
 
 def _next_steps(df, todo, masks, value, mode, period, key, max_cells):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.values import clean_measure, column, dtype_of, find_period, period_between, precise_sum, text
+from ..functions.values import clean_measure, column, day_text, dtype_of, find_period, period_between, precise_sum
 from ..plans.specs import BaseConfig, ProjectionSpec, Scenario
 from .projection import (
     comparison_base, last_period_and_missing, plan_seasonal, project_future, project_then_rules,
@@ -19,8 +19,6 @@ from .rules import apply_rules, screen_period
 
 log = logging.getLogger(__name__)
 
-MAX_CHAIN = 5  # fixed value: depth of chained scenarios
-
 # Filters on these columns choose what is shown, not what a scenario is computed from.
 CALENDAR_FIELDS = (
     "year", "month", "quarter", "month_year", "month_name", "_period", "period", "_year", "_month", "_month_name",
@@ -36,7 +34,8 @@ def select_base(
     if name is None or not (start or end):
         return df
     kept = df
-    if config.date_column:
+    if config.date_column and "_data_source" not in df.columns:
+        # Only rows straight from the actuals: projected rows keep the native date of the row they were copied from.
         kept = kept.filter(period_between(kept, config.date_column, start, end))
     return kept.filter(period_between(kept, name, start, end, period_mode))
 
@@ -56,11 +55,11 @@ def compute_scenario(
 ) -> DataFrame:
     """Scenario rows: chosen base, copies of its last month for future months named by rules, then the rules.
 
-    A scenario may start from another one's output, up to five links; beyond that the actuals are used.
+    A scenario may start from another one's output, through any number of links; a circle of links raises.
     Rows taken over from another scenario count as actual, also those it projected, and keep the
     ``baseline_<value>`` of the first scenario in the chain.
     """
-    return _compute(base, Scenario.of(scenario), _by_id(scenarios), value, period_mode, 0, {})
+    return _compute(base, Scenario.of(scenario), _by_id(scenarios), value, period_mode, (), {})
 
 
 def compute_scenarios(
@@ -71,34 +70,24 @@ def compute_scenarios(
 ) -> dict[str, DataFrame]:
     """All scenarios by name. One that others start from is worked out once, so its totals are read once."""
     known, done = _by_id(scenarios), {}
-    return {s.name: _compute(base, s, known, value, period_mode, 0, done) for s in known.values()}
+    return {s.name: _compute(base, s, known, value, period_mode, (), done) for s in known.values()}
 
 
-def _compute(actuals, scenario, known, value, period_mode, depth, done):
-    if depth > MAX_CHAIN:
-        log.warning("scenario chain is deeper than %d, using actuals", MAX_CHAIN)
-        return actuals
+def _compute(actuals, scenario, known, value, period_mode, above, done):
+    if scenario.id in above:
+        raise ValueError(f"scenarios start from each other: {' -> '.join([*above[above.index(scenario.id):], scenario.id])}")
     if scenario.id in done:
         return done[scenario.id]
     config, rows = scenario.base, actuals
     if config.source == "scenario" and config.source_scenario_id in known:
-        rows = _compute(actuals, known[config.source_scenario_id], known, value, period_mode, depth + 1, done)
+        rows = _compute(actuals, known[config.source_scenario_id], known, value, period_mode, (*above, scenario.id), done)
     rows = select_base(rows, config, period_mode=period_mode)
     targets = sorted({m for rule in scenario.rules for m in rule.target_months()})
     output = apply_rules(project_future(rows, targets), scenario.rules, value, period_mode=period_mode)
-    if depth + _chain_length(scenario, known) <= MAX_CHAIN:
-        done[scenario.id] = output  # a chain cut off at the limit depends on where it was entered
+    done[scenario.id] = output
     return output
 
 
-def _chain_length(scenario: Scenario, known: Mapping[str, Scenario]) -> int:
-    """Links to the actuals, counted to just past the limit."""
-    links = 0
-    while links <= MAX_CHAIN and scenario.base.source == "scenario" and scenario.base.source_scenario_id in known:
-        scenario, links = known[scenario.base.source_scenario_id], links + 1
-    return links
-
-
 def scenario_with_projection(
     actuals: DataFrame,
     scenario: Scenario | Mapping,
@@ -110,7 +99,7 @@ def scenario_with_projection(
     scenario, known = Scenario.of(scenario), _by_id(scenarios)
     spec, rows = ProjectionSpec.of(projection), actuals
     if scenario.base.source == "scenario" and scenario.base.source_scenario_id in known:
-        rows = _compute(actuals, known[scenario.base.source_scenario_id], known, value, "prefix", 1, {})
+        rows = _compute(actuals, known[scenario.base.source_scenario_id], known, value, "prefix", (scenario.id,), {})
     return project_then_rules(select_base(rows, scenario.base), spec, scenario.rules, value)
 
 
@@ -119,7 +108,7 @@ def scenario_periods(df: DataFrame) -> DataFrame:
     name = find_period(df)
     if name is None or "_data_source" not in df.columns:
         raise ValueError("a scenario result with a period column is needed")
-    period = text(column(name), dtype_of(df, name)).alias("period")
+    period = day_text(column(name), dtype_of(df, name)).alias("period")
     counted = df.groupBy(F.col("_data_source").alias("data_source"), period).agg(F.count(F.lit(1)).alias("rows"))
     return counted.filter("period IS NOT NULL")
 
@@ -146,7 +135,7 @@ def screen_base(
     if period is not None:
         when = column(period)
         if config.base_year:
-            rows = rows.filter(period_between(rows, config.date_column, *config.bounds())) if config.date_column else rows
+            rows = rows.filter(period_between(rows, config.date_column, *config.bounds())) if config.date_column and "_data_source" not in rows.columns else rows
             rows = rows.filter(F.coalesce(when.startswith(config.base_year), F.lit(False)))
         else:
             shown = F.coalesce(when, F.lit(""))
@@ -164,8 +153,9 @@ def screen_scenarios(
     scenarios: Sequence[Scenario | Mapping],
     filters: Mapping[str, Sequence] | None = None,
     value: str = "amount",
+    dims: Sequence[str] | None = None,
 ) -> dict[str, ScreenResult]:
-    """All scenarios in list order, keyed by name, each with its comparison base.
+    """All scenarios in list order, keyed by name, each with its comparison base. ``dims`` as in :func:`project_seasonal`.
 
     A rule with only an end adds no future month here. All filters, calendar ones included, are applied last.
     """
@@ -176,7 +166,7 @@ def screen_scenarios(
         period = screen_period(rows)
         targets = sorted({m for rule in scenario.rules for m in rule.target_months(single_end=False)})
         plan = plan_seasonal(rows, targets, config.base_year, period) if period and targets else {}
-        output = apply_rules(seasonal_rows(rows, plan, value, period), scenario.rules, value, mode="screen")
+        output = apply_rules(seasonal_rows(rows, plan, value, period, dims), scenario.rules, value, mode="screen")
         computed[scenario.id] = screen_filter(output, filters)
         chained = config.source == "scenario" and config.source_scenario_id in plans
         plans[scenario.id] = {**(plans[config.source_scenario_id] if chained else {}), **plan}
@@ -186,7 +176,7 @@ def screen_scenarios(
         if shifted and (chained or not config.base_year):
             _, missing = last_period_and_missing(compared, list(shifted), period)
             shifted = {m: shifted[m] for m in missing}
-        shown = screen_filter(comparison_base(compared, shifted, value, period), filters)
+        shown = screen_filter(comparison_base(compared, shifted, value, period, dims), filters)
         results[scenario.name] = ScreenResult(computed[scenario.id], shown)
     return results
 

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 from .specs import Relationship
 
-MAX_PASSES = 5  # fixed value: depth of dimension chains
-
 
 @dataclass(frozen=True)
 class JoinStep:
@@ -24,19 +22,18 @@ def plan_joins(
     fact: str,
     columns: Mapping[str, Sequence[str]],
     relationships: Sequence[Relationship],
-    max_passes: int = MAX_PASSES,
 ) -> list[JoinStep]:
     """Left joins that reach every table connected to ``fact``.
 
-    Relationships are tried in order, in either direction, in up to ``max_passes`` passes. A table is joined
-    once; a relationship between two joined tables is skipped. The wide table remembers which output column
+    Relationships are tried in order, in either direction, pass after pass until no more table is reached. A table is
+    joined once; a relationship between two joined tables is skipped. The wide table remembers which output column
     carries each ``(table, column)``, so a chained join cannot pick a same-named column of another table. A
     column whose name is taken becomes ``<table>__<column>``.
     """
     carried = {(fact, c): c for c in columns[fact]}
     taken, joined = set(columns[fact]), {fact}
     open_ones, steps = list(relationships), []
-    for _ in range(max_passes):
+    while True:
         waiting = []
         for rel in open_ones:
             here, there = (rel.source, rel.source_column), (rel.target, rel.target_column)

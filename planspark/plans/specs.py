@@ -151,21 +151,25 @@ class ProjectionSpec:
 
 @dataclass(frozen=True)
 class QuerySpec:
-    """Filter, group, aggregate, order, limit. ``limit=0`` returns everything."""
+    """Filter, group, aggregate, order, limit. ``limit=0``, the default, returns everything.
+
+    ``QuerySpec.of`` can give requests without a limit one of their own (``DEFAULT_ROWS``) and refuse more than
+    ``MAX_ROWS``: a limit of the request, not of the engine.
+    """
 
     columns: Sequence[str] | None = None
     filters: Mapping[str, object] = field(default_factory=dict)
     group_by: Sequence[str] = ()
     aggregations: Mapping[str, str] = field(default_factory=dict)
     order_by: Sequence[tuple[str, str]] = ()
-    limit: int = DEFAULT_ROWS
+    limit: int = 0
 
     def __post_init__(self):
-        if not 0 <= self.limit <= MAX_ROWS:
-            raise ValueError(f"limit must be between 0 and {MAX_ROWS}, got {self.limit}")
+        if self.limit < 0:
+            raise ValueError(f"limit must not be negative, got {self.limit}")
 
     @classmethod
-    def of(cls, spec: QuerySpec | Mapping) -> QuerySpec:
+    def of(cls, spec: QuerySpec | Mapping, default_limit: int = 0, max_limit: int | None = None) -> QuerySpec:
         if isinstance(spec, QuerySpec):
             return spec
         known = {k: v for k, v in spec.items() if k in cls.__dataclass_fields__ and v is not None}
@@ -173,4 +177,7 @@ class QuerySpec:
             (o["column"], o.get("direction", "asc")) if isinstance(o, Mapping) else tuple(o)
             for o in known.get("order_by", ())
         )
+        known.setdefault("limit", default_limit)
+        if max_limit is not None and known["limit"] > max_limit:
+            raise ValueError(f"limit must be at most {max_limit}, got {known['limit']}")
         return cls(**known)

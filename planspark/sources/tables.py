@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -72,7 +72,14 @@ def ingest_table(
     profile, rows = profile_columns(safe, display_names=display, approx=approx)
     times = [p.column_name for p in profile if p.role == "time"]
     iso = normalize_periods(safe, [n for n in times if _is_time_like(safe, n)], dayfirst)
-    return IngestResult(iso, [p.as_text() if p.column_name in times else p for p in profile], rows)
+    # Time columns are text, also those of whole numbers, and the profile shows them as they are now.
+    iso = iso.withColumns({n: column(n).cast("string") for n in times if not isinstance(iso.schema[n].dataType, T.StringType)}) if times else iso
+    if times:
+        fresh = {p.column_name: p for p in profile_columns(iso.select(*[column(n) for n in times]), display_names=display, approx=approx)[0]}
+        profile = [replace(p.as_text(), sample_values=fresh[p.column_name].sample_values, unique_count=fresh[p.column_name].unique_count,
+                           calendar=fresh[p.column_name].calendar)
+                   if p.column_name in fresh else p for p in profile]
+    return IngestResult(iso, profile, rows)
 
 
 def _is_time_like(df: DataFrame, name: str) -> bool:
@@ -110,10 +117,28 @@ def stored_rows(spark: SparkSession, path: str) -> int:
 def write_typed(
     df: DataFrame, types: Mapping[str, str], path: str, partition_by: str | None = None, mode: str = "overwrite"
 ) -> int:
-    """Coerce to the declared types, add ``_row_id`` and write with :func:`write_table`."""
+    """Coerce to the declared types, add ``_row_id`` and write with :func:`write_table`.
+
+    Rows appended to a stored table get ids above those it has.
+    """
     typed = coerce_types(df, types)
     stored = [column(n).try_cast(STORED_TYPES[types.get(n, "text")]).alias(n) for n in typed.columns if n != "_row_id"]
-    return write_table(typed.select(*stored).withColumn("_row_id", F.monotonically_increasing_id()), path, partition_by, mode)
+    above = _last_row_id(df.sparkSession, path) + 1 if mode == "append" else 0
+    return write_table(typed.select(*stored).withColumn("_row_id", F.monotonically_increasing_id() + F.lit(above)), path, partition_by, mode)
+
+
+def _last_row_id(spark: SparkSession, path: str) -> int:
+    """Largest ``_row_id`` of a stored table, -1 when there is none; the maximum comes from the files' footers."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+    if "_row_id" not in stored.columns:
+        return -1
+    last = stored.agg(F.max("_row_id")).first()[0]
+    return -1 if last is None else last
 
 
 def export_rows(df: DataFrame) -> DataFrame:

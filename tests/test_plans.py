@@ -145,7 +145,7 @@ def test_running_totals_agree_on_both_paths(spark):
     data = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 37 % 11 - 5).cast("double").alias("v"))
     order = [F.col("v").desc(), F.col("k")]
     one = with_running(data, order, running={"run": "v"})
-    many = with_running(data, order, running={"run": "v"}, single_window_rows=10)
+    many = with_running(data, order, running={"run": "v"})
     assert rows(one, "pos") == rows(many, "pos")
     assert "SinglePartition" not in plan(many).split("BroadcastExchange")[0]
 
@@ -175,3 +175,57 @@ def test_pruning_keeps_the_way_to_a_column():
     kept = prune_joins(steps, ["b__name"])
     assert [(s.table, dict(s.names)) for s in kept] == [("a", {"b_id": "b_id"}), ("b", {"name": "b__name"})]
     assert prune_joins(steps, ["id"]) == []
+
+
+def test_join_planner_reaches_seven_levels_in_any_order():
+    layout = {"f": ["k0", "v"], **{f"t{i}": [f"k{i}", f"k{i + 1}", f"name{i}"] for i in range(7)}}
+    links = [Relationship("f", "k0", "t0", "k0"), *[Relationship(f"t{i}", f"k{i + 1}", f"t{i + 1}", f"k{i + 1}") for i in range(6)]]
+    assert [s.table for s in plan_joins("f", layout, links[::-1])] == [f"t{i}" for i in range(7)]
+
+
+@pytest.mark.parametrize("links", [1, 3, 5])
+def test_scenario_chains_read_the_fact_once(spark, sf, links):
+    chain = [{"id": str(i), "base_config": {"source": "scenario", "source_scenario_id": str(i - 1)} if i else {"base_year": 1997},
+              "rules": [{"type": "multiplier", "factor": 1.1, "periodFrom": f"20{10 + i}-01", "periodTo": f"20{10 + i}-02"}]} for i in range(links)]
+    got = compute_scenario(sales(spark, sf, "period", V), chain[-1], chain, value=V)
+    assert plan(got).count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name, most", [("project_future", 1), ("comparison", 3), ("ui_comparison_base", 2), ("ui_variance_total", 4)])
+def test_projections_add_no_fact_scans(spark, sf, name, most):
+    """One read per side, and one of the dimension columns where a month has no template and gets zero rows."""
+    found = scans(QUERIES[name](spark, sf))
+    assert len(re.findall(r"Location: InMemoryFileIndex[^\n]*lineitem", found)) <= most
+
+
+def test_metric_filters_reach_the_scan(spark, sf):
+    from planspark import eval_metric
+    parts = [{"source_table": "o", "aggregation": "sum", "value_column": "o_totalprice", "sign": s,
+              "filters": [{"column": "o_orderstatus", "operator": "eq", "value": v}]} for s, v in (("+", "F"), ("-", "O"))]
+    text = scans(eval_metric({"o": table(spark, sf, "orders")}, parts))
+    assert "Or(EqualTo(o_orderstatus,F),EqualTo(o_orderstatus,O))" in text
+
+
+def test_many_tables_plan_quickly(spark):
+    import time
+    from planspark import detect_relationships
+    tables = {f"t{i}": spark.range(3).selectExpr(*[f"id + {i % 2} as c{c}" for c in range(10)]) for i in range(66)}
+    start = time.time()
+    found = detect_relationships(tables)
+    assert time.time() - start < 15
+    assert found.filter("source = 't0' AND target = 't65' AND coverage = 66").count() == 10
+
+
+def test_large_totals_do_not_overflow(spark):
+    from planspark.functions import precise_sum
+    got = spark.createDataFrame([(6e18,), (6e18,), (0.25,)], "v double").agg(precise_sum(F.col("v"))).first()[0]
+    assert got == 1.2e19
+
+
+def test_appended_rows_get_new_ids(spark, tmp_path):
+    from planspark import write_typed
+    path = str(tmp_path / "typed")
+    data = spark.createDataFrame([(str(i),) for i in range(5)], "n string")
+    write_typed(data, {"n": "integer"}, path)
+    assert write_typed(data, {"n": "integer"}, path, mode="append") == 5
+    assert spark.read.parquet(path).select("_row_id").distinct().count() == 10

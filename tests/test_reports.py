@@ -50,7 +50,7 @@ def test_query_rules(facts):
             run_query(facts, bad)
     assert run_query(facts, {"filters": {"zzz": 1}}, lenient=True).count() == 4
     with pytest.raises(ValueError):
-        QuerySpec(limit=10_001)
+        QuerySpec.of({"limit": 10_001}, max_limit=10_000)
 
 
 def test_tool_query(facts):

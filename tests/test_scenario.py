@@ -22,7 +22,7 @@ def base(spark):
 def test_month_ranges():
     assert month_range("2024-11", "2025-02") == ["2024-11", "2024-12", "2025-01", "2025-02"]
     assert month_range("bad", "2025-02") == [] and month_range("2025-02", "2025-01") == []
-    assert len(month_range("2000-01", "2050-01")) == 121
+    assert len(month_range("2000-01", "2050-01")) == 601
     assert next_months("2024-11", 3) == ["2024-12", "2025-01", "2025-02"]
 
 
@@ -69,10 +69,44 @@ def test_chain_uses_the_other_output_and_keeps_the_first_baseline(base):
     assert rows(got) == [("a", 400.0, 20.0), ("b", 600.0, 30.0)]
 
 
-def test_circular_chain_ends_after_five_links(base):
-    loop = {"id": "x", "base_config": {"source": "scenario", "source_scenario_id": "x"}, "rules": [{"type": "multiplier", "factor": 2}]}
-    got = compute_scenario(base, loop, [loop])
-    assert rows(got.filter("_row_id = 1").select("amount", "baseline_amount")) == [(640.0, 10.0)]
+def test_circular_chain_raises_naming_the_scenarios(base):
+    loop = [{"id": i, "base_config": {"source": "scenario", "source_scenario_id": j}, "rules": [{"type": "multiplier", "factor": 2}]}
+            for i, j in (("x", "y"), ("y", "x"))]
+    with pytest.raises(ValueError, match="x -> y -> x"):
+        compute_scenario(base, loop[0], loop)
+
+
+def test_long_chain_starts_from_the_actuals(base):
+    chain = [{"id": str(i), "base_config": {"source": "scenario", "source_scenario_id": str(i - 1)} if i else {},
+              "rules": [{"type": "multiplier", "factor": 2}]} for i in range(8)]
+    got = compute_scenario(base, chain[-1], chain)
+    assert rows(got.filter("_row_id = 1").select("amount", "baseline_amount")) == [(2560.0, 10.0)]
+
+
+def test_projection_reaches_every_month_of_a_long_range(base):
+    got = compute_scenario(base, {"id": "s", "rules": [{"type": "offset", "offset": 1800, "distribution": "equal", "periodFrom": "2025-01", "periodTo": "2039-12"}]})
+    assert got.filter("_data_source = 'projected'").select("period").distinct().count() == 180
+    moved = got.filter("_data_source = 'projected'").selectExpr("sum(amount - baseline_amount) as s").first()[0]
+    assert moved == pytest.approx(1800)
+
+
+def test_screen_offset_over_a_long_range_is_conserved(spark):
+    from planspark import apply_rules
+    months = [f"{y}-{m:02d}" for y in range(2025, 2040) for m in range(1, 13)]
+    data = spark.createDataFrame([(p, 100.0) for p in months], "period string, amount double")
+    got = apply_rules(data, [{"type": "offset", "offset": 1800, "distribution": "equal", "periodFrom": months[0], "periodTo": months[-1]}], mode="screen")
+    assert got.selectExpr("sum(amount)").first()[0] == pytest.approx(18_000 + 1_800)
+
+
+def test_date_column_does_not_drop_projected_rows(spark):
+    import datetime as dt
+    data = spark.createDataFrame([("2024-12", dt.date(2024, 12, 5), 10.0, 1), ("2024-12", dt.date(2024, 12, 9), 20.0, 2)],
+                                 "period string, day date, amount double, _row_id long")
+    first = {"id": "a", "base_config": {"base_year": 2024, "date_column": "day"}, "rules": [{"type": "multiplier", "factor": 2, "periodFrom": "2025-01", "periodTo": "2025-01"}]}
+    second = {"id": "b", "base_config": {"source": "scenario", "source_scenario_id": "a", "base_year": 2025, "date_column": "day"},
+              "rules": [{"type": "multiplier", "factor": 3}]}
+    got = compute_scenario(data, second, [first, second])
+    assert rows(got.select("period", "amount")) == [("2025-01", 120.0), ("2025-01", 60.0)]
 
 
 def test_unknown_source_falls_back_to_actuals(base):

@@ -37,7 +37,7 @@ def query_order_limit(spark, sf):
     return run_query(table(spark, sf, "orders"), {
         "columns": ["o_orderkey", "o_orderpriority", "o_totalprice"],
         "order_by": [{"column": "o_orderpriority"}, {"column": "o_totalprice", "direction": "desc"},
-                     {"column": "o_orderkey"}],
+                     {"column": "o_orderkey"}], "limit": 1000,
     })
 
 

@@ -157,7 +157,7 @@ def ui_scenario_base(spark, sf):
 @query("project_seasonal", f"""WITH {SEASONAL_SQL}
     SELECT period, c_mktsegment, COALESCE(tpl, '-') AS template, COUNT(*) AS n, {money('v')} AS value FROM e0 GROUP BY 1, 2, 3""")
 def project_seasonal_(spark, sf):
-    base = screen_base(_season_rows(spark, sf), {"base_year": 1997}).drop("l_shipdate")
+    base = screen_base(_season_rows(spark, sf), {"base_year": 1997})
     got = project_seasonal(base, list(FUTURE), "1997", V).withColumn("template", F.coalesce("_baseline_period", F.lit("-")))
     return by_period(got, ("period", "c_mktsegment", "template"))
 
@@ -165,14 +165,14 @@ def project_seasonal_(spark, sf):
 @query("ui_comparison_base", f"""WITH {SEASONAL_SQL}
     SELECT period, c_mktsegment, tpl IS NOT NULL AS shifted, COUNT(*) AS n, {money('v')} AS value FROM e0 GROUP BY 1, 2, 3""")
 def ui_comparison_base(spark, sf):
-    base = screen_base(_season_rows(spark, sf), {"base_year": 1997}).drop("l_shipdate")
+    base = screen_base(_season_rows(spark, sf), {"base_year": 1997})
     plan = plan_seasonal(base, list(FUTURE), "1997", "period")
     got = comparison_base(base, plan, V).withColumn("shifted", F.coalesce("_is_comparison_base", F.lit(False)))
     return by_period(got, ("period", "c_mktsegment", "shifted"))
 
 
 def _season(spark, sf):
-    return screen_scenarios(_season_rows(spark, sf).withColumn("l_shipdate", F.trunc("l_shipdate", "year")), [SEASON], value=V)["Season"]
+    return screen_scenarios(_season_rows(spark, sf), [SEASON], value=V)["Season"]
 
 
 @query("ui_variance_total", f"""WITH {SEASONAL_SQL}, {SEASON_RULES},
