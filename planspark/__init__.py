@@ -21,6 +21,7 @@ from .operators.scenario import (
     compute_scenario, compute_scenarios, period_delta, scenario_periods, scenario_with_projection, screen_base, screen_scenarios,
     select_base, variance_total,
 )
+from .operators.upload import UploadedModel, ingest_tables
 from .operators.transform import apply_step, apply_steps, mark_applied, output_role, preview_step, reject
 from .plans.specs import BaseConfig, ProjectionSpec, QuerySpec, Relationship, Rule, Scenario, TableModel
 from .sources.infer import coerce_types, infer_types, normalize_period

@@ -96,8 +96,14 @@ def _members(word: str, first: int) -> Column:
     return F.transform(bits, lambda b: b + first)
 
 
-def detect_relationships(tables: Mapping[str, DataFrame], min_coverage: int = MIN_COVERAGE) -> DataFrame:
-    """Pairs whose coverage reaches the minimum."""
+def detect_relationships(
+    tables: Mapping[str, DataFrame], min_coverage: int = MIN_COVERAGE, profiles: Mapping[str, Sequence[ColumnProfile]] | None = None
+) -> DataFrame:
+    """Pairs whose coverage reaches the minimum. With ``profiles``, measures and ignored columns are not compared."""
+    if profiles is not None:
+        tables = {
+            name: df.select(*[column(p.column_name) for p in profiles[name] if p.role not in ("measure", "ignore")]) if name in profiles else df
+            for name, df in tables.items()}
     return relationship_scores(tables).filter(F.col("coverage") >= min_coverage)
 
 

@@ -65,10 +65,22 @@ def ingest_table(
     approx: bool = False,
 ) -> IngestResult:
     """Read a delimited file into a typed table with safe names, a column profile and ISO time columns."""
+    safe, display = read_typed(spark, path, sep, infer_bool_digits, decimal_style)
+    return profiled(safe, display, dayfirst, approx)
+
+
+def read_typed(
+    spark: SparkSession, path: str, sep: str | None = None, infer_bool_digits: bool = True, decimal_style: str = "us"
+) -> tuple[DataFrame, dict[str, str]]:
+    """A delimited file with inferred types and safe names, and the names as they were."""
     if not re.search(r"\.(csv|tsv|txt)/?$", path.lower()):
         raise ValueError(f"unsupported file type: {path}; use one of {', '.join(DELIMITED_SUFFIXES)}")
     typed = infer_types(read_delimited(spark, path, sep), infer_bool_digits, decimal_style=decimal_style)
-    safe, display = sanitize_columns(typed)
+    return sanitize_columns(typed)
+
+
+def profiled(safe: DataFrame, display: Mapping[str, str], dayfirst: bool = True, approx: bool = False) -> IngestResult:
+    """Profile of a typed table; its time columns become ISO text."""
     profile, rows = profile_columns(safe, display_names=display, approx=approx)
     times = [p.column_name for p in profile if p.role == "time"]
     iso = normalize_periods(safe, [n for n in times if _is_time_like(safe, n)], dayfirst)

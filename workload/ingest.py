@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planspark import (
-    coerce_types, export_rows, infer_types, ingest_table, measure_stats, normalize_period, profile_columns, read_delimited,
+    coerce_types, export_rows, infer_types, ingest_table, ingest_tables, measure_stats, normalize_period, profile_columns, read_delimited,
     sanitize_columns, write_typed,
 )
 from planspark.operators.profile import column_facts
@@ -161,3 +161,38 @@ def normalize_period_(spark, sf):
     for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 def measure_stats_(spark, sf):
     return measure_stats(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def _uploads(spark, sf):
+    """Orders, customers and nations as text files whose key columns share their names."""
+    shapes = {
+        "orders": [F.col("o_orderkey").alias("Order Nr"), F.col("o_custkey").alias("Cust Nr"), F.date_format("o_orderdate", "dd-MM-yyyy").alias("Order Date"),
+                   F.year("o_orderdate").alias("Year"), F.col("o_totalprice").alias("Total Amount")],
+        "customer": [F.col("c_custkey").alias("Cust Nr"), F.col("c_name").alias("Cust Name"), F.col("c_nationkey").alias("Nation Nr"), F.col("c_mktsegment").alias("Segment")],
+        "nation": [F.col("n_nationkey").alias("Nation Nr"), F.col("n_name").alias("Nation Name")],
+    }
+    paths = {}
+    for name, columns in shapes.items():
+        paths[name] = new_path(spark, name) + ".csv"
+        table(spark, sf, name).select(*columns).write.csv(paths[name], sep=";", header=True)
+    return paths
+
+
+@query("ingest_model", f"""
+    SELECT n.n_name AS nation_name, strftime(o.o_orderdate, '%Y-%m') AS month_year, strftime(o.o_orderdate, '%Y') AS year_text,
+           count(*) AS n, {rounded(exact('o_totalprice'))} AS total
+    FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2, 3""")
+def ingest_model(spark, sf):
+    uploaded = ingest_tables(spark, _uploads(spark, sf))
+    wide = uploaded.baseline(["nation_name", "month_year", "year", "total_amount"])
+    got = wide.groupBy("nation_name", "month_year", F.col("year").alias("year_text")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("total_amount").cast("decimal(28,10)")).cast("double").alias("total"))
+    return cents(got, "total")
+
+
+@query("ingest_model_labels", """
+    SELECT column_name, count(*) AS n, min(display_label) AS first_label FROM (
+        SELECT 'cust_nr' AS column_name, c_name AS display_label FROM customer) GROUP BY 1""")
+def ingest_model_labels(spark, sf):
+    labels = ingest_tables(spark, _uploads(spark, sf)).labels
+    return labels.groupBy("column_name").agg(F.count(F.lit(1)).alias("n"), F.min("display_label").alias("first_label"))
