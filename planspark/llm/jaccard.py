@@ -4,9 +4,10 @@ Documents with equal sets are one node. Two sets that link share a token within
 tokens; here tokens that are seen to occur once come first, so that only documents made of shared tokens reach the
 index. Index lists are worked off in two ways. First every list's least node is compared with all others of the list. Then
 only lists that still join different components are read in blocks ordered by set size and token position, and blocks whose
-sizes or positions rule out a link are skipped. A pair of two sets that were both compared with a third gets its answer from
-those answers where the bounds decide it: |x & y| lies between |x & p| + |y & p| - |p| and
-min(|x & p|, |y & p|) + min(|x - p|, |y - p|).
+sizes or positions rule out a link are skipped. Within a list, two sets get their answer from those of the list's least node p
+where the bounds decide it: |x & y| lies between |x & p| + |y & p| - |p| and min(|x & p|, |y & p|) + min(|x - p|, |y - p|).
+Before a pair is compared in full, its prefixes are: of two sets, the one whose prefix ends first may miss at most
+|x| - needed of its prefix tokens in the other's prefix, counted from below on a bit map of each prefix.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .texts import byte_column, chunks, mixed, ragged, shingles, word_hashes
 
 MEMBERS = 1_024  # of a compared set, per group
 BLOCK = 256      # index entries that are skipped together
+MAP = 4          # words of 64 bits that map a prefix
+MAPS = [f"m{i}" for i in range(MAP)]
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,13 @@ class Similarity:
         sizes = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
         return sizes & (F.least(n - p, m - q) >= self.needed_column(n, m))
 
+    def prefixes_fit(self, x: str, y: str) -> Column:
+        """Whether the maps of two prefixes (structs of ``n, alone, last`` and the map) leave room for a link."""
+        def missing(a, b):
+            seen = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseAND(F.bitwise_not(f"{b}.{w}"))) for w in MAPS), F.lit(0))
+            return F.col(f"{a}.alone") + seen <= F.col(f"{a}.n") - self.needed_column(F.col(f"{x}.n"), F.col(f"{y}.n"))
+        return F.when(F.col(f"{x}.last") <= F.col(f"{y}.last"), missing(x, y)).otherwise(missing(y, x))
+
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of every document's set (63-bit, ascending), their number, and the key of the set."""
@@ -85,7 +95,11 @@ def set_table(docs: DataFrame, how: Similarity) -> DataFrame:
 
 
 def index(sets: DataFrame, how: Similarity) -> DataFrame:
-    """Prefix tokens that may be shared, stored: ``token, k, n, pos``."""
+    """Prefix tokens that may be shared, stored: ``token, k, n, pos``, and what describes the set's prefix as a whole.
+
+    ``alone`` is the number of its tokens that no other set has, ``last`` its last shared token, ``m0, m1, ...`` the map of its
+    shared tokens.
+    """
     limit = how.counted()
     counted = sets.select(F.explode("low").alias("token")).filter(F.col("token") < limit)
     repeated = bit_set(counted.groupBy("token").count().filter("count > 1"), F.col("token"))
@@ -103,11 +117,18 @@ def index(sets: DataFrame, how: Similarity) -> DataFrame:
             place = before[owner] + np.arange(len(tokens)) - np.repeat(np.concatenate(([0], np.cumsum(number)[:-1])), number)
             kept = place < how.prefix(sizes)[owner]
             owner, tokens, place = owner[kept], tokens[kept], place[kept]
+            last = np.zeros(len(counts), np.int64)
+            np.maximum.at(last, owner, tokens)
+            maps = np.zeros((len(counts), MAP), np.uint64)
+            spot = tokens.view(np.uint64) & np.uint64(64 * MAP - 1)
+            np.bitwise_or.at(maps, (owner, (spot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (spot & np.uint64(63)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens), batch.column(0).take(pa.array(owner)), pa.array(sizes[owner]), pa.array(place)], ["token", "k", "n", "pos"])
+                [pa.array(tokens), batch.column(0).take(pa.array(owner)), pa.array(sizes[owner]), pa.array(place), pa.array(before[owner]),
+                 pa.array(last[owner]), *[pa.array(maps[owner, i].view(np.int64)) for i in range(MAP)]],
+                ["token", "k", "n", "pos", "alone", "last", *MAPS])
 
     path = new_path(sets.sparkSession, "index")
-    (sets.filter("k IS NOT NULL").select("k", "n", "low").mapInArrow(run, "token long, k long, n long, pos long")
+    (sets.filter("k IS NOT NULL").select("k", "n", "low").mapInArrow(run, ", ".join(f"{c} long" for c in ("token", "k", "n", "pos", "alone", "last", *MAPS)))
      .write.parquet(path))
     return sets.sparkSession.read.parquet(path)
 
@@ -166,10 +187,33 @@ def _members(member: BitSet):
     return run
 
 
+ENTRY = ("token", "band", "n", "pos", "k", "c", "home", "o", "np", "alone", "last", *MAPS)
+
+
 def _skipping(how: Similarity):
-    """Pairs of different components in every (token, band) run of sorted entries, by blocks."""
-    def pairs_of(n, pos, k, c, home):
-        out = []
+    """Pairs of different components in every (token, band) run of sorted entries, by blocks: ``a, x, sure``.
+
+    ``o`` is the entry's intersection with the list's least node (-1 if they were not compared), ``np`` that node's size.
+    """
+    column = {c: i for i, c in enumerate(ENTRY)}
+
+    def missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        first = column["m0"]
+        bits = np.bitwise_count((x[:, first:first + MAP] & ~y[:, first:first + MAP]).view(np.uint64))
+        return x[:, column["alone"]] + bits.sum(1)
+
+    def judged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair must be looked at, and whether it is linked for sure."""
+        n, m, last = x[:, column["n"]], y[:, column["n"]], column["last"]
+        need = how.needed(n, m)
+        open_ = np.where(x[:, last] <= y[:, last], missing(x, y) <= n - need, missing(y, x) <= m - need)
+        o, q, size = x[:, column["o"]], y[:, column["o"]], x[:, column["np"]]
+        known = (o >= 0) & (q >= 0)
+        open_ &= ~known | (np.minimum(o, q) + np.minimum(n - o, m - q) >= need)
+        return open_, known & (o + q - size >= need)
+
+    def pairs_of(rows: np.ndarray):
+        n, pos, c, home = (rows[:, column[x]] for x in ("n", "pos", "c", "home"))
         blocks = [slice(i, i + BLOCK) for i in range(0, len(n), BLOCK)]
         least = np.array([n[b].min() for b in blocks])
         most = np.array([n[b].max() for b in blocks])
@@ -184,31 +228,42 @@ def _skipping(how: Similarity):
                 big, small = n[y][None, :], n[x][:, None]
                 ok = 100 * np.minimum(small, big) >= how.percent * np.maximum(small, big)
                 ok &= np.minimum((n[x] - pos[x])[:, None], (n[y] - pos[y])[None, :]) >= how.needed(small, big)
-                ok &= (c[x][:, None] != c[y][None, :]) & (home[x][:, None] | home[y][None, :])
+                ok &= (c[x][:, None] != c[y][None, :]) & ((home[x][:, None] | home[y][None, :]) == 1)
                 if i == j:
                     ok &= np.triu(np.ones(ok.shape, bool), 1)
                 u, v = np.nonzero(ok)
                 if len(u):
-                    out.append((np.minimum(k[x][u], k[y][v]), np.maximum(k[x][u], k[y][v])))
-        return out
+                    one, two = rows[x][u], rows[y][v]
+                    open_, sure = judged(one, two)
+                    if open_.any():
+                        k, l = one[open_, column["k"]], two[open_, column["k"]]
+                        yield np.stack((np.minimum(k, l), np.maximum(k, l), sure[open_]), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def finish(rows: np.ndarray):
             cuts = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
+            found, size = [], 0
             for part in np.split(rows, cuts):
                 if len(part) > 1:
-                    found = pairs_of(part[:, 2], part[:, 3], part[:, 4], part[:, 5], part[:, 6] == 1)
-                    if found:
-                        a, x = (np.concatenate(c) for c in zip(*found))
-                        both = np.unique(np.stack((a, x), 1), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "x"])
+                    for pairs in pairs_of(part):
+                        found.append(pairs)
+                        size += len(pairs)
+                        if size > 200_000:
+                            yield emitted(found)
+                            found, size = [], 0
+            if found:
+                yield emitted(found)
+
+        def emitted(found):
+            both = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2] == 1)], ["a", "x", "sure"])
 
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(i), np.int64) for i in range(7)], 1)
-            if not len(rows):
+            if not batch.num_rows:
                 continue
+            rows = np.stack([np.asarray(batch.column(i), np.int64) for i in range(len(ENTRY))], 1)
             held.append(rows)
             whole = np.concatenate(held) if len(held) > 1 else rows
             last = (whole[:, :2] == whole[-1, :2]).all(1)
@@ -226,10 +281,16 @@ def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataF
     sets = set_table(docs, how)
     entries = index(sets, how)
     named = sets.filter("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
-    lists = settle(entries.groupBy("token").agg(F.min(F.struct("k", "n", "pos")).alias("a"), F.max("k").alias("last")).filter("a.k < last").drop("last"))
+    lists = settle(entries.groupBy("token").agg(F.min(F.struct("k", "n", "pos")).alias("a"), F.max("k").alias("last_k")).filter("a.k < last_k").drop("last_k"))
     shared = settle(entries.join(lists, "token").select("token", "k", "n", "pos", "a").distinct())
+    prefix = settle(entries.select("k", F.struct("n", "alone", "last", *MAPS).alias("x")).distinct())
+
+    # Every list's least node with all others of the list.
     first = shared.filter(F.col("k") != F.col("a.k")).filter(how.fits(F.col("n"), F.col("pos"), F.col("a.n"), F.col("a.pos")))
-    answers = compare(first.select(F.col("a.k").alias("a"), F.col("k").alias("x")).distinct(), docs, named, how)
+    pairs = first.select(F.col("a.k").alias("a"), "k").distinct()
+    near = (pairs.join(prefix, "k").join(prefix.select(F.col("k").alias("a"), F.col("x").alias("y")), "a")
+            .filter(how.prefixes_fit("x", "y")).select("a", F.col("k").alias("x")))
+    answers = compare(near, docs, named, how)
     linked = 100 * F.col("both") >= how.percent * (F.col("n") + F.col("m") - F.col("both"))
     found = components(answers.filter(linked).select("a", F.col("x").alias("b")))
 
@@ -237,26 +298,21 @@ def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataF
     classed = shared.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
     several = classed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / how.percent))))
-    rest = classed.join(several, "token").filter(F.col("k") != F.col("a.k")).select("token", band.alias("own"), "n", "pos", "k", "c")
+    known = answers.select(F.col("a").alias("p"), F.col("x").alias("k"), F.col("both").alias("o"))
+    rest = (classed.join(several, "token").filter(F.col("k") != F.col("a.k"))
+            .select("token", band.alias("own"), "pos", "k", "c", F.col("a.k").alias("p"), F.col("a.n").alias("np"))
+            .join(known, ["p", "k"], "left").withColumn("o", F.coalesce("o", F.lit(-1))).join(prefix, "k"))
     # A pair's sizes lie in the same or in neighbouring bands: each entry is also a guest in the next one.
-    dealt = rest.select("token", F.explode(F.array(
+    dealt = rest.withColumn("to", F.explode(F.array(
         F.struct(F.col("own").alias("band"), F.lit(1).cast("long").alias("home")),
-        F.struct((F.col("own") + 1).alias("band"), F.lit(0).cast("long").alias("home")))).alias("to"), "n", "pos", "k", "c")
-    runs = (dealt.select("token", F.col("to.band").alias("band"), "n", "pos", "k", "c", F.col("to.home").alias("home"))
+        F.struct((F.col("own") + 1).alias("band"), F.lit(0).cast("long").alias("home")))))
+    at = {"band": "to.band", "home": "to.home", **{c: f"x.{c}" for c in ("n", "alone", "last", *MAPS)}}
+    runs = (dealt.select(*[F.col(at.get(c, c)).cast("long").alias(c) for c in ENTRY])
             .repartition("token", "band").sortWithinPartitions("token", "band", "n", "pos", "k"))
-    pairs = runs.mapInArrow(_skipping(how), "a long, x long").distinct()
+    pairs = runs.mapInArrow(_skipping(how), "a long, x long, sure boolean").groupBy("a", "x").agg(F.max("sure").alias("sure"))
     pairs = settle(pairs.join(answers.select("a", "x"), ["a", "x"], "left_anti"))
-
-    # Answers that follow from those of a set compared with both.
-    one = answers.select(F.col("a").alias("p"), F.col("x").alias("a"), F.col("both").alias("o1"), F.col("m").alias("n1"), F.col("n").alias("np"))
-    two = answers.select(F.col("a").alias("p"), F.col("x"), F.col("both").alias("o2"), F.col("m").alias("n2"))
-    bounds = pairs.join(one, "a").join(two, ["p", "x"]).withColumn("need", how.needed_column(F.col("n1"), F.col("n2")))
-    derived = settle(bounds.groupBy("a", "x").agg(
-        F.max(F.col("o1") + F.col("o2") - F.col("np") >= F.col("need")).alias("yes"),
-        F.max(F.least("o1", "o2") + F.least(F.col("n1") - F.col("o1"), F.col("n2") - F.col("o2")) < F.col("need")).alias("no"),
-    ).filter("yes OR no"))
-    more = compare(pairs.join(derived.select("a", "x"), ["a", "x"], "left_anti"), docs, named, how)
-    links = more.filter(linked).select("a", "x").union(derived.filter("yes").select("a", "x"))
+    more = compare(pairs.filter("NOT sure").select("a", "x"), docs, named, how)
+    links = more.filter(linked).select("a", "x").union(pairs.filter("sure").select("a", "x"))
     ends = [found.select(F.col("k").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "x")]
     bridges = links.join(ends[0], "a", "left").join(ends[1], "x", "left").select(
         F.coalesce("ca", "a").alias("a"), F.coalesce("cx", "x").alias("b"))
