@@ -28,6 +28,6 @@ def bit_set(rows: DataFrame, hashes: Column, bits: int = BITS) -> BitSet:
     one = F.expr("shiftleft(1L, cast(at & 63 as int))")
     found = rows.select(at.alias("at")).filter("at IS NOT NULL").select(F.shiftright("at", 6).alias("word"), one.alias("bit"))
     words = np.zeros(bits // 64, np.uint64)
-    table = found.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    table = found.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow().to_pandas()
     words[table["word"].to_numpy(np.int64)] = table["bit"].to_numpy(np.int64).view(np.uint64)
     return BitSet(words)

@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: i
                 [batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], ["label", "terms"])
 
     sample = labelled_sample(docs, labels, "toxic", per_class, folds, held_fold)
-    rows = sample.select("label", "text").mapInArrow(terms, "label int, terms binary").toPandas()
+    rows = sample.select("label", "text").mapInArrow(terms, "label int, terms binary").toArrow().to_pandas()
     rows = rows.sort_values(["label", "terms"], kind="stable")
     found = [np.frombuffer(bytes(x), np.int32) for x in rows["terms"]]
     merged = np.concatenate(found) if found else np.empty(0, np.int32)
