@@ -3,7 +3,8 @@
 A byte goes if a 100-byte string that starts earlier covers it again. Every 100-byte window is owned by its anchor, the
 leftmost 32-byte string with the least hash inside it, so equal windows have equal anchors, and the windows of one anchor
 form one short context. Contexts whose anchor occurs once repeat nothing. Equal contexts need no look inside: all but the
-first go. What is left, different contexts of one anchor, is dealt to shards by anchor. A shard sorts its suffixes by
+first go. Different contexts can share a window only if they share 34 bytes on one side of their anchor, since a window
+has 68 beside it. What is left is dealt to shards by anchor. A shard sorts its suffixes by
 prefix doubling that only refines groups not yet sorted (Larsson and Sadakane), takes common prefixes by Kasai's scan, side
 by side for all contexts, and finds windows that an earlier one equals. An anchor with too many contexts is
 split over shards; the first windows of each then meet by digest.
@@ -25,16 +26,21 @@ from .texts import Rolling, byte_column, chunks, mixed
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
-SHARD_BYTES = 1_500_000
+SIDE = (LENGTH - GRAM) // 2
+SHARD_BYTES = 400_000
 SPLIT_CONTEXTS = 10_000  # contexts of one anchor beyond which it is split
 PARTS = 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows: document, anchor hash, context hash, and the first and last window start in the array."""
+    """Anchors of all windows: document, anchor hash, context hash, first and last window start in the array, side hashes.
+
+    The side hashes are those of the anchor with the ``SIDE`` bytes to its left and to its right, 0 where its windows
+    do not have as many.
+    """
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none, none, none
+        return none, none, none, none, none, none, none
     rolling = Rolling(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = rolling.ranges(at, at + GRAM)
@@ -73,7 +79,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         first, last, place = (np.concatenate((x[kept], y)) for x, y in zip((first, last, place), more))
     owner = np.searchsorted(offsets, first, "right") - 1
     context = mixed(rolling.ranges(first, last + LENGTH) ^ mixed((place - first).astype(np.uint64)))
-    return owner, grams[place].view(np.int64), context.view(np.int64), first, last
+    left, right = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+    ok = place - first >= SIDE
+    left[ok] = rolling.ranges(place[ok] - SIDE, place[ok] + GRAM)
+    ok = last + LENGTH - place >= GRAM + SIDE
+    right[ok] = mixed(rolling.ranges(place[ok], place[ok] + GRAM + SIDE))
+    return owner, grams[place].view(np.int64), context.view(np.int64), first, last, left.view(np.int64), right.view(np.int64)
 
 
 def _document_keys(docs: DataFrame) -> DataFrame:
@@ -96,24 +107,25 @@ def _occurrences(repeated: BitSet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             data, offsets = byte_column(batch.column(2))
-            owner, anchor, context, first, last = anchors(data, offsets)
+            owner, anchor, context, first, last, left, right = anchors(data, offsets)
             kept = repeated.has(anchor)
             owner, first, last = owner[kept], first[kept], last[kept]
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor[kept]), pa.array(context[kept]), batch.column(0).take(rows), batch.column(1).take(rows),
-                 pa.array(first - offsets[owner]), pa.array((last - first).astype(np.int32))], ["anchor", "ctx", "d", "h", "low", "more"])
+                 pa.array(first - offsets[owner]), pa.array((last - first).astype(np.int32)), pa.array(left[kept]), pa.array(right[kept])],
+                ["anchor", "ctx", "d", "h", "low", "more", "lkey", "rkey"])
     return run
 
 
-def _contexts(firsts: BitSet, split: BitSet):
+def _contexts(firsts: BitSet, sides: BitSet, split: BitSet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             data, offsets = byte_column(batch.column(2))
-            owner, anchor, context, first, last = anchors(data, offsets)
+            owner, anchor, context, first, last, left, right = anchors(data, offsets)
             d = np.asarray(batch.column(0), np.int64)
             low = first - offsets[owner]
-            kept = firsts.has(_spot(context, d[owner], low))
+            kept = firsts.has(_spot(context, d[owner], low)) & ((left != 0) & sides.has(left) | (right != 0) & sides.has(right))
             owner, anchor, context, first, last = owner[kept], anchor[kept], context[kept], first[kept], last[kept]
             part = np.where(split.has(anchor), 1 + (context.view(np.uint64) >> np.uint64(40)).astype(np.int64) % PARTS, 0)
             rows = pa.array(owner)
@@ -260,19 +272,21 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     repeated = bit_set(counted.filter("n > 1"), F.col("anchor"))
 
     path = new_path(spark, "anchors")
-    keyed.mapInArrow(_occurrences(repeated), "anchor long, ctx long, d long, h long, low long, more int").write.parquet(path)
+    keyed.mapInArrow(_occurrences(repeated), "anchor long, ctx long, d long, h long, low long, more int, lkey long, rkey long").write.parquet(path)
     found = spark.read.parquet(path)
     spot = F.struct("d", "h", "low")
     path = new_path(spark, "contexts")
-    found.groupBy("anchor", "ctx").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+    (found.groupBy("anchor", "ctx").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n"), F.min("lkey").alias("lkey"), F.min("rkey").alias("rkey"))
+     .write.parquet(path))
     classes = spark.read.parquet(path)
     copies = found.join(classes.filter("n > 1").select("anchor", "ctx", "first"), ["anchor", "ctx"]).filter(F.col("first") != spot).select(
         "d", "h", F.col("low").alias("start"), (F.col("low") + F.col("more") + LENGTH).alias("end"))
 
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    firsts = classes.select("anchor", "ctx", "first").join(several, "anchor")
+    firsts = classes.select("anchor", "ctx", "first", "lkey", "rkey").join(several, "anchor")
+    sides = firsts.select(F.explode(F.array("lkey", "rkey")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1")
     spots = F.col("ctx").bitwiseXOR(F.col("first.d")).bitwiseXOR(F.shiftleft("first.low", 5))
-    wanted = _contexts(bit_set(firsts, spots), bit_set(several.filter(F.col("kinds") > SPLIT_CONTEXTS), F.col("anchor")))
+    wanted = _contexts(bit_set(firsts, spots), bit_set(sides, F.col("key")), bit_set(several.filter(F.col("kinds") > SPLIT_CONTEXTS), F.col("anchor")))
     contexts = keyed.mapInArrow(wanted, "anchor long, part int, d long, h long, low long, bytes binary")
     dealt = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     path = new_path(spark, "windows")
