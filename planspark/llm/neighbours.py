@@ -18,11 +18,11 @@ from ..sources.shared import settle
 
 DEGREE = 24         # neighbours per node
 JOINED = 12         # nearest neighbours that meet at a node in a round, and as many reverse ones
-TREES = 6
+TREES = 8
 CELL = 8192         # nodes that are compared with each other directly
 ROUNDS = 1          # of NN-descent
-BEAM = 48           # nodes that a query keeps
-HOPS = 2            # rounds of the search at most
+BEAM = 64           # nodes that a query keeps
+HOPS = 3            # rounds of the search at most
 SAMPLE = 20_000     # vectors that set the trees' thresholds
 MERGED = 2_048      # nodes whose lists are merged in one group
 SEED = 5
@@ -154,7 +154,7 @@ def _local_join(group: pd.DataFrame) -> pd.DataFrame:
 def build_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, trees: int = TREES, cell: int = CELL) -> DataFrame:
     """The neighbour graph ``u, v[], d[]`` (nearest first) of stored nodes ``u, x`` with packed vectors."""
     levels = max(0, int(np.ceil(np.log2(max(count, 1) / cell))))
-    sample = _matrix(nodes.orderBy(F.xxhash64("u"), "u").limit(SAMPLE).toPandas()["x"])  # at most SAMPLE rows
+    sample = _matrix(nodes.orderBy(F.xxhash64("u"), "u").limit(SAMPLE).toArrow().to_pandas()["x"])  # at most SAMPLE rows
     forest = Trees(sample, levels, trees)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
