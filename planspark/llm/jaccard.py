@@ -2,12 +2,12 @@
 
 Documents with equal sets are one node. Two sets that link share a token within their prefixes, in any global order of the
 tokens; here tokens that are seen to occur once come first, so that only documents made of shared tokens reach the
-index. Index lists are worked off in two ways. First every list's least node is compared with all others of the list. Then
-only lists that still join different components are read in blocks ordered by set size and token position, and blocks whose
-sizes or positions rule out a link are skipped. Within a list, two sets get their answer from those of the list's least node p
-where the bounds decide it: |x & y| lies between |x & p| + |y & p| - |p| and min(|x & p|, |y & p|) + min(|x - p|, |y - p|).
-Before a pair is compared in full, its prefixes are: of two sets, the one whose prefix ends first may miss at most
-|x| - needed of its prefix tokens in the other's prefix, counted from below on a bit map of each prefix.
+index. Index lists are worked off in two steps. First every list's least node p is compared with all others of the list, where
+sizes, positions and bit maps of the prefixes allow a link. Then the lists of one p form a family, and only families that still
+hold several components go on: their sets meet in a task, in blocks ordered by set size. Blocks and pairs are skipped
+by size, by component (what links already tell) and by how many tokens one bit map has that the other lacks; the rest is
+intersected. Only links that join two components leave the task, never all pairs. Large families are dealt in parts, every
+two of which meet.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .components import components
 from .texts import byte_column, chunks, mixed, ragged, shingles, word_hashes
 
 MEMBERS = 1_024  # of a compared set, per group
-BLOCK = 256      # index entries that are skipped together
+BLOCK = 256      # sets that are skipped together
+FAMILY_TOKENS = 400_000  # tokens of a family's part
 MAP = 4          # words of 64 bits that map a prefix
 MAPS = [f"m{i}" for i in range(MAP)]
 
@@ -166,18 +167,22 @@ def compare(pairs: DataFrame, docs: DataFrame, named: DataFrame, how: Similarity
     salted = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("groups")))
     rows = salted.select("a", "salt", F.lit(1).alias("role"), F.col("x").alias("k")).unionByName(
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("k")))
-    nodes = pairs.select(F.col("a").alias("k")).union(pairs.select("x")).distinct()
-    wanted = settle(nodes.join(named, "k"))
-    member = bit_set(wanted, F.xxhash64("doc_id"))
-    texts = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(
-        _members(member), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
-    own = texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("k", "text")
+    own = _texts(pairs.select(F.col("a").alias("k")).union(pairs.select("x")).distinct(), docs, named)
     grouped = rows.join(own, "k").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "k")
     path = new_path(spark, "answers")
     grouped.select("a", "salt", "role", "k", "text").mapInArrow(_compare(how.width), "a long, x long, both long, n long, m long").distinct().write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _texts(nodes: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``k, text`` of the documents that name the nodes ``k``; others don't leave their task, but for false hits of a bit set."""
+    wanted = settle(nodes.join(named, "k"))
+    member = bit_set(wanted, F.xxhash64("doc_id"))
+    texts = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(
+        _members(member), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    return texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("k", "text")
+
+
 def _members(member: BitSet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,92 +192,86 @@ def _members(member: BitSet):
     return run
 
 
-ENTRY = ("token", "band", "n", "pos", "k", "c", "home", "o", "np", "alone", "last", *MAPS)
-
-
-def _skipping(how: Similarity):
-    """Pairs of different components in every (token, band) run of sorted entries, by blocks: ``a, x, sure``.
-
-    ``o`` is the entry's intersection with the list's least node (-1 if they were not compared), ``np`` that node's size.
-    """
-    column = {c: i for i, c in enumerate(ENTRY)}
-
-    def missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        first = column["m0"]
-        bits = np.bitwise_count((x[:, first:first + MAP] & ~y[:, first:first + MAP]).view(np.uint64))
-        return x[:, column["alone"]] + bits.sum(1)
-
-    def judged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each pair must be looked at, and whether it is linked for sure."""
-        n, m, last = x[:, column["n"]], y[:, column["n"]], column["last"]
-        need = how.needed(n, m)
-        open_ = np.where(x[:, last] <= y[:, last], missing(x, y) <= n - need, missing(y, x) <= m - need)
-        o, q, size = x[:, column["o"]], y[:, column["o"]], x[:, column["np"]]
-        known = (o >= 0) & (q >= 0)
-        open_ &= ~known | (np.minimum(o, q) + np.minimum(n - o, m - q) >= need)
-        return open_, known & (o + q - size >= need)
-
-    def pairs_of(rows: np.ndarray):
-        n, pos, c, home = (rows[:, column[x]] for x in ("n", "pos", "c", "home"))
-        blocks = [slice(i, i + BLOCK) for i in range(0, len(n), BLOCK)]
-        least = np.array([n[b].min() for b in blocks])
-        most = np.array([n[b].max() for b in blocks])
-        rest = np.array([(n[b] - pos[b]).max() for b in blocks])  # what the best entry of a block can still share
+class _Family:
+    """Sets of one group, in order of their sizes; finds the links that join different components."""
+
+    def __init__(self, how: Similarity, sets: list[np.ndarray], keys: np.ndarray, components: np.ndarray, sides: np.ndarray):
+        sizes = np.array([len(s) for s in sets])
+        order = np.lexsort((keys, sizes))
+        self.how, self.sets, self.sizes = how, [sets[i] for i in order], sizes[order]
+        self.keys, self.components, self.sides = keys[order], components[order], sides[order]
+        self.across = len(np.unique(sides)) > 1
+        words = min(128, max(4, 1 << int(np.ceil(np.log2(max(sizes.max(), 1) / 16)))))  # four bits a token, up to 8192
+        self.maps = np.zeros((len(sets), words), np.uint64)
+        for i, own in enumerate(self.sets):
+            spot = own.view(np.uint64) & np.uint64(64 * words - 1)
+            np.bitwise_or.at(self.maps[i], (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+        self.root: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        while c in self.root:
+            c = self.root[c]
+        return c
+
+    def candidates(self, x: slice, y: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of two blocks that neither size, component nor bit maps rule out."""
+        n, m = self.sizes[x][:, None], self.sizes[y][None, :]
+        need = self.how.needed(n, m)
+        ok = (100 * n >= self.how.percent * m) & (self.components[x][:, None] != self.components[y][None, :])
+        if self.across:
+            ok &= self.sides[x][:, None] != self.sides[y][None, :]
+        if x == y:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        u, v = np.nonzero(ok)
+        kept = np.ones(len(u), bool)
+        for a in range(0, len(u), 8_192):
+            i, j = u[a:a + 8_192], v[a:a + 8_192]
+            one, two, least = self.maps[x][i], self.maps[y][j], need[i, j]
+            kept[a:a + 8_192] = (np.bitwise_count(one & ~two).sum(1) <= self.sizes[x][i] - least) & (
+                np.bitwise_count(two & ~one).sum(1) <= self.sizes[y][j] - least)
+        return u[kept] + x.start, v[kept] + y.start
+
+    def links(self) -> list[tuple[int, int]]:
+        found = []
+        blocks = [slice(i, min(i + BLOCK, len(self.sets))) for i in range(0, len(self.sets), BLOCK)]
         for i, x in enumerate(blocks):
-            for j in range(i, len(blocks)):
-                if 100 * most[i] < how.percent * least[j]:
+            for y in blocks[i:]:
+                if 100 * self.sizes[x.stop - 1] < self.how.percent * self.sizes[y.start]:
                     break  # sizes only grow from here
-                if min(rest[i], rest[j]) < how.needed(least[i], least[j]):
-                    continue
-                y = blocks[j]
-                big, small = n[y][None, :], n[x][:, None]
-                ok = 100 * np.minimum(small, big) >= how.percent * np.maximum(small, big)
-                ok &= np.minimum((n[x] - pos[x])[:, None], (n[y] - pos[y])[None, :]) >= how.needed(small, big)
-                ok &= (c[x][:, None] != c[y][None, :]) & ((home[x][:, None] | home[y][None, :]) == 1)
-                if i == j:
-                    ok &= np.triu(np.ones(ok.shape, bool), 1)
-                u, v = np.nonzero(ok)
-                if len(u):
-                    one, two = rows[x][u], rows[y][v]
-                    open_, sure = judged(one, two)
-                    if open_.any():
-                        k, l = one[open_, column["k"]], two[open_, column["k"]]
-                        yield np.stack((np.minimum(k, l), np.maximum(k, l), sure[open_]), 1)
-
+                for u, v in zip(*self.candidates(x, y)):
+                    c, d = self.find(self.components[u]), self.find(self.components[v])
+                    if c == d:
+                        continue
+                    own, other = self.sets[u], self.sets[v]
+                    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                    if (other[at] == own).sum() >= self.how.needed(len(own), len(other)):
+                        self.root[max(c, d)] = min(c, d)
+                        found.append((self.keys[u], self.keys[v]))
+        return found
+
+
+def _families(how: Similarity):
+    """Links of every group of rows sorted by ``p, low, high``: ``a, x``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def finish(rows: np.ndarray):
-            cuts = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
-            found, size = [], 0
-            for part in np.split(rows, cuts):
-                if len(part) > 1:
-                    for pairs in pairs_of(part):
-                        found.append(pairs)
-                        size += len(pairs)
-                        if size > 200_000:
-                            yield emitted(found)
-                            found, size = [], 0
-            if found:
-                yield emitted(found)
-
-        def emitted(found):
-            both = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2] == 1)], ["a", "x", "sure"])
+        group, held = None, []
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([np.asarray(batch.column(i), np.int64) for i in range(len(ENTRY))], 1)
-            held.append(rows)
-            whole = np.concatenate(held) if len(held) > 1 else rows
-            last = (whole[:, :2] == whole[-1, :2]).all(1)
-            first = int(np.argmax(last))
-            if first:
-                yield from finish(whole[:first])
-            held = [whole[first:]]
-        if held:
-            yield from finish(np.concatenate(held))
+        def finish():
+            if len(held) > 1:
+                keys, comps, sides = (np.array([h[i] for h in held]) for i in (1, 2, 3))
+                found = _Family(how, [h[0] for h in held], keys, comps, sides).links()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found)], ["a", "x"])
+
+        for batch in chunks(batches):
+            tokens, sizes, keys = _sets(*byte_column(batch.column("text")), how.width)
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            p, low, high, k, c, side = (np.asarray(batch.column(x)) for x in ("p", "low", "high", "k", "c", "side"))
+            for i in np.flatnonzero(keys == k):
+                if group != (p[i], low[i], high[i]):
+                    yield from finish()
+                    group, held = (p[i], low[i], high[i]), []
+                held.append((tokens[bounds[i]:bounds[i + 1]].copy(), k[i], c[i], side[i]))
+        yield from finish()
     return run
 
 
@@ -294,25 +293,20 @@ def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataF
     linked = 100 * F.col("both") >= how.percent * (F.col("n") + F.col("m") - F.col("both"))
     found = components(answers.filter(linked).select("a", F.col("x").alias("b")))
 
-    # What lists with several components still hold: pairs without the list's least node.
+    # What the lists with several components still hold: pairs without the list's least node, gathered by that node.
     classed = shared.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
     several = classed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / how.percent))))
-    known = answers.select(F.col("a").alias("p"), F.col("x").alias("k"), F.col("both").alias("o"))
     rest = (classed.join(several, "token").filter(F.col("k") != F.col("a.k"))
-            .select("token", band.alias("own"), "pos", "k", "c", F.col("a.k").alias("p"), F.col("a.n").alias("np"))
-            .join(known, ["p", "k"], "left").withColumn("o", F.coalesce("o", F.lit(-1))).join(prefix, "k"))
-    # A pair's sizes lie in the same or in neighbouring bands: each entry is also a guest in the next one.
-    dealt = rest.withColumn("to", F.explode(F.array(
-        F.struct(F.col("own").alias("band"), F.lit(1).cast("long").alias("home")),
-        F.struct((F.col("own") + 1).alias("band"), F.lit(0).cast("long").alias("home")))))
-    at = {"band": "to.band", "home": "to.home", **{c: f"x.{c}" for c in ("n", "alone", "last", *MAPS)}}
-    runs = (dealt.select(*[F.col(at.get(c, c)).cast("long").alias(c) for c in ENTRY])
-            .repartition("token", "band").sortWithinPartitions("token", "band", "n", "pos", "k"))
-    pairs = runs.mapInArrow(_skipping(how), "a long, x long, sure boolean").groupBy("a", "x").agg(F.max("sure").alias("sure"))
-    pairs = settle(pairs.join(answers.select("a", "x"), ["a", "x"], "left_anti"))
-    more = compare(pairs.filter("NOT sure").select("a", "x"), docs, named, how)
-    links = more.filter(linked).select("a", "x").union(pairs.filter("sure").select("a", "x"))
+            .groupBy(F.col("a.k").alias("p"), "k").agg(F.min("c").alias("c"), F.min("n").alias("n")))
+    sizes = (rest.groupBy("p").agg(F.sum("n").alias("tokens"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
+             .select("p", F.ceil(F.col("tokens") / FAMILY_TOKENS).alias("parts")))
+    rest = settle(rest.join(sizes, "p").withColumn("side", F.pmod(F.xxhash64("k"), F.col("parts"))))
+    dealt = rest.select("p", "k", "c", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    met = dealt.select("p", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "k", "c", "side")
+    rows = met.join(_texts(rest.select("k").distinct(), docs, named), "k").repartition("p", "low", "high").sortWithinPartitions("p", "low", "high", "k")
+    path = new_path(docs.sparkSession, "links")
+    rows.select("p", "low", "high", "k", "c", "side", "text").mapInArrow(_families(how), "a long, x long").write.parquet(path)
+    links = docs.sparkSession.read.parquet(path)
     ends = [found.select(F.col("k").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "x")]
     bridges = links.join(ends[0], "a", "left").join(ends[1], "x", "left").select(
         F.coalesce("ca", "a").alias("a"), F.coalesce("cx", "x").alias("b"))
