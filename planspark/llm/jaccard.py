@@ -3,7 +3,7 @@
 Documents with equal sets are one node. Two sets that link share a token within their prefixes, in any global order of the
 tokens; here tokens that are seen to occur once come first, so that only documents made of shared tokens reach the
 index. Index lists are worked off in two steps. First every list's least node p is compared with all others of the list, where
-sizes, positions and bit maps of the prefixes allow a link. Then the lists of one p form a family, and only families that still
+sizes, positions and bit maps of the prefixes allow a link. Then the lists whose p are linked form a family, and only families that still
 hold several components go on: their sets meet in a task, in blocks ordered by set size. Blocks and pairs are skipped
 by size, by component (what links already tell) and by how many tokens one bit map has that the other lacks; the rest is
 intersected. Only links that join two components leave the task, never all pairs. Large families are dealt in parts, every
@@ -201,7 +201,7 @@ class _Family:
         self.how, self.sets, self.sizes = how, [sets[i] for i in order], sizes[order]
         self.keys, self.components, self.sides = keys[order], components[order], sides[order]
         self.across = len(np.unique(sides)) > 1
-        words = min(128, max(4, 1 << int(np.ceil(np.log2(max(sizes.max(), 1) / 16)))))  # four bits a token, up to 8192
+        words = min(128, max(4, 1 << int(sizes.max() // 16).bit_length()))  # four bits a token, up to 8192
         self.maps = np.zeros((len(sets), words), np.uint64)
         for i, own in enumerate(self.sets):
             spot = own.view(np.uint64) & np.uint64(64 * words - 1)
@@ -293,11 +293,12 @@ def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataF
     linked = 100 * F.col("both") >= how.percent * (F.col("n") + F.col("m") - F.col("both"))
     found = components(answers.filter(linked).select("a", F.col("x").alias("b")))
 
-    # What the lists with several components still hold: pairs without the list's least node, gathered by that node.
+    # What the lists with several components still hold: pairs without the list's least node, gathered by that node's component.
     classed = shared.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
     several = classed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    rest = (classed.join(several, "token").filter(F.col("k") != F.col("a.k"))
-            .groupBy(F.col("a.k").alias("p"), "k").agg(F.min("c").alias("c"), F.min("n").alias("n")))
+    rest = (classed.join(several, "token").filter(F.col("k") != F.col("a.k")).select(F.col("a.k").alias("own"), "k", "c", "n").distinct()
+            .join(found.select(F.col("k").alias("own"), F.col("c").alias("p")), "own", "left").withColumn("p", F.coalesce("p", "own"))
+            .groupBy("p", "k").agg(F.min("c").alias("c"), F.min("n").alias("n")))
     sizes = (rest.groupBy("p").agg(F.sum("n").alias("tokens"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
              .select("p", F.ceil(F.col("tokens") / FAMILY_TOKENS).alias("parts")))
     rest = settle(rest.join(sizes, "p").withColumn("side", F.pmod(F.xxhash64("k"), F.col("parts"))))
