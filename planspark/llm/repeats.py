@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.shared import new_path
 from .bits import BitSet, bit_set
-from .texts import Rolling, byte_column, chunks, mixed
+from .texts import Rolling, byte_column, chunks, mixed, small_batches
 
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM) // 2
 SHARD_BYTES = 400_000
+RUN_BYTES = 400_000
+BATCH_ROWS = 1_000  # documents per Arrow batch while anchors are gathered
 SPLIT_CONTEXTS = 10_000  # contexts of one anchor beyond which it is split
 PARTS = 16
 
@@ -42,8 +44,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return none, none, none, none, none, none, none
     rolling = Rolling(data)
-    at = np.arange(len(data) - GRAM + 1)
-    grams = rolling.ranges(at, at + GRAM)
+    grams = rolling.every(GRAM)
     least, size = grams, 1
     while 2 * size <= WINDOW:
         least = np.minimum(least[:-size], least[size:])
@@ -61,9 +62,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     closes[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
     first, last = np.flatnonzero(begins), np.flatnonzero(closes)
     place = np.empty(len(first), np.int64)
-    for a in range(0, len(first), 50_000):
-        heads = first[a:a + 50_000]
-        place[a:a + 50_000] = heads + (grams[heads[:, None] + np.arange(WINDOW)] == least[heads][:, None]).argmax(1)
+    for a in range(0, len(first), 8_192):
+        heads = first[a:a + 8_192]
+        place[a:a + 8_192] = heads + (grams[heads[:, None] + np.arange(WINDOW)] == least[heads][:, None]).argmax(1)
     tied = np.flatnonzero(place < last)
     if len(tied):
         # The same least hash several times in a row of windows: each window belongs to its leftmost occurrence.
@@ -98,14 +99,14 @@ def _spot(ctx: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=RUN_BYTES):
         found, number = np.unique(anchors(*byte_column(batch.column(0)))[1], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(number)], ["anchor", "n"])
 
 
 def _occurrences(repeated: BitSet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=RUN_BYTES):
             data, offsets = byte_column(batch.column(2))
             owner, anchor, context, first, last, left, right = anchors(data, offsets)
             kept = repeated.has(anchor)
@@ -120,7 +121,7 @@ def _occurrences(repeated: BitSet):
 
 def _contexts(firsts: BitSet, sides: BitSet, split: BitSet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=RUN_BYTES):
             data, offsets = byte_column(batch.column(2))
             owner, anchor, context, first, last, left, right = anchors(data, offsets)
             d = np.asarray(batch.column(0), np.int64)
@@ -265,7 +266,15 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """Byte ranges that go, stored: ``d, h, start, end``; they may overlap. Documents are keyed as in ``_document_keys``."""
+    """Byte ranges that go, stored by document: ``d, h, ranges``; they may overlap. Documents are keyed as in ``_document_keys``.
+
+    All jobs run here, with Arrow batches of few documents so that a task holds little text at a time.
+    """
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _repeated_ranges(docs)
+
+
+def _repeated_ranges(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = _document_keys(docs)
     counted = keyed.select("text").mapInArrow(_count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))

@@ -7,10 +7,11 @@ holds a text column. A null text has no bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 CHUNK_BYTES = 1_000_000
 
@@ -71,6 +72,11 @@ class Rolling:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_CODES[data] * _powers(int(_BASE), n + 1)[:n], out=self.sums[1:])
 
+    def every(self, size: int) -> np.ndarray:
+        """Hashes of all ranges of ``size`` bytes."""
+        number = len(self.sums) - size
+        return mixed((self.sums[size:] - self.sums[:number]) * self.inverse[:number] + np.uint64(size))
+
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
@@ -152,6 +158,18 @@ def _distinct(owners: np.ndarray, values: np.ndarray, docs: int) -> tuple[np.nda
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array([len(p) for p in parts], np.int64)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside; the setting is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ragged(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """A list column from consecutive runs of values."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values))
