@@ -2,7 +2,8 @@
 
 Equal vectors are one node. Cells of random projection trees give every node its first neighbours; NN-descent rounds then
 compare the neighbours (and reverse neighbours) of each node with each other, as a join that brings their vectors to
-it. A query starts from its own node's list and walks to the closest nodes found, a step for all queries per round.
+it, until the lists hardly change. A query starts from its own node's list and walks to the closest nodes found, a step
+for all queries per round, until it has expanded every node it keeps.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..sources.shared import settle
 
 DEGREE = 24         # neighbours per node
-JOINED = 12         # nearest neighbours that meet at a node in a round, and as many reverse ones
+JOINED = 12         # nearest neighbours that meet at a node in a round, with groups of about as many reverse ones
 TREES = 8
 CELL = 8192         # nodes that are compared with each other directly
-ROUNDS = 1          # of NN-descent
+STEADY = 0.001      # share of changed neighbours at which NN-descent ends
 BEAM = 64           # nodes that a query keeps
-HOPS = 3            # rounds of the search at most
 SAMPLE = 20_000     # vectors that set the trees' thresholds
 MERGED = 2_048      # nodes whose lists are merged in one group
 SEED = 5
@@ -109,8 +109,10 @@ def _nearest_in_cell(group: pd.DataFrame) -> pd.DataFrame:
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
     """The ``DEGREE`` nearest distinct neighbours of every node of a group of rows ``u, v[], d[]``, nearest first."""
     sizes = group["v"].map(len).to_numpy()
-    u = np.repeat(group["u"].to_numpy(), sizes)
-    v, d = np.concatenate(list(group["v"])), np.concatenate(list(group["d"]))
+    return _best(np.repeat(group["u"].to_numpy(), sizes), np.concatenate(list(group["v"])), np.concatenate(list(group["d"])))
+
+
+def _best(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pd.DataFrame:
     order = np.lexsort((d, v, u))
     u, v, d = u[order], v[order], d[order]
     new = np.ones(len(u), bool)
@@ -122,7 +124,7 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
     rank = np.arange(len(u)) - np.repeat(first, number)
     v, d, kept = v[rank < DEGREE], d[rank < DEGREE], np.minimum(number, DEGREE)
     cuts = np.cumsum(kept)[:-1]
-    return _listed(nodes, np.split(v, cuts), np.split(d, cuts))
+    return _listed(nodes, np.split(v, cuts)[:len(nodes)], np.split(d, cuts)[:len(nodes)])
 
 
 LISTS = "u long, v array<long>, d array<float>"
@@ -134,25 +136,26 @@ def _merge(lists: DataFrame, nodes: int) -> DataFrame:
 
 
 def _local_join(group: pd.DataFrame) -> pd.DataFrame:
-    """Every two members of a node compared: new neighbours ``u, v[], d[]`` closer than the member's farthest one."""
-    out_u, out_v, out_d = [], [], []
-    for _, own in group.groupby("p", sort=False):
-        ids, at = np.unique(own["m"].to_numpy(), return_index=True)
-        if len(ids) < 2:
-            continue
-        x = np.stack([np.frombuffer(bytes(b), np.float16) for b in own["x"].to_numpy()[at]]).astype(np.float32)
-        d = _distances(x, x)
+    """Every two members of a node's group compared: new neighbours ``u, v[], d[]`` closer than the member's farthest one."""
+    group = group.iloc[np.lexsort((group["m"], group["part"], group["p"]))]
+    p, part, m, worst = (group[c].to_numpy() for c in ("p", "part", "m", "worst"))
+    x = _matrix(group["x"])
+    bounds = np.concatenate(([0], np.flatnonzero((p[1:] != p[:-1]) | (part[1:] != part[:-1])) + 1, [len(p)]))
+    found = []
+    for a, b in zip(bounds, bounds[1:]):
+        d = _distances(x[a:b], x[a:b])
         np.fill_diagonal(d, np.inf)
-        better = d < own["worst"].to_numpy()[at][:, None]
-        for i in np.flatnonzero(better.any(1)):
-            out_u.append(ids[i])
-            out_v.append(ids[better[i]])
-            out_d.append(d[i, better[i]])
-    return _listed(out_u, out_v, out_d)
+        i, j = np.nonzero(d < worst[a:b, None])
+        found.append((m[a + i], m[a + j], d[i, j]))
+    return _best(*(np.concatenate(c) for c in zip(*found)))
+
 
+def build_graph(nodes: DataFrame, count: int, rounds: int | None = None, trees: int = TREES, cell: int = CELL) -> DataFrame:
+    """The neighbour graph ``u, v[], d[]`` (nearest first) of stored nodes ``u, x`` with packed vectors.
 
-def build_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, trees: int = TREES, cell: int = CELL) -> DataFrame:
-    """The neighbour graph ``u, v[], d[]`` (nearest first) of stored nodes ``u, x`` with packed vectors."""
+    NN-descent goes on until at most ``STEADY`` of the neighbours change in a round, or for ``rounds`` at most where given.
+    All reverse neighbours of a node take part: many of them are dealt out anew in each round to groups that meet apart.
+    """
     levels = max(0, int(np.ceil(np.log2(max(count, 1) / cell))))
     sample = _matrix(nodes.orderBy(F.xxhash64("u"), "u").limit(SAMPLE).toArrow().to_pandas()["x"])  # at most SAMPLE rows
     forest = Trees(sample, levels, trees)
@@ -170,23 +173,26 @@ def build_graph(nodes: DataFrame, count: int, rounds: int = ROUNDS, trees: int =
     dealt = placed.join(sizes, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("u", "t"), F.ceil(F.col("count") / (2 * cell))))
     graph = settle(_merge(dealt.select("t", "cell", "part", "u", "x").groupBy("t", "cell", "part").applyInPandas(_nearest_in_cell, LISTS), count))
 
-    def halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = [np.frombuffer(x.as_py(), np.float32).astype(np.float16).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["m", "x"])
-
-    small = nodes.mapInArrow(halved, "m long, x binary")
-    for _ in range(rounds):
-        near = graph.select("u", F.posexplode(F.slice("v", 1, JOINED)).alias("rank", "v"))
-        ranked = Window.partitionBy("v").orderBy("rank", F.xxhash64("u", "v"))
-        back = near.withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= JOINED)
-        meets = near.select(F.col("u").alias("p"), F.col("v").alias("m")).union(back.select("v", "u")).distinct()
-        worst = graph.select(F.col("u").alias("m"), F.when(F.size("d") >= min(DEGREE, count - 1), F.element_at("d", -1)).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        members = small.join(worst, "m").join(meets, "m")
+    small = nodes.select(F.col("u").alias("m"), "x")
+    full, turn = min(DEGREE, count - 1), 0
+    while rounds is None or turn < rounds:
+        near = graph.select("u", F.explode(F.slice("v", 1, JOINED)).alias("v"))
+        parts = near.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / JOINED).alias("parts"))
+        back = near.join(parts, "v").select(
+            F.col("v").alias("p"), F.pmod(F.xxhash64("u", F.lit(turn)), F.col("parts")).alias("part"), F.col("u").alias("m"))
+        ahead = near.join(parts.select(F.col("v").alias("u"), "parts"), "u", "left").select(
+            F.col("u").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("v").alias("m"))
+        worst = graph.select(F.col("u").alias("m"), F.when(F.size("d") >= full, F.element_at("d", -1)).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
+        members = small.join(worst, "m").join(ahead.union(back).distinct(), "m")
         groups = max(1, count // 512)
-        found = (members.withColumn("g", F.pmod(F.xxhash64("p"), F.lit(groups))).select("g", "p", "m", "x", "worst")
+        found = (members.withColumn("g", F.pmod(F.xxhash64("p", "part"), F.lit(groups))).select("g", "p", "part", "m", "x", "worst")
                  .groupBy("g").applyInPandas(_local_join, LISTS))
-        graph = settle(_merge(graph.unionByName(found), count))
+        better = settle(_merge(graph.unionByName(found), count))
+        changed = (better.join(graph.select("u", F.col("v").alias("old")), "u")
+                   .agg(F.coalesce(F.sum(F.size(F.array_except("v", "old"))), F.lit(0))).first()[0])
+        graph, turn = better, turn + 1
+        if changed <= STEADY * count * full:
+            break
     return graph
 
 
@@ -195,11 +201,12 @@ def _euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
 
 
-def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int = BEAM, hops: int | None = None) -> DataFrame:
     """Nodes near each start node, walking the graph: ``q, v, d`` with the ``beam`` nearest found.
 
     ``vectors`` are the stored nodes ``u, x`` with plain arrays, ``starts`` the nodes ``q``. Each round expands the nodes
-    that entered a start's list, measures their unseen neighbours and keeps the nearest.
+    that entered a start's list, measures their unseen neighbours and keeps the nearest, until no start has a node left to
+    expand, or for ``hops`` rounds at most where given.
     """
     own = starts.join(vectors, F.col("q") == F.col("u")).select("q", F.col("x").alias("xq"))
     own = settle(own)
@@ -211,18 +218,21 @@ def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int =
 
     first = starts.join(graph, F.col("q") == F.col("u")).select("q", F.explode("v").alias("v"))
     state = settle(measured(first))
-    for _ in range(hops):
+    hop = 0
+    while hops is None or hop < hops:
         frontier = state.filter(~F.col("done")).select("q", F.col("v").alias("u"))
         reached = frontier.join(graph, "u").select("q", F.explode("v").alias("v")).filter("q <> v").distinct()
         fresh = reached.join(state.select("q", "v"), ["q", "v"], "left_anti")
         state = settle(state.withColumn("done", F.lit(True)).unionByName(measured(fresh))
                        .withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= beam).drop("k"))
+        hop += 1
         if state.filter(~F.col("done")).isEmpty():
             break
     return state.select("q", "v", "d")
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rounds: int = ROUNDS, trees: int = TREES, beam: int = BEAM, hops: int = HOPS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rounds: int | None = None, trees: int = TREES, beam: int = BEAM,
+            hops: int | None = None, cell: int = CELL) -> DataFrame:
     """The ``k`` nearest rows found for each row whose ``vec_id`` is divisible by ``every``: ``query_id, rank, vec_id, score``.
 
     ``score`` is the Euclidean distance in double precision, ties go to the smaller id, a row is not its own neighbour.
@@ -243,7 +253,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rounds: int = ROU
     queries = placed.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("u").alias("q"))
     starts = queries.select("q").distinct()
     if count > 1:
-        graph = build_graph(nodes.mapInArrow(_bytes, "u long, x binary"), count, rounds, trees)
+        graph = build_graph(nodes.mapInArrow(_bytes, "u long, x binary"), count, rounds, trees, cell)
         found = search(graph, nodes, starts, beam, hops)
     else:
         found = starts.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d")).filter("1 = 0")
