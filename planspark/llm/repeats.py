@@ -30,8 +30,8 @@ SIDE = (LENGTH - GRAM) // 2
 SHARD_BYTES = 400_000
 RUN_BYTES = 400_000
 BATCH_ROWS = 1_000  # documents per Arrow batch while anchors are gathered
-SPLIT_CONTEXTS = 10_000  # contexts of one anchor beyond which it is split
-PARTS = 16
+SPLIT_CONTEXTS = 10_000  # contexts of one anchor beyond which it is split, and about as many in a part
+PARTS = 16  # at least
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -119,7 +119,25 @@ def _occurrences(repeated: BitSet):
     return run
 
 
-def _contexts(firsts: BitSet, sides: BitSet, split: BitSet):
+def _split_anchors(several: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with too many contexts, ascending, and the number of their parts; at most one row per ``SPLIT_CONTEXTS`` contexts."""
+    parts = F.greatest(F.lit(PARTS), F.ceil(F.col("kinds") / SPLIT_CONTEXTS)).cast("long")
+    found = several.filter(F.col("kinds") > SPLIT_CONTEXTS).select("anchor", parts.alias("parts")).toArrow()
+    anchor, parts = (found.column(c).to_numpy() for c in ("anchor", "parts"))
+    order = np.argsort(anchor)
+    return anchor[order], parts[order]
+
+
+def _parts(split: tuple[np.ndarray, np.ndarray], anchor: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The part of every context, from 1 on; 0 where its anchor is not split."""
+    known, parts = split
+    if not len(known):
+        return np.zeros(len(anchor), np.int64)
+    at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
+    return np.where(known[at] == anchor, 1 + (context.view(np.uint64) >> np.uint64(20)).astype(np.int64) % parts[at], 0)
+
+
+def _contexts(firsts: BitSet, sides: BitSet, split: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=RUN_BYTES):
             data, offsets = byte_column(batch.column(2))
@@ -128,7 +146,7 @@ def _contexts(firsts: BitSet, sides: BitSet, split: BitSet):
             low = first - offsets[owner]
             kept = firsts.has(_spot(context, d[owner], low)) & ((left != 0) & sides.has(left) | (right != 0) & sides.has(right))
             owner, anchor, context, first, last = owner[kept], anchor[kept], context[kept], first[kept], last[kept]
-            part = np.where(split.has(anchor), 1 + (context.view(np.uint64) >> np.uint64(40)).astype(np.int64) % PARTS, 0)
+            part = _parts(split, anchor, context)
             rows = pa.array(owner)
             blobs = [data[a:b + LENGTH].tobytes() for a, b in zip(first, last)]
             yield pa.RecordBatch.from_arrays(
@@ -295,7 +313,7 @@ def _repeated_ranges(docs: DataFrame) -> DataFrame:
     firsts = classes.select("anchor", "ctx", "first", "lkey", "rkey").join(several, "anchor")
     sides = firsts.select(F.explode(F.array("lkey", "rkey")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1")
     spots = F.col("ctx").bitwiseXOR(F.col("first.d")).bitwiseXOR(F.shiftleft("first.low", 5))
-    wanted = _contexts(bit_set(firsts, spots), bit_set(sides, F.col("key")), bit_set(several.filter(F.col("kinds") > SPLIT_CONTEXTS), F.col("anchor")))
+    wanted = _contexts(bit_set(firsts, spots), bit_set(sides, F.col("key")), _split_anchors(several))
     contexts = keyed.mapInArrow(wanted, "anchor long, part int, d long, h long, low long, bytes binary")
     dealt = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     path = new_path(spark, "windows")

@@ -140,6 +140,16 @@ def test_split_anchors_meet_again(spark, monkeypatch):
     assert got == removed_by_hand(rows)
 
 
+def test_parts_of_an_anchor_follow_its_contexts(spark):
+    several = spark.createDataFrame([(7, 3_000_000), (-5, 20_000), (9, 10_000)], "anchor long, kinds long")
+    known, parts = split = repeats._split_anchors(several)
+    assert known.tolist() == [-5, 7] and parts.tolist() == [16, 300]
+    context = np.random.default_rng(1).integers(-2**63, 2**63, 3_000_000)
+    sizes = np.bincount(repeats._parts(split, np.full(len(context), 7), context))
+    assert sizes[0] == 0 and len(sizes) == 301 and sizes.max() < 1.1 * repeats.SPLIT_CONTEXTS
+    assert not repeats._parts(split, np.full(5, 9), context[:5]).any()
+
+
 def test_repeats_of_messy_rows(spark, messy, no_docs):
     found = repeats.without_repeats(messy).select("doc.*", "n_bytes", "n_removed", "kept").collect()
     assert len(found) == messy.count() and [r for r in found if r.text is None and r.kept is None]
