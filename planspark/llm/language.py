@@ -1,8 +1,8 @@
 """Language identification by cross-parsing: the language whose labelled text needs the fewest phrases wins.
 
 Labelled text of every language becomes a suffix automaton, which follows any substring of it. A text is parsed from left
-to right into the longest phrases that occur in the language's text. Texts are parsed side by side, one character of
-every segment at a time.
+to right into the longest phrases that occur in the language's text. Symbols are the UTF-8 bytes of the case-folded
+letters, so letters of all scripts count. Texts are parsed side by side, one symbol of every segment at a time.
 """
 
 from __future__ import annotations
@@ -22,29 +22,41 @@ SEGMENT = 512
 UNKNOWN = "und"
 
 
-@lru_cache(maxsize=4)
-def _symbol_table(alphabet: str) -> np.ndarray:
-    """Symbol of every code point: 0 no letter, 1 a letter that is not in the alphabet, else its place, case folded."""
-    place = {c: i + 2 for i, c in enumerate(alphabet)}
-    table = np.zeros(0x110000, np.uint8)
+@lru_cache(maxsize=1)
+def _folded() -> np.ndarray:
+    """Code point of every code point's case-folded letter, 0 where it is no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for code in range(0x110000):
         c = chr(code)
         if c.isalpha():
-            table[code] = place.get(c.lower()[0], 1)
+            table[code] = ord(c.lower()[0])
     return table
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray, alphabet: str) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the documents' characters with runs of others than letters as one 0, and the new offsets."""
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of the documents' folded letters with runs of others than letters as one 0, and the new offsets."""
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    found = _symbol_table(alphabet)[codes]
+    found = _folded()[codes]
     heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     bounds = heads[offsets]
-    before = np.zeros(len(found), np.uint8)
+    before = np.zeros(len(found), np.uint32)
     before[1:] = found[:-1]
     before[bounds[:-1][bounds[:-1] < len(found)]] = 0
     kept = (found != 0) | (before != 0)
-    return found[kept], np.concatenate(([0], np.cumsum(kept)))[bounds]
+    bounds = np.concatenate(([0], np.cumsum(kept)))[bounds]
+    found = found[kept]
+    width = 1 + (found >= 0x80).astype(np.int64) + (found >= 0x800) + (found >= 0x10000)
+    raw = np.frombuffer(found.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+    return raw, np.concatenate(([0], np.cumsum(width)))[bounds]
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray, alphabet: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the documents' ``letters`` and their offsets: 0 no letter, 1 a byte that is not in the alphabet, else its place."""
+    table = np.ones(256, np.uint8)
+    table[0] = 0
+    table[list(alphabet)] = np.arange(len(alphabet)) + 2
+    raw, bounds = letters(data, offsets)
+    return table[raw], bounds
 
 
 def automaton(text: bytes, letters: int) -> np.ndarray:
@@ -84,7 +96,7 @@ def automaton(text: bytes, letters: int) -> np.ndarray:
 class Parser:
     """The automata of all languages in one table."""
 
-    def __init__(self, alphabet: str, texts: Sequence[bytes]):
+    def __init__(self, alphabet: str | bytes, texts: Sequence[bytes]):
         self.letters = len(alphabet) + 2
         tables, shift, self.roots = [], 0, []
         for text in texts:
@@ -126,11 +138,11 @@ class Parser:
 
 
 @lru_cache(maxsize=2)
-def _parser(alphabet: str, texts: tuple[bytes, ...]) -> Parser:
+def _parser(alphabet: bytes, texts: tuple[bytes, ...]) -> Parser:
     return Parser(alphabet, texts)
 
 
-def fit(docs: DataFrame, folds: int = 4, held_fold: int = 2, sample_docs: int = SAMPLE_DOCS, size: int = SYMBOLS) -> tuple[list[str], str, tuple[bytes, ...]]:
+def fit(docs: DataFrame, folds: int = 4, held_fold: int = 2, sample_docs: int = SAMPLE_DOCS, size: int = SYMBOLS) -> tuple[list[str], bytes, tuple[bytes, ...]]:
     """Languages, alphabet and labelled text of each, from at most ``sample_docs`` documents and ``size`` symbols a language.
 
     Of every language the documents whose hashed id comes first are taken, each with an even share of the symbols.
@@ -145,7 +157,8 @@ def fit(docs: DataFrame, folds: int = 4, held_fold: int = 2, sample_docs: int =
     for row in texts:
         found.setdefault(row.own, []).append(row.text or "")
     languages = sorted(found)
-    alphabet = "".join(sorted({c.lower()[0] for parts in found.values() for t in parts for c in t if c.isalpha()}))[:250]
+    # Valid UTF-8 has fewer than 250 different bytes, so all of them are symbols.
+    alphabet = bytes(sorted({b for parts in found.values() for b in np.unique(letters(*byte_column(pa.array(parts)))[0]).tolist()} - {0}))
     out = []
     for language in languages:
         parts = sorted(found[language])

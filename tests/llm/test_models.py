@@ -120,6 +120,20 @@ def test_language_of_documents(spark, messy, no_docs):
     assert language.identify(no_docs).count() == 0
 
 
+def test_languages_of_scripts_with_many_letters(spark):
+    """Two languages of 300 letters each, all beyond the first 250 of the third, whose words are equally long."""
+    rng = np.random.default_rng(2)
+    def text(first, n=60):
+        return " ".join("".join(chr(first + int(i)) for i in rng.integers(0, 300, 3)) for _ in range(n))
+    rows = [(3 * i + k, text(first), name) for i in range(24) for k, (name, first) in enumerate((("a", 0x4E00), ("b", 0x5E00), ("c", 0x3400)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in language.identify(docs).collect()}
+    assert any(h for h, _ in got.values()) and all(got[i][1] == name for i, _, name in rows)
+    data, offsets = byte_column(pa.array(["Äß1 東", None, "x"]))
+    raw, bounds = language.letters(data, offsets)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])] == ["äß\0東", "", "x"]
+
+
 def test_perplexity_counts_match_brute_force(spark, messy, no_docs):
     got = perplexity.perplexity(messy).collect()
     texts = [(r.doc_id, r.text) for r in messy.collect()]
