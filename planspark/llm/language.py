@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .texts import byte_column, chunks, fold_column
 
 SAMPLE_DOCS = 64
 SYMBOLS = 20_000
 SEGMENT = 512
+WINDOW = 256  # symbols at most of a piece taken from a long text
 UNKNOWN = "und"
 
 
@@ -142,42 +144,87 @@ def _parser(alphabet: bytes, texts: tuple[bytes, ...]) -> Parser:
     return Parser(alphabet, texts)
 
 
+def spread(text: bytes, size: int) -> bytes:
+    """At most ``size`` symbols of a text: all of it, or windows spread over it by its hash, each closed by a 0."""
+    if len(text) <= size:
+        return text
+    number = -(-size // WINDOW)
+    width = size // number
+    rng = np.random.default_rng(zlib.crc32(text))
+    chosen = np.sort(rng.choice(len(text) // width, number, replace=False))
+    slack = len(text) - len(text) // width * width
+    shift = int(rng.integers(0, slack + 1))
+    return b"\0".join(text[shift + c * width:shift + (c + 1) * width] for c in chosen)
+
+
+def level(sizes: np.ndarray, total: int) -> int:
+    """The least amount that, as the most taken of each size, gives ``total`` symbols, or the largest size."""
+    ordered = np.sort(sizes)
+    for i, size in enumerate(ordered):
+        if size * (len(ordered) - i) >= total:
+            return max(1, total // (len(ordered) - i))
+        total -= size
+    return int(ordered[-1])
+
+
 def fit(docs: DataFrame, folds: int = 4, held_fold: int = 2, sample_docs: int = SAMPLE_DOCS, size: int = SYMBOLS) -> tuple[list[str], bytes, tuple[bytes, ...]]:
-    """Languages, alphabet and labelled text of each, from at most ``sample_docs`` documents and ``size`` symbols a language.
+    """Languages, alphabet and labelled text of each, with about ``size`` symbols a language or all that it has.
 
-    Of every language the documents whose hashed id comes first are taken, each with an even share of the symbols.
+    Of every language the documents whose hashed id comes first are taken, as many as hold ``size`` characters when each gives
+    at most a ``sample_docs``-th part; where there are fewer, long texts give more. Texts count as a whole: what
+    is taken of a long one is spread over it.
     """
-    known = docs.select("doc_id", "lang").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
+    known = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     known = known.filter(fold_column(F.col("doc_id"), folds) != held_fold)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("place", place).filter(F.col("place") <= sample_docs).select("doc_id", F.col("lang").alias("own"))
-    texts = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-             .select("own", F.substring("text", 1, 4 * size // sample_docs + 1_000).alias("text")).collect())
-    found: dict[str, list[str]] = {}
+    # Steps of a logarithmic scale of the hash, finer towards those that come first.
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") + 1
+    step = F.floor(F.log2(unit) * 8).cast("long")
+    amounts = (known.select("lang", step.alias("step"), F.least(F.length("text"), F.lit(max(1, size // sample_docs))).alias("n"))
+               .filter("n > 0").groupBy("lang", "step").agg(F.sum("n").alias("n")).collect())
+    last: dict[str, int] = {}
+    held: dict[str, int] = {}
+    for row in sorted(amounts, key=lambda r: r.step):
+        if held.get(row.lang, 0) < size:
+            last[row.lang], held[row.lang] = row.step, held.get(row.lang, 0) + row.n
+    if not last:
+        return [], b"", ()
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            raw, bounds = letters(*byte_column(batch.column(1)))
+            parts = [spread(raw[a:b].tobytes(), size) for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], ["own", "text"])
+
+    ends = docs.sparkSession.createDataFrame(sorted(last.items()), "own string, last long")
+    texts = (known.select("lang", "text", step.alias("step")).join(F.broadcast(ends), (F.col("lang") == F.col("own")) & (F.col("step") <= F.col("last")))
+             .select("own", "text").mapInArrow(taken, "own string, text binary").toArrow().to_pylist())  # a few hundred short or fewer long ones a language
+    found: dict[str, list[bytes]] = {}
     for row in texts:
-        found.setdefault(row.own, []).append(row.text or "")
+        found.setdefault(row["own"], []).append(row["text"])
     languages = sorted(found)
     # Valid UTF-8 has fewer than 250 different bytes, so all of them are symbols.
-    alphabet = bytes(sorted({b for parts in found.values() for b in np.unique(letters(*byte_column(pa.array(parts)))[0]).tolist()} - {0}))
+    alphabet = bytes(sorted({b for parts in found.values() for t in parts for b in set(t)} - {0}))
+    place = np.zeros(256, np.uint8)
+    place[list(alphabet)] = np.arange(len(alphabet)) + 2
     out = []
     for language in languages:
         parts = sorted(found[language])
-        data, offsets = byte_column(pa.array(parts))
-        codes, bounds = symbols(data, offsets, alphabet)
-        share = size // len(parts)
-        out.append(b"".join(codes[a:min(a + share, b)].tobytes() + b"\0" for a, b in zip(bounds, bounds[1:])))
+        share = level(np.array([len(t) for t in parts]), size)
+        text = b"\0".join(spread(t, share) for t in parts) + b"\0"
+        out.append(place[np.frombuffer(text, np.uint8)].tobytes())
     return languages, alphabet, tuple(out)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2, sample_docs: int = SAMPLE_DOCS, size: int = SYMBOLS) -> DataFrame:
     """The language of every document: ``doc_id, held_out, lang_pred, score``.
 
-    The language with the fewest phrases per character wins, the first by name in a tie; ``score`` is the share by which
-    the runner-up needs more (0 in a tie, 1 with a single language). Texts that are null or have no letter are ``und``
+    The language with the fewest phrases wins, each multiplied by the logarithm of the size of the language's labelled text, since
+    phrases grow that much longer with it; the first by name in a tie. ``score`` is the share by which the runner-up needs more (0 in a tie, 1 with a single language). Texts that are null or have no letter are ``und``
     with score 0, as are all where nothing was learnt. Whole texts are parsed; long ones in segments of 512 symbols. Repeated
     rows are judged alike; languages of the held-out fold and of null ids are never learnt.
     """
     languages, alphabet, texts = fit(docs, folds, held_fold, sample_docs, size)
+    worth = np.log(np.array([len(t) + 2.0 for t in texts]))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +234,7 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2, sample_docs: i
             spoken = np.diff(np.concatenate(([0], np.cumsum(found != 0)))[bounds]) > 0
             names, scores = [UNKNOWN] * len(spoken), np.zeros(len(spoken))
             if languages:
-                needed = _parser(alphabet, texts).phrases(found, bounds)
+                needed = _parser(alphabet, texts).phrases(found, bounds) * worth[:, None]
                 best = needed.argmin(0)
                 ranked = np.sort(needed, 0)
                 scores = np.where(spoken, (ranked[1] - ranked[0]) / np.maximum(ranked[1], 1) if len(languages) > 1 else 1.0, 0.0)

@@ -134,6 +134,22 @@ def test_languages_of_scripts_with_many_letters(spark):
     assert [raw[a:b].tobytes().decode() for a, b in zip(bounds, bounds[1:])] == ["äß\0東", "", "x"]
 
 
+def test_training_reads_whole_texts(spark):
+    """Few long documents whose text begins with another language's header give as much as many short ones."""
+    rng = np.random.default_rng(8)
+    def text(letters, n):
+        return " ".join("".join(letters[int(i)] for i in rng.integers(0, len(letters), 5)) for _ in range(n))
+    rows = [(i, text("abcdefgh", 400), "many") for i in range(0, 120)]
+    rows += [(1000 + i, text("abcdefgh", 500) + " " + text("stuvwxyz", 6000), "rare") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, alphabet, texts = language.fit(docs)
+    assert languages == ["many", "rare"] and all(0.9 * language.SYMBOLS <= len(t) <= 1.1 * language.SYMBOLS for t in texts)
+    late = {alphabet.index(c) + 2 for c in b"stuvwxyz"}
+    assert sum(c in late for c in texts[1]) > 0.6 * len(texts[1])
+    probe = spark.createDataFrame([(5000, text("stuvwxyz", 100), None), (5001, text("abcdefgh", 100), None)], docs.schema)
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs.union(probe)).collect() if r.doc_id >= 5000} == {5000: "rare", 5001: "many"}
+
+
 def test_perplexity_counts_match_brute_force(spark, messy, no_docs):
     got = perplexity.perplexity(messy).collect()
     texts = [(r.doc_id, r.text) for r in messy.collect()]
