@@ -111,21 +111,6 @@ def test_recall_against_brute_force(spark):
     assert [f[1] for f in sorted(got[1000])] == list(range(1001, 1011)) and sorted(got[100])[0][1] == 101 and sorted(got[100])[1][1] == 200
 
 
-def test_recall_of_small_cells(spark):
-    """Cells of one hundredth of structureless vectors; the graph and the walk make up for what the cells miss."""
-    x = np.random.default_rng(3).normal(size=(3200, 48)).astype(np.float32)
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {}
-    for r in neighbours.nearest(frame, cell=32).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    hits = 0
-    for q, found in got.items():
-        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
-        d[q] = np.inf
-        hits += len(found & set(np.argsort(d)[:10].tolist()))
-    assert sorted(got) == list(range(0, 3200, 100)) and hits / (10 * len(got)) >= 0.9
-
-
 def test_walk_ends_when_nothing_is_left_to_expand(spark):
     nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "u long, x array<float>")
     chain = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 20], [1.0] * (2 if 0 < i < 19 else 1)) for i in range(20)], neighbours.LISTS)
