@@ -112,7 +112,7 @@ def waterfall(
     )
     steps = bars.unionByName(_rows_of(groups, [(0, "Actuals", actual), (2, "Scenario", final)], ("_part", "name", "value")))
     order = [F.col("_part"), F.col("value").desc(), F.col("name").asc_nulls_first()]
-    numbered = with_running(steps, order, position="pos", running={"_running": "value"}, stored=True)
+    numbered = with_running(steps, order, position="pos", running={"_running": "value"})
     running = F.when(F.col("_part") == 2, F.col("value")).otherwise(F.col("_running"))
     return numbered.select(
         F.col("pos").cast("bigint").alias("pos"), "name", to_cents(F.col("value")).alias("value"),

@@ -15,19 +15,16 @@ def with_running(
     order: Sequence[Column],
     position: str | None = "pos",
     running: Mapping[str, str] | None = None,
-    stored: bool = False,
 ) -> DataFrame:
     """Add the 1-based position and running totals (``{new column: summed column}``) in the given order.
 
-    ``df`` is a group-level result, computed once and kept in shared storage (``stored=True``: it already reads
-    from there). ``order`` must be total.
-    The rows are range-partitioned by the order; each range is numbered on its own and shifted by the sums of the ranges
-    before it (one row per range).
+    ``df`` is a group-level result and ``order`` must be total. The rows are range-partitioned by the order and kept in
+    shared storage with the number of their range, so both passes see the same ranges; each range is numbered on its own
+    and shifted by the sums of the ranges before it (one row per range).
     """
     running = dict(running or {})
-    settled = df if stored else settle(df)
-    parts = int(settled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(settled.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_range").agg(
         F.count(F.lit(1)).alias("_n"), *[precise_sum(F.col(c)).alias(f"_sum_{o}") for o, c in running.items()]
