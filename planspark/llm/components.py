@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..sources.shared import settle
+from ..sources.shared import Scope, scope, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,6 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round maps every node to its smallest neighbour (or itself) and replaces the edges by those between the images.
     Node keys are hashes, so a constant share of the nodes is left after a round even on long chains.
     """
+    with scope(edges.sparkSession) as owner:
+        return owner.keep(_contracted(edges, owner))
+
+
+def _contracted(edges: DataFrame, owner: Scope) -> DataFrame:
     edges = settle(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while True:
@@ -26,5 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = (edges.join(step.select(F.col("k").alias("a"), F.col("c").alias("x")), "a")
                  .join(step.select(F.col("k").alias("b"), F.col("c").alias("y")), "b"))
         edges = settle(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        found = settle(found)
+        owner.drop_all_but(edges, found)
         if edges.isEmpty():
-            return settle(found)
+            return found

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.shared import new_path, settle
+from ..sources.shared import new_path, settle, tidy
 from .bits import BitSet, bit_set
 from .components import components
 from .texts import byte_column, chunks, mixed, ragged, shingles, word_hashes
@@ -318,6 +318,7 @@ def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataF
     return sets, settle(final)
 
 
+@tidy
 def jaccard_components(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the size of each document's set and the smallest id reachable by links.
 
@@ -333,6 +334,7 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity()) -> DataF
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+@tidy
 def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """The rows of ``docs`` with one of each linked group: the one with the smallest id (then text hash).
 

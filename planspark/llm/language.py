@@ -242,4 +242,4 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2, sample_docs: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     judged = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return judged.select("doc_id", (fold_column(F.col("doc_id"), folds) == held_fold).alias("held_out"), "lang_pred", "score")
+    return judged.select("doc_id", F.coalesce(fold_column(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -39,7 +39,8 @@ def shared_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mi
     lines = settle(keyed.select("d", "t", "at", F.unhex(F.md5("key")).alias("h")))
     # Distinct documents first, combined before the shuffle: a line in a third of all rows is no hot group.
     holders = lines.groupBy("h", "d").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"), F.max("d").alias("last"))
-    often = holders.filter(F.col("n") >= min_docs).select("h", "last")
+    # Stored, so that the join reads two plain inputs and a hot line's rows can be split over tasks.
+    often = settle(holders.filter(F.col("n") >= min_docs).select("h", "last"))
     hit = lines.join(often, "h").filter(~F.col("d").eqNullSafe(F.col("last")))
     return hit.groupBy("d", "t").agg(F.array_sort(F.collect_set("at")).alias("at"))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.shared import settle
+from ..operators.ordering import with_running
+from ..sources.shared import settle, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_ROUNDS = 1_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     driver; the work is done on one row per source.
     """
     source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row per source, however many documents there are.
-    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    source = settle(source.withColumn("weight", weight))
+    # Numbered in ranges: there may be as many sources as sites.
+    source = with_running(source, [F.col("source").isNull(), F.col("source")], position="place")
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    source = settle(source.select("source", "source_size", weight.alias("weight")))
 
     def totals(free: Column):
         return source.agg(
@@ -36,15 +36,14 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
             F.coalesce(F.sum(F.when(free, F.col("weight"))), F.lit(0)), F.count(F.when(free, 1)),
         ).first()
 
+    # A source once full stays full, since the level only rises: at most one round a source, and few in practice.
     level, left = float("inf"), -1
-    for _ in range(MAX_ROUNDS):
+    while True:
         free = F.lit(True) if level == float("inf") else F.col("weight") * F.lit(level) <= most * F.col("source_size")
         every, full, weighed, free_now = totals(free)
         if free_now == left or not weighed:
             break
         level, left = (share * every - most * full) / weighed, free_now
-    else:
-        raise RuntimeError("the targets did not settle")
     wanted = F.col("weight") * F.lit(level)
     capped = (most * F.col("source_size")).cast("double")
     return source.select("source", "source_size", F.when(wanted <= capped, wanted).otherwise(capped).alias("target"))
@@ -56,6 +55,7 @@ def unit(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+@tidy
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """How often each document is taken: ``doc_id, source, size, source_size, target, copies, taken``.
 
@@ -75,6 +75,7 @@ def _copies(docs: DataFrame, target: DataFrame, seed: str) -> DataFrame:
     return joined.select("d.*", F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), copies.alias("copies"))
 
 
+@tidy
 def emit(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
     """The documents themselves, each as often as ``mix`` takes it, with the number of the copy (from 1) as ``mix_copy``.
 

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.shared import settle
+from ..sources.shared import Scope, scope, settle, tidy
 
 DEGREE = 24         # neighbours per node
 JOINED = 12         # nearest neighbours that meet at a node in a round, with groups of about as many reverse ones
@@ -175,6 +175,12 @@ def build_graph(nodes: DataFrame, count: int, rounds: int | None = None, trees:
 
     small = nodes.select(F.col("u").alias("m"), "x")
     full, turn = min(DEGREE, count - 1), 0
+    with scope(nodes.sparkSession) as owner:
+        return owner.keep(_descended(graph, small, count, full, rounds, owner))
+
+
+def _descended(graph: DataFrame, small: DataFrame, count: int, full: int, rounds: int | None, owner: Scope) -> DataFrame:
+    turn = 0
     while rounds is None or turn < rounds:
         near = graph.select("u", F.explode(F.slice("v", 1, JOINED)).alias("v"))
         parts = near.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / JOINED).alias("parts"))
@@ -191,6 +197,7 @@ def build_graph(nodes: DataFrame, count: int, rounds: int | None = None, trees:
         changed = (better.join(graph.select("u", F.col("v").alias("old")), "u")
                    .agg(F.coalesce(F.sum(F.size(F.array_except("v", "old"))), F.lit(0))).first()[0])
         graph, turn = better, turn + 1
+        owner.drop_all_but(graph)
         if changed <= STEADY * count * full:
             break
     return graph
@@ -208,6 +215,11 @@ def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int =
     that entered a start's list, measures their unseen neighbours and keeps the nearest, until no start has a node left to
     expand, or for ``hops`` rounds at most where given.
     """
+    with scope(graph.sparkSession) as owner:
+        return owner.keep(_walked(graph, vectors, starts, beam, hops, owner))
+
+
+def _walked(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int, hops: int | None, owner: Scope) -> DataFrame:
     own = starts.join(vectors, F.col("q") == F.col("u")).select("q", F.col("x").alias("xq"))
     own = settle(own)
     ranked = Window.partitionBy("q").orderBy("d", "v")
@@ -226,11 +238,13 @@ def search(graph: DataFrame, vectors: DataFrame, starts: DataFrame, beam: int =
         state = settle(state.withColumn("done", F.lit(True)).unionByName(measured(fresh))
                        .withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= beam).drop("k"))
         hop += 1
+        owner.drop_all_but(state, own)
         if state.filter(~F.col("done")).isEmpty():
             break
     return state.select("q", "v", "d")
 
 
+@tidy
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, rounds: int | None = None, trees: int = TREES, beam: int = BEAM,
             hops: int | None = None, cell: int = CELL) -> DataFrame:
     """The ``k`` nearest rows found for each row whose ``vec_id`` is divisible by ``every``: ``query_id, rank, vec_id, score``.

@@ -17,7 +17,7 @@ from .sampling import labelled_sample
 from .texts import Rolling, byte_column, chunks, fold_column, runs, words
 
 PER_CLASS = 2_500
-TRAINING_LINES = 64
+CHAIN = 64  # lines of a training chain
 EPOCHS = 150
 SEED = 11
 
@@ -187,13 +187,16 @@ def document_scores(field: LineField, data: np.ndarray, offsets: np.ndarray) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, folds: int = 4, held_fold: int = 2) -> LineField:
-    """Train on at most ``2 * per_class`` documents outside the held-out fold, each with its first lines as one chain."""
+    """Train on at most ``2 * per_class`` documents outside the held-out fold, on all their lines: a document is one chain,
+    a long one several chains of ``CHAIN`` lines that follow each other."""
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             features, _, counts = line_features(*byte_column(batch.column(1)))
             bounds = np.concatenate(([0], np.cumsum(counts)))
-            rows = [features[a:min(a + TRAINING_LINES, b)].astype(np.float32).tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "lines"])
+            cuts = [(i, c, min(c + CHAIN, b)) for i, (a, b) in enumerate(zip(bounds, bounds[1:])) for c in range(a, max(b, a + 1), CHAIN)]
+            rows = [features[a:b].astype(np.float32).tobytes() for _, a, b in cuts]
+            label = batch.column(0).take(pa.array([i for i, _, _ in cuts], pa.int64()))
+            yield pa.RecordBatch.from_arrays([label, pa.array(rows, pa.binary())], ["label", "lines"])
 
     sample = labelled_sample(docs, labels, "quality", per_class, folds, held_fold)
     rows = sample.select("label", "text").mapInArrow(lines, "label int, lines binary").toArrow().to_pandas()
@@ -223,7 +226,7 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
     """
     found = score(docs, fit(docs, labels, per_class, folds, held_fold))
     return found.select(
-        "doc_id", (fold_column(F.col("doc_id"), folds) == held_fold).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold_column(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..sources.shared import new_path
+from ..sources.shared import new_path, tidy
 from .bits import BitSet, bit_set
 from .texts import Rolling, byte_column, chunks, mixed, small_batches
 
@@ -218,7 +218,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray,
 
 
 def repeated_windows(blobs: list[bytes], d: np.ndarray, h: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of a shard's contexts: context, place in it, and whether an equal window comes earlier."""
+    """For all windows of a shard's contexts: context, place in it, and whether an equal window comes earlier elsewhere."""
     sizes = np.array([len(b) for b in blobs])
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
@@ -235,9 +235,15 @@ def repeated_windows(blobs: list[bytes], d: np.ndarray, h: np.ndarray, low: np.n
     slot = np.empty(len(symbols), np.int64)
     slot[order] = np.arange(len(order))
     group = np.cumsum(shared[order] < LENGTH)[slot[at]]
-    turn = np.lexsort((low[context] + place, h[context], d[context], group))
+    start = low[context] + place
+    turn = np.lexsort((start, h[context], d[context], group))
+    head = np.ones(len(turn), bool)
+    head[1:] = group[turn[1:]] != group[turn[:-1]]
+    first = turn[np.maximum.accumulate(np.where(head, np.arange(len(turn)), 0))]
+    # Rows equal in id and text hold one and the same window: a second one of them does not come later.
+    own, its = context[turn], context[first]
     later = np.zeros(len(turn), bool)
-    later[turn[1:]] = group[turn[1:]] == group[turn[:-1]]
+    later[turn] = (d[own] != d[its]) | (h[own] != h[its]) | (start[turn] != start[first])
     return context, place, later
 
 
@@ -351,6 +357,7 @@ def _kept(text: bytes, ranges) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, spans
 
 
+@tidy
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc``, a struct of all columns of every document, with ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept``.
 

@@ -201,5 +201,5 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, fol
     """
     found = score(docs, fit(docs, labels, per_class, folds, held_fold, fairness))
     return found.select(
-        "doc_id", (fold_column(F.col("doc_id"), folds) == held_fold).alias("held_out"), "score",
+        "doc_id", F.coalesce(fold_column(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.shared import settle
+from ..sources.shared import Scope, scope, settle, tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TOLERANCE = 1e-4  # of the restart weights
+STORED = 4        # rounds until the scores are stored and their movement is measured
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"
 
 
@@ -70,12 +72,19 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank of ``host, trust, distrust``: trust along the edges, distrust against them.
 
     ``seeds`` has the restart weights as ``host, trust_seed, distrust_seed``. Every round is one join on the sending host
-    and one sum per receiving host, pre-aggregated before the shuffle; its result is kept in shared storage.
+    and one sum per receiving host, pre-aggregated before the shuffle; every few rounds the scores are stored, until the next are.
+    The rounds end when the scores of all hosts together move in a round by at most ``tolerance`` of the restart weights. A round moves them by at
+    most ``damping`` times as much as the one before, so they end on every graph.
     """
+    with scope(edges.sparkSession) as owner:
+        return owner.keep(_propagated(edges, seeds, damping, tolerance, owner))
+
+
+def _propagated(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, owner: Scope) -> DataFrame:
     forward = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("f"), F.lit(0).alias("r"))
     back = edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.lit(0).alias("f"), F.col("weight").alias("r"))
     steps = forward.union(back).groupBy("u", "v").agg(F.sum("f").alias("f"), F.sum("r").alias("r"))
@@ -84,18 +93,32 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     steps = settle(steps.join(out, "u").select("u", "v", share("f", "fs").alias("f"), share("r", "rs").alias("r")))
     seeds = settle(seeds)
     state = seeds.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
-    for _ in range(rounds):
-        sent = (state.join(steps, F.col("host") == F.col("u")).select(
-            F.col("v").alias("host"), (F.col("trust") * F.col("f") * damping).alias("trust"),
-            (F.col("distrust") * F.col("r") * damping).alias("distrust")))
-        restart = seeds.select("host", (F.col("trust_seed") * (1 - damping)).alias("trust"),
-                               (F.col("distrust_seed") * (1 - damping)).alias("distrust"))
-        state = settle(sent.unionByName(restart).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    return state
-
-
+    weight = seeds.agg(F.sum(F.col("trust_seed") + F.col("distrust_seed"))).first()[0] or 0.0
+    restart = seeds.select("host", (F.col("trust_seed") * (1 - damping)).alias("trust"), (F.col("distrust_seed") * (1 - damping)).alias("distrust"))
+
+    def sent(scores: DataFrame) -> DataFrame:
+        received = scores.join(steps, F.col("host") == F.col("u")).select(
+            F.col("v").alias("host"), (F.col("trust") * F.col("f") * damping).alias("trust"), (F.col("distrust") * F.col("r") * damping).alias("distrust"))
+        return received.unionByName(restart)
+
+    while True:
+        for _ in range(STORED - 1):
+            state = sent(state).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        # The scores before come along beside the new ones, so one sum gives the new scores and how far they moved.
+        old = state.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        new = sent(state).withColumns({"t": F.lit(0.0), "d": F.lit(0.0)}).unionByName(old)
+        state = settle(new.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "t", "d")]).withColumn(
+            "moved", F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d"))))
+        moved = state.agg(F.sum("moved")).first()[0] or 0.0
+        state = state.select("host", "trust", "distrust")
+        owner.drop_all_but(state, steps, seeds)
+        if moved <= tolerance * weight:
+            return state
+
+
+@tidy
 def judge(pages: DataFrame, rules: Sequence[UrlRule], neutral: float = 0.5, threshold: float = 0.5,
-          damping: float = 0.85, rounds: int = 12) -> DataFrame:
+          damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """A verdict for every page: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     Rules decide first. Their pages are the seeds: a host starts with trust for its allowed pages (and ``neutral`` for each
@@ -114,7 +137,7 @@ def judge(pages: DataFrame, rules: Sequence[UrlRule], neutral: float = 0.5, thre
     open_pages = F.col("n") - F.col("allowed") - F.col("blocked")
     seeds = counts.select("host", ((F.col("allowed") + neutral * open_pages) / total).alias("trust_seed"),
                           (F.col("blocked") / total).alias("distrust_seed"))
-    scores = propagate(host_edges(parsed), seeds, damping, rounds)
+    scores = propagate(host_edges(parsed), seeds, damping, tolerance)
     trust, distrust = F.coalesce(F.col("trust"), F.lit(0.0)), F.coalesce(F.col("distrust"), F.lit(0.0))
     spread = F.when(distrust > threshold * (trust + distrust), "block").otherwise("allow")
     return (ruled.drop("html").join(scores, "host", "left").select(

@@ -98,6 +98,13 @@ def test_chain_is_one_component(spark):
     assert len({found[k] for k in keys}) == 1 and found[5] == found[6] and 7 not in found and len(found) == 202
 
 
+def test_long_chain_keeps_its_pace(spark):
+    rng = random.Random(6)
+    keys = [rng.getrandbits(62) for _ in range(100_000)]
+    found = components(spark.createDataFrame(list(zip(keys, keys[1:])), "a long, b long"))
+    assert found.count() == len(keys) and found.select("c").distinct().count() == 1
+
+
 def removed_by_hand(rows):
     seen, out = {}, {}
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
@@ -127,6 +134,23 @@ def test_removed_bytes_match_brute_force(spark):
     assert got == removed_by_hand(rows)
 
 
+@pytest.mark.parametrize("split", [10_000, 3])
+def test_first_of_repeated_rows_keeps_its_text(spark, monkeypatch, split):
+    """Rows equal in id and text, whose contexts others share in part: the first loses nothing to the second."""
+    rng = random.Random(11)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(1200))
+    rows = [(1, a), (1, a)]
+    for i in range(10):
+        at = rng.randint(0, 900)
+        rows.append((10 + i, "".join(rng.choice("uvwxyz") for _ in range(50)) + a[at:at + rng.randint(110, 290)] + "".join(rng.choice("uvwxyz") for _ in range(50))))
+    monkeypatch.setattr(repeats, "SPLIT_CONTEXTS", split)
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select(
+        "doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = removed_by_hand(rows[1:])
+    assert sorted(r.n_removed for r in found if r.doc_id == 1) == [0, 1200]
+    assert {r.doc_id: tuple(r) for r in found if r.doc_id != 1} == {d: w for d, w in want.items() if d != 1}
+
+
 def test_split_anchors_meet_again(spark, monkeypatch):
     """Contexts of one anchor in several shards give the same result."""
     rng = random.Random(9)
