@@ -3,9 +3,11 @@
 A rule that spreads an amount needs totals of the rows it matches, at the values left by the rules before it.
 Asking Spark for those totals rule by rule would read the table once per rule. Instead the rows are reduced
 once to *cells*: which rules match, the sign of the value and, where a rule needs it, the period. All rows
-of a cell are scaled alike, so the totals of later rules follow from the cells on the driver. Only a rule whose
-totals cannot be known that way (after an even spread that crosses zero, or after rounding) starts another
-pass. The rules themselves become column expressions with literal factors on the input rows.
+of a cell are scaled alike, so the totals of later rules follow from the cells on the driver. Too many cells for the
+driver stay a stored table, on which each rule is folded by a grouped aggregate. Where cells cannot say what becomes of the
+rows (an even spread that crosses zero, rounding of every row), the rows are reduced to distinct values with their
+number instead, which is exact for any rule. Either way the rules of a chain end as column expressions on the input rows,
+with the shares of periods joined once.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,10 +27,11 @@ from ..functions.values import (
     period_at_least, period_at_most, period_between, precise_sum, require_numeric, to_cents,
 )
 from ..plans.specs import Rule
+from ..sources.shared import settle
 
 log = logging.getLogger(__name__)
 
-MAX_CELLS = 50_000  # cells brought to the driver per pass; rules needing more are solved by joins
+MAX_CELLS = 50_000  # cells brought to the driver per pass; more of them stay a stored table
 MAX_FLAGS = 60  # rules per pass, one bit each
 
 
@@ -108,6 +112,7 @@ class _Step:
     share: float = 0.0
     shift: float = 0.0
     by_period: Mapping[str | None, float] | None = None
+    shares: DataFrame | None = None  # the same as a stored table ``_p, share``, where periods are too many
 
 
 def _spreads(rule: Rule) -> bool:
@@ -141,7 +146,8 @@ def apply_rules(
     Adds ``baseline_<value>`` once (kept if present) in server mode. A table without the value column is
     returned unchanged. ``mode="screen"`` rounds each touched value to cents per rule, reads NULL as 0 and
     counts the months of the rule's own range in even spreads. Chains of plain multipliers run no job; other
-    chains read the needed columns of ``df`` once, seldom more often, before the result is built.
+    chains read the needed columns of ``df`` once before the result is built, and once more if an even spread may cross
+    zero. A filter on the value itself, and every 60 rules, start anew from the values left so far.
     """
     if mode not in ("server", "screen"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -193,36 +199,137 @@ def _next_steps(df, todo, masks, value, mode, period, key, max_cells):
         steps = [_Step(r, factor=r.factor if r.type == "multiplier" else 1.0) for r in batch]
         return steps, df, len(steps)
 
-    cells = _cells(df, batch, masks, value, mode, period, key, max_cells)
-    if cells is None:
-        return _first_by_join(df, batch[0], masks[0], value, mode, period, key)
-    steps = []
-    for position, rule in enumerate(batch):
-        try:
-            steps.append(_solve(rule, [c for c in cells if c.flags >> position & 1], mode, period))
-        except _NeedsNewPass:
-            break
-    return steps, df, len(steps)
+    flagged = _flagged(df, batch, masks, value, mode, period, key)
+    rounds = mode == "screen" and sum(_spreads(r) and _needs_abs(r) for r in batch) > 1
+    try:
+        return (_stored_steps(_Values(flagged, mode), batch, mode, period) if rounds else
+                _cell_steps(flagged, batch, mode, period, max_cells)), df, len(batch)
+    except _NeedsNewPass:
+        return _stored_steps(_Values(flagged, mode), batch, mode, period), df, len(batch)
 
 
-def _cells(df, batch, masks, value, mode, period, key, max_cells) -> list[_Cell] | None:
-    """One aggregate over the rows; ``None`` when there are too many cells for the driver."""
+def _flagged(df, batch, masks, value, mode, period, key) -> DataFrame:
+    """``flags, period, v`` of the rows that any rule matches: one bit a rule, the period only where a rule asks for it."""
     flags = F.lit(0).cast("bigint")
     for position, mask in enumerate(masks[:len(batch)]):
         flags = flags + F.when(mask, F.lit(1 << position)).otherwise(F.lit(0))
     by_period = any(_per_period(r, mode, period) for r in batch)
-    grouped = (
-        df.select(flags.alias("flags"), (key if by_period else F.lit(None).cast("string")).alias("period"),
-                  column(value).alias("v"))
-        .filter("flags > 0")
-        .groupBy("flags", "period", F.signum("v").alias("sign"))
-        .agg(F.count(F.lit(1)).alias("rows"), precise_sum(F.abs("v")).alias("total_abs"))
-    )
+    return df.select(flags.alias("flags"), (key if by_period else F.lit(None).cast("string")).alias("period"),
+                     column(value).alias("v")).filter("flags > 0")
+
+
+def _cell_steps(flagged, batch, mode, period, max_cells) -> list[_Step]:
+    """Steps from one aggregate over the rows, solved on the driver or, with too many cells for it, on a stored table."""
+    grouped = flagged.groupBy("flags", "period", F.signum("v").alias("sign")).agg(
+        F.count(F.lit(1)).alias("rows"), precise_sum(F.abs("v")).alias("total_abs"))
+    if any(_per_period(r, mode, period) for r in batch) or 4 << len(batch) > max_cells:
+        grouped = settle(grouped)  # there may be too many: then the next steps read what is stored, not the rows again
     found = grouped.limit(max_cells + 1).collect()
     if len(found) > max_cells:
-        return None
+        return _stored_steps(_Cells(grouped, mode), batch, mode, period)
     signs = [None if r["sign"] is None else (r["sign"] > 0) - (r["sign"] < 0) for r in found]
-    return [_Cell(r["flags"], s, r["period"], r["rows"], r["total_abs"]) for r, s in zip(found, signs)]
+    cells = [_Cell(r["flags"], s, r["period"], r["rows"], r["total_abs"]) for r, s in zip(found, signs)]
+    return [_solve(rule, [c for c in cells if c.flags >> position & 1], mode, period) for position, rule in enumerate(batch)]
+
+
+def _hit(position: int) -> Column:
+    return F.col("flags").bitwiseAND(F.lit(1 << position)) != 0
+
+
+class _Values:
+    """Distinct values of the rows that the rules treat alike, with their number, as a stored table ``flags, period, v, n``.
+
+    A row's fate depends on nothing else, so totals are those of the rows under any rule, rounding included. The table is never
+    longer than the rows, and far shorter where amounts repeat.
+    """
+
+    def __init__(self, flagged: DataFrame, mode: str):
+        self.mode = mode
+        self.table = settle(flagged.groupBy("flags", "period", "v").agg(F.count(F.lit(1)).alias("n")))
+
+    def measures(self) -> list[Column]:
+        size = F.abs("v")
+        whole = F.floor(size).cast("double")
+        total = F.coalesce(F.sum(whole * F.col("n")), F.lit(0.0)) + F.coalesce(F.sum((size - whole) * F.col("n")), F.lit(0.0))
+        return [F.sum("n").alias("n"), total.alias("t"), F.lit(True).alias("known")]
+
+    def change(self, step: _Step, position: int, shift: Column) -> list[Column]:
+        return [F.col("flags"), F.col("period"), _changed(step, _hit(position), shift, F.col("v"), self.mode).alias("v"), F.col("n")]
+
+
+class _Cells:
+    """Too many cells for the driver, as a stored table ``flags, period, sign, rows, total, known``; see ``_Cell``."""
+
+    def __init__(self, grouped: DataFrame, mode: str):
+        self.mode = mode
+        self.table = grouped.select("flags", "period", F.col("sign").cast("int").alias("sign"), "rows", F.col("total_abs").alias("total"),
+                                    F.lit(True).alias("known"))
+
+    def measures(self) -> list[Column]:
+        return [F.sum("rows").alias("n"), precise_sum(F.col("total")).alias("t"), F.coalesce(F.bool_and("known"), F.lit(True)).alias("known")]
+
+    def change(self, step: _Step, position: int, shift: Column) -> list[Column]:
+        sign, total, known, hit = F.col("sign"), F.col("total"), F.col("known"), _hit(position)
+        if self.mode == "screen":
+            new = (sign, total, F.lit(False))
+        elif step.by_period is not None or step.shift:
+            way = F.signum(shift).cast("int")
+            along = (way != 0) & sign.isNotNull() & ((sign == 0) | (sign == way))
+            new = (F.when(along, way).otherwise(sign), F.when(along, total + F.abs(shift) * F.col("rows")).otherwise(total),
+                   known & (along | sign.isNull() | (way == 0)))
+        else:
+            factor = F.lit(step.factor) + F.coalesce(sign, F.lit(0)) * F.lit(step.share)
+            new = (sign * F.signum(factor).cast("int"), total * F.abs(factor), known)
+        return [F.col("flags"), F.col("period"), F.when(hit, new[0]).otherwise(sign).alias("sign"), F.col("rows"),
+                F.when(hit, new[1]).otherwise(total).alias("total"), F.when(hit, new[2]).otherwise(known).alias("known")]
+
+
+def _stored_steps(state: _Values | _Cells, batch, mode, period) -> list[_Step]:
+    """The rules in order, each solved by an aggregate over the stored table and then folded into it."""
+    steps = []
+    for position, rule in enumerate(batch):
+        step = _solve_stored(rule, position, state, mode, period)
+        steps.append(step)
+        if any(_spreads(r) for r in batch[position + 1:]):
+            table, shift = state.table, F.lit(step.shift)
+            if step.shares is not None:
+                table, shift = _joined(table, F.col("period"), step.shares), F.coalesce("share", F.lit(0.0))
+            table = table.select(state.change(step, position, shift))
+            # Stored after every rule that spreads: the next one's totals must not work out all rules before it again.
+            state.table = settle(table) if _spreads(rule) else table
+    return steps
+
+
+def _solve_stored(rule: Rule, position: int, state: _Values | _Cells, mode: str, period: str | None) -> _Step:
+    """What ``_solve`` does, with totals from the stored table; shares of periods stay a table."""
+    if not _spreads(rule):
+        return _Step(rule, factor=rule.factor if rule.type == "multiplier" else 1.0)
+    matched = state.table.filter(_hit(position))
+    if not _per_period(rule, mode, period):
+        found, counts = matched.agg(*state.measures()).first(), None
+        rows = found["n"] or 0
+    else:
+        counts = settle(matched.groupBy(F.col("period").alias("_p")).agg(*state.measures()))
+        found = counts.agg(F.count(F.lit(1)).alias("n"), precise_sum(F.col("t")).alias("t"), F.coalesce(F.bool_and("known"), F.lit(True)).alias("known")).first()
+        rows = found["n"]
+    if _needs_abs(rule) and not found["known"]:
+        raise _NeedsNewPass
+    total = found["t"]
+    if not rows:
+        return _Step(rule)
+    if counts is not None:
+        amount = total * (rule.factor - 1.0) if rule.type == "multiplier" else rule.offset
+        share = amount / _period_count(rule, mode, rows)
+        return _Step(rule, by_period={}, shares=counts.select("_p", (F.lit(share) / F.col("n")).alias("share")))
+    if rule.type == "multiplier":
+        return _Step(rule, shift=total * (rule.factor - 1.0) / rows)
+    if rule.distribution == "equal" or total == 0:
+        return _Step(rule, shift=rule.offset / rows)
+    return _Step(rule, share=rule.offset / total)
+
+
+def _joined(df: DataFrame, key: Column, shares: DataFrame) -> DataFrame:
+    return df.join(shares, key.eqNullSafe(F.col("_p")), "left").drop("_p")
 
 
 def _solve(rule: Rule, matched: list[_Cell], mode: str, period: str | None) -> _Step:
@@ -290,6 +397,12 @@ def _with_period_shares(df, steps, key) -> tuple[DataFrame, dict[int, str]]:
     spread = {i: step.by_period for i, step in enumerate(steps) if step.by_period is not None}
     if not spread:
         return df, {}
+    tables = {i: step.shares for i, step in enumerate(steps) if step.shares is not None}
+    if tables:
+        each = [t.select("_p", F.lit(i).alias("i"), "share") for i, t in tables.items()]
+        every = reduce(DataFrame.unionByName, each).groupBy("_p").agg(
+            *[F.max(F.when(F.col("i") == i, F.col("share"))).alias(f"_s{i}") for i in tables])
+        return df.join(settle(every), key.eqNullSafe(F.col("_p")), "left"), {i: f"_s{i}" for i in tables}
     names = {i: f"_s{i}" for i in spread}
     periods = dict.fromkeys(p for shares in spread.values() for p in shares)
     rows = [(p, *[shares.get(p, 0.0) for shares in spread.values()]) for p in periods]
@@ -317,24 +430,6 @@ def _changed(step: _Step, mask: Column, shift: Column, v: Column, mode: str) ->
     return v if step.factor == 1.0 else v * F.when(mask, F.lit(step.factor)).otherwise(F.lit(1.0))
 
 
-def _first_by_join(df, rule, mask, value, mode, period, key):
-    """The first rule alone, for tables with too many cells: row counts per period stay a distributed table."""
-    v = column(value)
-    if not (_spreads(rule) and _per_period(rule, mode, period)):
-        rows, total = df.filter(mask).agg(F.count(F.lit(1)), precise_sum(F.abs(v))).first()
-        return [_solve(rule, [_Cell(1, 1, None, rows, total)], mode, period)], df, 1
-    counts = df.filter(mask).groupBy(key.alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n"), precise_sum(F.abs(v)).alias("_t")
-    )
-    periods, total = counts.agg(F.count(F.lit(1)), precise_sum(F.col("_t"))).first()
-    amount = total * (rule.factor - 1.0) if rule.type == "multiplier" else rule.offset
-    share = amount / _period_count(rule, mode, periods)
-    joined = df.join(counts.drop("_t"), key.eqNullSafe(F.col("_p")), "left")
-    shift = F.coalesce(F.lit(share) / F.col("_n"), F.lit(0.0))
-    spread = _Step(rule, by_period={})
-    return [], joined.withColumn(value, _changed(spread, mask, shift, v, mode)).drop("_p", "_n"), 1
-
-
 def preview_rules(
     df: DataFrame,
     rules: Sequence[Rule | Mapping],

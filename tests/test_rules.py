@@ -192,9 +192,53 @@ def test_random_chains(spark, seed, mode):
     close(amounts(apply_rules(df, rules, mode=mode)), want, tolerance)
 
 
+def counted(spark, data):
+    """The rows, and how many of them have been read so far."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def note(segment):
+        reads.add(1)
+        return segment
+
+    seen = F.udf(note, "string").asNondeterministic()
+    return frame(spark, data).withColumn("seg", seen("seg")), reads
+
+
+SPREADING = [
+    {"type": "offset", "offset": 900.0, "distribution": "equal"},
+    {"type": "offset", "offset": -120.0, "filters": {"seg": ["a", "b"]}},
+    {"type": "multiplier", "factor": 1.5, "distribution": "equal", "filters": {"seg": ["b", "c"]}},
+    {"type": "offset", "offset": 300.0, "distribution": "equal", "periodFrom": "2024-02"},
+    {"type": "multiplier", "factor": 0.8, "filters": {"seg": ["c"]}},
+    {"type": "offset", "offset": 77.0, "filters": {"seg": ["c"]}},
+    {"type": "multiplier", "factor": 0.9, "distribution": "equal"},
+]
+
+
+@pytest.mark.parametrize("mode,cells", [("server", 10), ("server", 50_000), ("screen", 10), ("screen", 50_000)])
+def test_rows_are_read_once_for_a_whole_chain(spark, mode, cells):
+    rng = random.Random(3)
+    data = [(i, rng.choice("abc"), f"2024-{rng.randint(1, 6):02d}", round(rng.uniform(50, 900), 2)) for i in range(300)]
+    df, reads = counted(spark, data)
+    out = apply_rules(df, SPREADING, mode=mode, max_cells=cells)
+    assert reads.value == len(data)
+    got = [r["amount"] for r in sorted(out.collect(), key=lambda r: r["id"])]
+    close(got, simulate(data, SPREADING, mode), 0.011 * len(SPREADING) if mode == "screen" else 1e-6)
+    assert reads.value == 2 * len(data)
+
+
+def test_a_spread_across_zero_costs_one_more_reading(spark):
+    rng = random.Random(4)
+    data = [(i, rng.choice("abc"), f"2024-{rng.randint(1, 6):02d}", rng.uniform(-90, 90)) for i in range(200)]
+    df, reads = counted(spark, data)
+    out = apply_rules(df, SPREADING * 2)
+    assert reads.value == 2 * len(data)
+    close(amounts(out), simulate(data, SPREADING * 2, "server"))
+
+
 @pytest.mark.parametrize("mode", ["server", "screen"])
 @pytest.mark.parametrize("seed", range(3))
-def test_joins_replace_cells_when_there_are_too_many(spark, seed, mode):
+def test_stored_tables_replace_cells_when_there_are_too_many(spark, seed, mode):
     data, rules = random_case(random.Random(100 + seed))
     close(amounts(apply_rules(frame(spark, data), rules, mode=mode, max_cells=1)), simulate(data, rules, mode),
           0.011 if mode == "screen" else 1e-6)

@@ -114,6 +114,50 @@ def rules_chain(spark, sf):
     return by_period(apply_rules(rows(spark, sf), CHAIN, V))
 
 
+MANY = [
+    {"type": "offset", "offset": 1e6, "distribution": "equal", "filters": {"c_mktsegment": ["AUTOMOBILE", "BUILDING"]}},
+    {"type": "multiplier", "factor": 1.1, "distribution": "equal", "filters": {"l_returnflag": ["R", "A"]}},
+    {"type": "offset", "offset": -2e6, "filters": BUILDING, **YEAR_1997},
+    {"type": "multiplier", "factor": 0.5, "filters": {"c_mktsegment": ["MACHINERY"]}},
+    {"type": "offset", "offset": 3e5, "distribution": "equal", "filters": {"l_returnflag": ["N"]}, "periodFrom": "1996-03", "periodTo": "1998-02"},
+    {"type": "offset", "offset": 7e5, "filters": {"c_mktsegment": ["MACHINERY", "BUILDING"]}},
+    {"type": "multiplier", "factor": 1.02, "distribution": "equal", "filters": {"c_mktsegment": ["FURNITURE", "BUILDING"]}},
+]
+
+
+@query("rules_many_cells", chain(
+    step(1, "c_mktsegment IN ('AUTOMOBILE', 'BUILDING')", "equal", "1000000.0::DOUBLE"),
+    step(2, "l_returnflag IN ('R', 'A')", "scale_equal", "1.1::DOUBLE"),
+    step(3, HIT, "spread", "(-2000000.0::DOUBLE)"),
+    step(4, "c_mktsegment = 'MACHINERY'", "scale", "0.5::DOUBLE"),
+    step(5, "l_returnflag = 'N' AND period BETWEEN '1996-03' AND '1998-02'", "equal", "300000.0::DOUBLE"),
+    step(6, "c_mktsegment IN ('MACHINERY', 'BUILDING')", "spread", "700000.0::DOUBLE"),
+    step(7, "c_mktsegment IN ('FURNITURE', 'BUILDING')", "scale_equal", "1.02::DOUBLE")))
+def rules_many_cells(spark, sf):
+    return by_period(apply_rules(rows(spark, sf), MANY, V, max_cells=10))
+
+
+SCREEN = [
+    {"type": "offset", "offset": 250000, "filters": BUILDING, **YEAR_1997},
+    {"type": "multiplier", "factor": 1.03, "filters": {"l_returnflag": ["R"]}},
+    {"type": "multiplier", "factor": 1.07, "distribution": "equal", "filters": {"c_mktsegment": ["BUILDING", "MACHINERY"]}, **YEAR_1997},
+    {"type": "offset", "offset": -90000, "distribution": "equal", "filters": {"c_mktsegment": ["BUILDING"]}, "periodFrom": "1997-04"},
+    {"type": "offset", "offset": 440000, "filters": {"l_returnflag": ["R", "N"]}},
+    {"type": "multiplier", "factor": 0.97, "distribution": "equal"},
+]
+
+
+@query("ui_rules_chain", chain(
+    step(1, HIT, "spread", "250000.0::DOUBLE", True),
+    step(2, "l_returnflag = 'R'", "scale", "1.03::DOUBLE", True),
+    step(3, "c_mktsegment IN ('BUILDING', 'MACHINERY') AND period BETWEEN '1997-01' AND '1997-12'", "scale_equal_screen", "1.07::DOUBLE", True, "12.0::DOUBLE"),
+    step(4, "c_mktsegment = 'BUILDING' AND period >= '1997-04'", "equal", "(-90000.0::DOUBLE)", True),
+    step(5, "l_returnflag IN ('R', 'N')", "spread", "440000.0::DOUBLE", True),
+    step(6, "1 = 1", "scale_equal_screen", "0.97::DOUBLE", True)))
+def ui_rules_chain(spark, sf):
+    return by_period(apply_rules(rows(spark, sf), SCREEN, V, mode="screen"))
+
+
 @query("rule_preview", f"""WITH {BASE}, t AS (
     SELECT COUNT(*) AS n, COUNT(*) FILTER (c_mktsegment = 'BUILDING') AS n1, COUNT(*) FILTER ({HIT}) AS n2,
            {exact("CASE WHEN c_mktsegment = 'BUILDING' THEN v END")} AS s1 FROM r0)
