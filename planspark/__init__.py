@@ -16,6 +16,7 @@ from .operators.query import (
     value_column, value_counts,
 )
 from .operators.relationships import calendar_links, detect_relationships, relationship_coverage
+from .operators.reports import ReportSet, Rollups
 from .operators.rules import apply_rules, preview_rules, rule_mask
 from .operators.scenario import (
     compute_scenario, compute_scenarios, period_delta, scenario_periods, scenario_with_projection, screen_base, screen_scenarios,
