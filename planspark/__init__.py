@@ -23,8 +23,9 @@ from .operators.scenario import (
     select_base, variance_total,
 )
 from .operators.upload import UploadedModel, ingest_tables
-from .operators.transform import apply_step, apply_steps, mark_applied, output_role, preview_step, reject
+from .operators.transform import apply_step, apply_steps, mark_applied, materialize_steps, output_role, preview_step, reject
 from .plans.specs import BaseConfig, ProjectionSpec, QuerySpec, Relationship, Rule, Scenario, TableModel
 from .sources.infer import coerce_types, infer_types, normalize_period
 from .sources.naming import sanitize_columns
 from .sources.tables import IngestResult, export_rows, ingest_table, read_delimited, write_table, write_typed
+from .sources.versions import Update, Version, VersionConflict, VersionedTable

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions.values import column, dtype_of, resolve, to_double
+from ..sources.versions import VersionedTable
 from .query import value_counts
 
 PREVIEW_ROWS = 200  # fixed value: rows of a preview
@@ -107,7 +108,7 @@ def apply_step(df: DataFrame, step: Mapping) -> DataFrame:
 def apply_steps(df: DataFrame, steps: Sequence[Mapping]) -> DataFrame:
     """Pending and approved steps in ``step_order``, each output stored in its declared type.
 
-    All steps fold into the same scan. Write the result as a new table version with ``write_table``.
+    All steps fold into the same scan. :func:`materialize_steps` stores the result as a new version of a table.
     """
     todo = [s for s in steps if s.get("status", "pending") in ("pending", "approved")]
     for step in sorted(todo, key=lambda s: s.get("step_order", 0)):
@@ -118,6 +119,43 @@ def apply_steps(df: DataFrame, steps: Sequence[Mapping]) -> DataFrame:
     return df
 
 
+@dataclass(frozen=True)
+class Materialized:
+    """What storing steps did: the steps with their new status, rows covered by column steps (renames cover none), rows whose values moved,
+    partitions written and the version they led to."""
+
+    steps: list[dict]
+    rows: int
+    moved: int
+    partitions: list[str]
+    version: int
+
+
+def materialize_steps(table: VersionedTable, steps: Sequence[Mapping]) -> Materialized:
+    """Apply pending and approved steps to a stored table, in ``step_order``.
+
+    Column steps that follow each other are folded into one update, which writes only the partitions in which a value differs; a rename
+    is an entry in the table's log. A step that fails leaves the table at the version before its update, and steps not reached
+    keep their status. Steps already applied or rejected are passed over.
+    """
+    done, rows, moved, partitions = [dict(s) for s in steps], 0, 0, set()
+    todo = sorted((s for s in done if s.get("status", "pending") in ("pending", "approved")), key=lambda s: s.get("step_order", 0))
+    while todo:
+        if todo[0]["step_type"] == "rename":
+            table.rename(todo[0]["from_column"], todo[0]["to_column"])
+            batch, todo = todo[:1], todo[1:]
+        else:
+            until = next((i for i, s in enumerate(todo) if s["step_type"] == "rename"), len(todo))
+            batch, todo = todo[:until], todo[until:]
+            outputs = list(dict.fromkeys(s["output_column"] for s in batch))
+            found = table.update(lambda df, b=batch: apply_steps(df, b), outputs)
+            rows, moved = rows + found.rows * len(batch), moved + found.moved
+            partitions |= set(found.partitions)
+        for step in batch:
+            step["status"] = "applied"
+    return Materialized(done, rows, moved, sorted(partitions), table.version().number)
+
+
 def mark_applied(steps: Sequence[Mapping]) -> list[dict]:
     """The steps with the ones that :func:`apply_steps` runs set to applied."""
     return [{**s, "status": "applied"} if s.get("status", "pending") in ("pending", "approved") else dict(s) for s in steps]

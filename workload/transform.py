@@ -2,8 +2,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from planspark import apply_step, apply_steps, preview_step
-from .registry import query, table
+from planspark import VersionedTable, apply_step, apply_steps, materialize_steps, preview_step, with_period
+from planspark.functions import precise_sum
+from planspark.sources.shared import new_path
+from .registry import cents, money, query, table
 
 
 def _part(spark, sf):
@@ -109,3 +111,33 @@ def apply_steps_(spark, sf):
     ]
     got = apply_steps(_part(spark, sf), steps)
     return got.select("p_partkey", "band", F.col("gross").cast("double").alias("gross"), "code")
+
+
+_FLAGS = {"step_type": "reclassification", "source_column": "l_returnflag", "output_column": "state", "output_type": "text", "step_order": 1,
+          "rules": [_rule("equals", "back", value="R"), _rule("equals", "kept", value="A"), {"default": "open"}]}
+_STEPS = [
+    _FLAGS,
+    {"step_type": "calculated_column", "output_column": "net", "output_type": "numeric", "step_order": 2,
+     "expression": {"op": "multiply", "left": _c("l_extendedprice"), "right": {"op": "subtract", "left": {"literal": 1}, "right": _c("l_discount")}}},
+    {"step_type": "rename", "from_column": "state", "to_column": "status", "step_order": 3},
+]
+_AGAIN = [{**_FLAGS, "output_column": "status", "rules": [_rule("equals", "back", value="R"), _rule("equals", "kept", value="A"), {"default": "due"}]}]
+
+
+@query("materialize_steps", f"""
+    WITH s AS (SELECT strftime(l_shipdate, '%Y-%m') AS period, CASE l_returnflag WHEN 'R' THEN 'back' WHEN 'A' THEN 'kept' ELSE 'due' END AS status,
+                      CAST(l_extendedprice * (1.0::DOUBLE - l_discount) AS DECIMAL(18,4)) AS net FROM lineitem),
+    t AS (SELECT COUNT(*) AS rows_touched, COUNT(*) FILTER (status = 'due') AS rows_moved,
+                 COUNT(DISTINCT CASE WHEN status = 'due' THEN period END) AS partitions_written FROM s)
+    SELECT period, status, COUNT(*) AS n, {money('net')} AS net, ANY_VALUE(rows_touched) AS rows_touched, ANY_VALUE(rows_moved) AS rows_moved,
+           ANY_VALUE(partitions_written) AS partitions_written
+    FROM s, t GROUP BY 1, 2""")
+def materialize_steps_(spark, sf):
+    lines = with_period(table(spark, sf, "lineitem"), "l_shipdate").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_discount", "period")
+    stored = VersionedTable.create(lines, new_path(spark, "versions"), "period")
+    materialize_steps(stored, _STEPS)
+    found = materialize_steps(stored, _AGAIN)
+    sums = stored.read().groupBy("period", "status").agg(F.count(F.lit(1)).alias("n"), precise_sum(F.col("net").cast("double")).alias("net"))
+    return cents(sums, "net").withColumns({
+        "rows_touched": F.lit(found.rows).cast("long"), "rows_moved": F.lit(found.moved).cast("long"),
+        "partitions_written": F.lit(len(found.partitions)).cast("long")})
