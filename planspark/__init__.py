@@ -10,6 +10,7 @@ from .operators.metrics import aggregate_rule, eval_metric, metric_ratio
 from .operators.ordering import with_running
 from .operators.pivot import pivot_long, pivot_wide, sort_pivot
 from .operators.profile import detect_role, detect_roles, measure_stats, profile_columns
+from .operators.profile_store import ProfileStore
 from .operators.projection import comparison_base, project, project_future, project_seasonal, project_then_rules
 from .operators.query import (
     available_periods, derive_period, filter_period_range, filter_rows, query_grouped, run_query, scan, screen_filter,

@@ -110,10 +110,10 @@ def text_to_double(c: Column) -> Column:
     return F.when(trimmed.rlike(NUMERIC_TEXT), trimmed).try_cast("double")
 
 
-def stacked_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The named columns below each other: ``column_name``, ``value`` as text, nulls included."""
-    texts = df.select(*[text(column(n), dtype_of(df, n)).alias(n) for n in names])
-    return texts.unpivot([], [column(n) for n in names], "column_name", "value")
+def stacked_values(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The named columns below each other: ``column_name``, ``value`` as text, nulls included; ``keep`` stays beside them."""
+    texts = df.select(*[column(k) for k in keep], *[text(column(n), dtype_of(df, n)).alias(n) for n in names])
+    return texts.unpivot([column(k) for k in keep], [column(n) for n in names], "column_name", "value")
 
 
 def text_to_long(c: Column) -> Column:

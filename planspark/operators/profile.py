@@ -160,11 +160,18 @@ def profile_columns(
     approx: bool = False,
 ) -> tuple[list[ColumnProfile], int]:
     """Profile and role of every column, and the row count, from one job with one result row per column."""
+    return profiles_of(df.schema, column_facts(df, samples, approx), display_names)
+
+
+def profiles_of(
+    schema: T.StructType, facts: DataFrame, display_names: Mapping[str, str] | None = None
+) -> tuple[list[ColumnProfile], int]:
+    """Profiles and roles from the facts of :func:`column_facts`, and the row count."""
     shown = dict(display_names or {})
-    facts = {r["column_name"]: r for r in column_facts(df, samples, approx).collect()}
+    facts = {r["column_name"]: r for r in facts.collect()}
     rows = max((f["filled"] + f["null_count"] for f in facts.values()), default=0)
     profiles = []
-    for f in df.schema.fields:
+    for f in schema.fields:
         if f.name == "_row_id":
             continue
         display, found = shown.get(f.name, f.name), facts.get(f.name)

@@ -3,12 +3,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planspark import (
-    coerce_types, export_rows, infer_types, ingest_table, ingest_tables, measure_stats, normalize_period, profile_columns, read_delimited,
+    ProfileStore, coerce_types, export_rows, infer_types, ingest_table, ingest_tables, measure_stats, normalize_period, profile_columns, read_delimited,
     sanitize_columns, write_typed,
 )
 from planspark.operators.profile import column_facts
 from planspark.sources.shared import new_path
-from .registry import cents, exact, query, rounded, table
+from .registry import cents, exact, money, query, rounded, table
 
 
 def _delimited(spark, sf):
@@ -112,6 +112,26 @@ def profile_columns_(spark, sf):
     return column_facts(orders).select("column_name", "unique_count", "null_count", F.get("samples", 0).alias("first_sample"))
 
 
+@query("profile_increments", f"""
+    SELECT p.*, m.min, m.max, m.sum FROM (SELECT column_name, unique_count, null_count, samples FROM ({" UNION ALL ".join(f"""
+        SELECT '{c}' AS column_name, COUNT(DISTINCT {x}) + CAST(max(CASE WHEN {x} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unique_count,
+               COUNT(*) FILTER ({x} IS NULL) AS null_count, array_to_string(list_sort(list(DISTINCT {x}) FILTER ({x} IS NOT NULL))[1:20], '|') AS samples
+        FROM orders""" for c, x in _ORDER_TEXTS)})) p
+    LEFT JOIN (SELECT 'o_totalprice' AS column_name, ROUND(min(o_totalprice), 2) AS min, ROUND(max(o_totalprice), 2) AS max, {money('o_totalprice')} AS sum
+               FROM orders) m USING (column_name)""")
+def profile_increments(spark, sf):
+    """Orders arrive in two loads; the profile of the whole comes from the states of its files."""
+    orders = table(spark, sf, "orders").withColumn(
+        "o_orderpriority", F.when(~F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), F.col("o_orderpriority")))
+    folder, store = new_path(spark, "orders"), ProfileStore(spark, new_path(spark, "profile"))
+    for load in ("o_orderdate < '1995-01-01'", "NOT coalesce(o_orderdate < '1995-01-01', false)"):
+        orders.filter(load).write.mode("append").parquet(folder)
+        store.update(folder)
+    stats = store.measure_stats(folder, ["o_totalprice"])
+    shown = store.facts(folder).select("column_name", "unique_count", "null_count", F.array_join("samples", "|").alias("samples"))
+    return shown.join(stats, "column_name", "left")
+
+
 _ROLE_COLUMNS = {
     "l_orderkey": "integer", "l_linenumber": "integer", "l_extendedprice": "numeric", "l_discount": "numeric",
     "l_returnflag": "text", "l_shipdate": "date", "account_nr": "integer", "constant": "integer", "sum_quantity": "integer",
