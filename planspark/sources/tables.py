@@ -13,6 +13,7 @@ from ..functions.values import column, is_temporal, resolve
 from ..operators.profile import ColumnProfile, profile_columns
 from .infer import coerce_types, infer_types, normalize_periods
 from .naming import sanitize_columns
+from .quoted import read_quoted
 
 SEPARATORS = (",", ";", "\t", "|")  # fixed values, in order of preference
 NULL_TOKENS = ("NA", "N/A", "#N/A", "null", "NULL", "-")  # fixed values
@@ -37,12 +38,12 @@ def read_delimited(
     """Delimited text with a header line, every column as text; null tokens and empty fields become NULL.
 
     ``path`` may be a file, a folder or a pattern. A byte order mark is dropped; broken UTF-8 is replaced.
-    ``multi_line=True`` allows line breaks inside quotes; a file is then read by one task.
+    ``multi_line=True`` allows line breaks inside quotes; a large file is still read by many tasks, see :func:`read_quoted`.
     """
     if sep is None:
         first = None if path.lower().endswith(".tsv") else spark.read.text(path).first()
         sep = "\t" if path.lower().endswith(".tsv") else sniff_separator(first[0] if first else "")
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+    raw = read_quoted(spark, path, sep) if multi_line else spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"')
     names = [c.lstrip("﻿") for c in raw.columns]
     raw = raw.toDF(*names)
     return raw.select(*[F.when(~column(c).isin(*null_tokens), column(c)).alias(c) for c in names])

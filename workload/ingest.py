@@ -70,6 +70,18 @@ def coerce_types_(spark, sf):
     return got.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@query("read_delimited_quoted", """
+    SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus || chr(10) || '"' || o_orderpriority || '",' || chr(10) AS note,
+           CASE WHEN o_orderkey % 3 > 0 THEN 'line' || chr(10) || o_custkey END AS more FROM orders""")
+def read_delimited_quoted(spark, sf):
+    path, key = new_path(spark, "quoted") + ".csv", F.col("o_orderkey")
+    table(spark, sf, "orders").select(
+        key.cast("string").alias("key"), F.concat("o_orderstatus", F.lit('\n"'), "o_orderpriority", F.lit('",\n')).alias("note"),
+        F.when(key % 3 > 0, F.concat(F.lit("line\n"), F.col("o_custkey").cast("string"))).alias("more"),
+    ).write.csv(path, header=True, quoteAll=True, escape='"', nullValue="-", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_delimited(spark, path, sep=",", multi_line=True)
+
+
 @query("export_rows", """
     SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS total,
            strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""")
