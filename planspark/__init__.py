@@ -5,7 +5,7 @@ from .operators.calendar import calendar_dim, calendar_for, filter_values, with_
 from .operators.compare import (
     chart_series, comparison, comparison_pivot, comparison_totals, variance, variance_totals, waterfall, waterfall_screen,
 )
-from .operators.labels import auto_labels, auto_labels_for, dimension_size, dimension_values, glossary, grouping_values, upsert_labels
+from .operators.labels import LabelStore, auto_labels, auto_labels_for, dimension_size, dimension_values, glossary, grouping_values, upsert_labels
 from .operators.metrics import aggregate_rule, eval_metric, metric_ratio
 from .operators.ordering import with_running
 from .operators.pivot import pivot_long, pivot_wide, sort_pivot

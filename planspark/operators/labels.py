@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.values import column, distinct_with_null, dtype_of, resolve, stacked_values, text
 from ..plans.specs import Relationship
+from ..sources.shared import settle
+from ..sources.versions import VersionConflict, VersionedTable
 from .profile import ColumnProfile
 
 TOP_VALUES = 100  # fixed value: values listed per dimension
@@ -203,3 +205,46 @@ def glossary(
     numbered = first.withColumn("pos", F.row_number().over(Window.orderBy("_part", "_key", "phrase")))  # at most `top` rows
     kept = numbered.groupBy("phrase").agg(F.min(F.struct("pos", "maps_to")).alias("_first"))
     return kept.select(F.col("_first.pos").cast("bigint").alias("pos"), "phrase", F.col("_first.maps_to").alias("maps_to")).orderBy("pos")
+
+
+class LabelStore:
+    """Labels kept in buckets by (dataset, column) and, within them, by value: an upsert rewrites the buckets of its own values only.
+
+    Every upsert is one new version of the table, so readers see all of it or nothing; where another writer was first the upsert is
+    worked out again on that writer's labels.
+    """
+
+    SHAPE = "dataset string, column_name string, raw_value string, display_label string, category string"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, parts: int = 16):
+        """A store is opened with the numbers of buckets, and of parts by value in each, that it was made with."""
+        self.spark, self.buckets, self.parts = spark, buckets, parts
+        self.table = VersionedTable(spark, path)
+        if not self.table.numbers():
+            empty = spark.createDataFrame([], self.SHAPE).withColumn("bucket", F.lit(0))
+            self.table = VersionedTable.create(empty, path, "bucket")
+
+    def _bucket(self) -> Column:
+        name = F.pmod(F.xxhash64(F.coalesce("dataset", F.lit("")), "column_name"), F.lit(self.buckets))
+        return (name * self.parts + F.pmod(F.xxhash64("raw_value"), F.lit(self.parts))).cast("int")
+
+    def labels(self) -> DataFrame:
+        return self.table.read().drop("bucket")
+
+    def upsert(self, incoming: DataFrame, dataset: str | None = None) -> int:
+        """Merge incoming labels as :func:`upsert_labels` does; returns the number of buckets written."""
+        rows = incoming if "dataset" in incoming.columns else incoming.withColumn("dataset", F.lit(dataset).cast("string"))
+        given = settle(rows.filter(F.coalesce(F.col("raw_value"), F.lit("")) != "").withColumn("bucket", self._bucket()))
+        touched = sorted(r["bucket"] for r in given.select("bucket").distinct().collect())  # at most buckets x parts numbers
+        while touched:
+            version = self.table.version()
+            stored = version.columns["bucket"]
+            names = {f"{stored}={b}": b for b in touched}
+            old = self.table.read(version.number, [n for n in names if n in version.folders])
+            merged = upsert_labels(old.drop("bucket"), given.drop("bucket"))
+            try:
+                self.table.replace(version, list(names), merged.withColumn("bucket", self._bucket()))
+                break
+            except VersionConflict:
+                continue
+        return len(touched)

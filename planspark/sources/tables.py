@@ -7,18 +7,22 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.values import column, is_temporal, resolve
 from ..operators.profile import ColumnProfile, profile_columns
 from .infer import coerce_types, infer_types, normalize_periods
 from .naming import sanitize_columns
 from .quoted import read_quoted
+from .versions import FileLog
 
 SEPARATORS = (",", ";", "\t", "|")  # fixed values, in order of preference
 NULL_TOKENS = ("NA", "N/A", "#N/A", "null", "NULL", "-")  # fixed values
 DELIMITED_SUFFIXES = (".csv", ".tsv", ".txt")  # fixed values
 
+RANGE_BITS = 45  # a load that appends takes 2**45 row ids ...
+TASK_BITS = 27   # ... of which each task has 2**27
+
 # Stored type of each logical type.
 STORED_TYPES = {"text": "string", "numeric": "decimal(18,4)", "integer": "bigint", "boolean": "boolean", "date": "date"}
 
@@ -132,12 +136,36 @@ def write_typed(
 ) -> int:
     """Coerce to the declared types, add ``_row_id`` and write with :func:`write_table`.
 
-    Rows appended to a stored table get ids above those it has.
+    Rows appended to a stored table get ids from a range of their own, reserved before they are written, so ids
+    stay unique when several loads run at the same time.
     """
     typed = coerce_types(df, types)
     stored = [column(n).try_cast(STORED_TYPES[types.get(n, "text")]).alias(n) for n in typed.columns if n != "_row_id"]
-    above = _last_row_id(df.sparkSession, path) + 1 if mode == "append" else 0
-    return write_table(typed.select(*stored).withColumn("_row_id", F.monotonically_increasing_id() + F.lit(above)), path, partition_by, mode)
+    row_id = F.monotonically_increasing_id()
+    if mode == "append":
+        row_id = _in_range(row_id, reserve_row_ids(df.sparkSession, path))
+    return write_table(typed.select(*stored).withColumn("_row_id", row_id), path, partition_by, mode)
+
+
+def _in_range(row_id: Column, start: int) -> Column:
+    """Ids of one reserved range: so many for each task, in the order of its rows."""
+    task, row = F.shiftright(row_id, 33), row_id.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (task < 1 << (RANGE_BITS - TASK_BITS)) & (row < 1 << TASK_BITS)
+    return F.when(fits, F.lit(start) + F.shiftleft(task, TASK_BITS) + row).otherwise(F.raise_error(F.lit("more rows than one range of row ids holds")).cast("long"))
+
+
+def reserve_row_ids(spark: SparkSession, path: str) -> int:
+    """First id of a range that no other load of the table at ``path`` uses.
+
+    A range is taken by creating a file with its number beside the table's own files (readers pass over names that begin
+    with an underscore); where another load was first, the next number is tried. Ranges begin above the ids stored.
+    """
+    files = FileLog(spark, path)
+    number = (_last_row_id(spark, path) >> RANGE_BITS) + 1
+    while True:
+        number = max([number, *(int(n) + 1 for n in files.names("_ids") if n.isdigit())])
+        if files.publish("", "_ids", f"{number:010d}"):
+            return number << RANGE_BITS
 
 
 def _last_row_id(spark: SparkSession, path: str) -> int:

@@ -34,8 +34,8 @@ class Version:
     partition_by: str | None = None
 
 
-class _Files:
-    """The few file operations that a log needs, on whatever store the path names."""
+class FileLog:
+    """Small files that are published once under a name, on whatever store the path names."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -85,7 +85,7 @@ class VersionedTable:
     """A table under ``path``; ``partition_by`` names the column whose values are stored apart (a period, say)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.files = spark, _Files(spark, path)
+        self.spark, self.files = spark, FileLog(spark, path)
 
     @classmethod
     def create(cls, df: DataFrame, path: str, partition_by: str | None = None) -> VersionedTable:
@@ -201,6 +201,16 @@ class VersionedTable:
         folders = {**version.folders, **new}
         return Update(self._publish(self._next(version, schema=schema, columns=stored, folders=folders)), total, moved, sorted(new))
 
+    def replace(self, version: Version, partitions: Sequence[str], df: DataFrame) -> Version:
+        """The version after ``version`` in which these partitions (by folder name) hold the rows of ``df`` and no others. Raises
+        where another writer completed that version first, since the rows were made from an older state."""
+        by = version.columns[version.partition_by]
+        new = self._write(df.select(*[column(n).alias(s) for n, s in version.columns.items()]), by)
+        if not set(new) <= set(partitions):
+            raise ValueError(f"rows of other partitions: {sorted(set(new) - set(partitions))}")
+        kept = {p: f for p, f in version.folders.items() if p not in partitions}
+        return self._publish(self._next(version, folders={**kept, **new}))
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete versions but the last ``keep``, and writers' folders that none of those reads; not while others write."""
         numbers = self.numbers()

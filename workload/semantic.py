@@ -3,9 +3,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from planspark import (
-    Relationship, aggregate_rule, auto_labels_for, dimension_values, eval_metric, glossary, grouping_values, metric_ratio,
+    LabelStore, Relationship, aggregate_rule, auto_labels_for, dimension_values, eval_metric, glossary, grouping_values, metric_ratio,
     profile_columns, upsert_labels,
 )
+from planspark.sources.shared import new_path
 from .registry import SALES, cents, exact, money, query, rounded, sales, table
 
 
@@ -62,6 +63,26 @@ def upsert_labels_(spark, sf):
     return upsert_labels(known, incoming.unionByName(incoming.withColumn("raw_value", F.lit(""))))
 
 
+@query("upsert_label_store", """WITH c AS (
+        SELECT CAST(o_custkey AS VARCHAR) AS raw_value, arg_max('Order ' || o_orderkey, o_orderkey) AS label FROM orders GROUP BY 1)
+    SELECT 'shop' AS dataset, 'c_custkey' AS column_name, COALESCE(raw_value, CAST(c_custkey AS VARCHAR)) AS raw_value,
+           COALESCE(label, c_name) AS display_label, c_mktsegment AS category
+    FROM customer FULL JOIN c ON raw_value = CAST(c_custkey AS VARCHAR)
+    UNION ALL SELECT 'shop', 'n_nationkey', CAST(n_nationkey AS VARCHAR), n_name, NULL FROM nation""")
+def upsert_label_store(spark, sf):
+    store = LabelStore(spark, new_path(spark, "labels"), buckets=4, parts=4)
+    column = F.lit("c_custkey").alias("column_name")
+    store.upsert(table(spark, sf, "nation").select(
+        F.lit("n_nationkey").alias("column_name"), F.col("n_nationkey").cast("string").alias("raw_value"), F.col("n_name").alias("display_label"),
+        F.lit(None).cast("string").alias("category")), "shop")
+    store.upsert(table(spark, sf, "customer").select(
+        column, F.col("c_custkey").cast("string").alias("raw_value"), F.col("c_name").alias("display_label"), F.col("c_mktsegment").alias("category")), "shop")
+    store.upsert(table(spark, sf, "orders").select(
+        column, F.col("o_custkey").cast("string").alias("raw_value"), F.concat(F.lit("Order "), F.col("o_orderkey")).alias("display_label"),
+        F.lit(None).cast("string").alias("category"), F.col("o_orderkey").alias("seq")), "shop")
+    return store.labels()
+
+
 @query("glossary", f"""WITH {LABELS_SQL},
     r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY raw_value) AS i FROM labels_),
     cats AS (SELECT lower(category) AS phrase, 'c_nationkey IN [' || string_agg(CASE WHEN i <= 5 THEN '''' || raw_value || '''' END, ', ' ORDER BY i)
