@@ -146,8 +146,8 @@ def apply_rules(
     Adds ``baseline_<value>`` once (kept if present) in server mode. A table without the value column is
     returned unchanged. ``mode="screen"`` rounds each touched value to cents per rule, reads NULL as 0 and
     counts the months of the rule's own range in even spreads. Chains of plain multipliers run no job; other
-    chains read the needed columns of ``df`` once before the result is built, and once more if an even spread may cross
-    zero. A filter on the value itself, and every 60 rules, start anew from the values left so far.
+    chains read the needed columns of ``df`` once before the result is built, and once more if there are more than
+    ``max_cells`` cells or an even spread may cross zero, however many rules there are. A filter on the value itself, and every 60 rules, start anew from the values left so far.
     """
     if mode not in ("server", "screen"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -222,11 +222,10 @@ def _cell_steps(flagged, batch, mode, period, max_cells) -> list[_Step]:
     """Steps from one aggregate over the rows, solved on the driver or, with too many cells for it, on a stored table."""
     grouped = flagged.groupBy("flags", "period", F.signum("v").alias("sign")).agg(
         F.count(F.lit(1)).alias("rows"), precise_sum(F.abs("v")).alias("total_abs"))
-    if any(_per_period(r, mode, period) for r in batch) or 4 << len(batch) > max_cells:
-        grouped = settle(grouped)  # there may be too many: then the next steps read what is stored, not the rows again
     found = grouped.limit(max_cells + 1).collect()
     if len(found) > max_cells:
-        return _stored_steps(_Cells(grouped, mode), batch, mode, period)
+        # The rare case pays one more reading of the rows; storing the cells of every chain would cost each of them more.
+        return _stored_steps(_Cells(settle(grouped), mode), batch, mode, period)
     signs = [None if r["sign"] is None else (r["sign"] > 0) - (r["sign"] < 0) for r in found]
     cells = [_Cell(r["flags"], s, r["period"], r["rows"], r["total_abs"]) for r, s in zip(found, signs)]
     return [_solve(rule, [c for c in cells if c.flags >> position & 1], mode, period) for position, rule in enumerate(batch)]

@@ -216,15 +216,16 @@ SPREADING = [
 
 
 @pytest.mark.parametrize("mode,cells", [("server", 10), ("server", 50_000), ("screen", 10), ("screen", 50_000)])
-def test_rows_are_read_once_for_a_whole_chain(spark, mode, cells):
+def test_readings_do_not_grow_with_the_rules(spark, mode, cells):
     rng = random.Random(3)
     data = [(i, rng.choice("abc"), f"2024-{rng.randint(1, 6):02d}", round(rng.uniform(50, 900), 2)) for i in range(300)]
     df, reads = counted(spark, data)
     out = apply_rules(df, SPREADING, mode=mode, max_cells=cells)
-    assert reads.value == len(data)
+    before = 2 if mode == "server" and cells == 10 else 1  # too many cells for the driver: seen by the first reading, stored by the second
+    assert reads.value == before * len(data)
     got = [r["amount"] for r in sorted(out.collect(), key=lambda r: r["id"])]
     close(got, simulate(data, SPREADING, mode), 0.011 * len(SPREADING) if mode == "screen" else 1e-6)
-    assert reads.value == 2 * len(data)
+    assert reads.value == (before + 1) * len(data)
 
 
 def test_a_spread_across_zero_costs_one_more_reading(spark):
