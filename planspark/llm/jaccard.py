@@ -3,15 +3,18 @@
 Documents with equal sets are one node. Two sets that link share a token within their prefixes, in any global order of the
 tokens; here tokens that are seen to occur once come first, so that only documents made of shared tokens reach the
 index. Index lists are worked off in two steps. First every list's least node p is compared with all others of the list, where
-sizes, positions and bit maps of the prefixes allow a link. Then the lists whose p are linked form a family, and only families that still
-hold several components go on: their sets meet in a task, in blocks ordered by set size. Blocks and pairs are skipped
-by size, by component (what links already tell) and by how many tokens one bit map has that the other lacks; the rest is
-intersected. Only links that join two components leave the task, never all pairs. Large families are dealt in parts, every
-two of which meet.
+sizes, positions and bit maps of the prefixes allow a link. Then the lists that still hold several components are worked off
+without their texts: postings of one list and range of sizes meet in a task, in blocks ordered by size and position, and blocks
+and pairs are skipped by size, position, component (what links already tell) and by the bit maps of the prefixes. Only sets that
+have a partner left go on. Their texts meet by family (the lists whose p are linked): pairs are skipped by how many tokens one
+bit map has that the other lacks. The first set of a component in a family is intersected with its candidates; a later set of
+it takes these answers and counts only the tokens in which it differs, or is skipped if they cannot suffice. Only links that
+join two components leave the task, never all pairs. Large families are dealt in parts, every two of which meet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +30,7 @@ from .texts import byte_column, chunks, mixed, ragged, shingles, word_hashes
 MEMBERS = 1_024  # of a compared set, per group
 BLOCK = 256      # sets that are skipped together
 FAMILY_TOKENS = 400_000  # tokens of a family's part
+POSTINGS = 16_384  # of a list's part
 MAP = 4          # words of 64 bits that map a prefix
 MAPS = [f"m{i}" for i in range(MAP)]
 
@@ -49,6 +53,10 @@ class Similarity:
         total = 100 + self.percent
         return (self.percent * (n + m) + total - 1) // total
 
+    def size_range(self, n: Column) -> Column:
+        """The number of a range of sizes; linked sets are in the same range or in neighbouring ones."""
+        return F.floor(F.ln(n) / ((1 + 1e-9) * math.log(100 / self.percent))) if self.percent < 100 else n
+
     def needed_column(self, n: Column, m: Column) -> Column:
         return F.ceil((self.percent * (n + m)).cast("double") / (100 + self.percent))
 
@@ -192,6 +200,94 @@ def _members(member: BitSet):
     return run
 
 
+class _List:
+    """Postings of a part of an index list, in order of size and position; marks those that may link with another component.
+
+    ``home`` postings meet each other and the others, which are of the range of sizes below and have met each other there.
+    """
+
+    def __init__(self, how: Similarity, rows: dict[str, np.ndarray]):
+        order = np.lexsort((rows["pos"], rows["n"]))
+        self.how, self.order = how, order
+        self.n, self.pos, self.c, self.side, self.home, self.alone, self.last = (
+            rows[x][order] for x in ("n", "pos", "c", "side", "home", "alone", "last"))
+        self.maps = np.stack([rows[m][order] for m in MAPS], 1).view(np.uint64)
+        self.across = len(np.unique(self.side)) > 1
+        self.marked = np.zeros(len(order), bool)
+
+    def meet(self, x: slice, y: slice) -> None:
+        n, m = self.n[x][:, None], self.n[y][None, :]
+        need = self.how.needed(n, m)
+        ok = (100 * n >= self.how.percent * m) & (self.c[x][:, None] != self.c[y][None, :])
+        ok &= (self.home[x][:, None] | self.home[y][None, :]) & ~(self.marked[x][:, None] & self.marked[y][None, :])
+        ok &= np.minimum(n - self.pos[x][:, None], m - self.pos[y][None, :]) >= need
+        if self.across:
+            ok &= self.side[x][:, None] != self.side[y][None, :]
+        if x == y:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        u, v = np.nonzero(ok)
+        need = need[u, v]
+        u, v = u + x.start, v + y.start
+        swapped = self.last[u] > self.last[v]
+        one, two = np.where(swapped, v, u), np.where(swapped, u, v)
+        lacking = np.bitwise_count(self.maps[one] & ~self.maps[two]).sum(1, dtype=np.int64) + self.alone[one]
+        kept = lacking <= self.n[one] - need
+        self.marked[one[kept]] = True
+        self.marked[two[kept]] = True
+
+    def partners(self) -> np.ndarray:
+        """Which rows have a partner left, in the order given."""
+        blocks = [slice(i, min(i + BLOCK, len(self.n))) for i in range(0, len(self.n), BLOCK)]
+        room = [int((self.n[x] - self.pos[x]).max()) for x in blocks]
+        for i, x in enumerate(blocks):
+            for j in range(i, len(blocks)):
+                y = blocks[j]
+                least, most = self.n[x.start], self.n[y.start]
+                if 100 * self.n[x.stop - 1] < self.how.percent * most:
+                    break  # sizes only grow from here
+                if min(room[i], room[j]) >= self.how.needed(least, most):
+                    self.meet(x, y)
+        out = np.zeros(len(self.n), bool)
+        out[self.order] = self.marked
+        return out
+
+
+LIST_KEYS = ["token", "range", "low", "high"]
+POSTING = ["side", "home", "own", "k", "c", "n", "pos", "alone", "last", *MAPS]
+
+
+def _partners(how: Similarity):
+    """Postings with a partner left, ``own, k, c, n``, of rows sorted by list, range of sizes and part."""
+    def solve(rows: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = bounds[:-1]
+        open_ = np.minimum.reduceat(rows["c"], starts) < np.maximum.reduceat(rows["c"], starts)
+        open_ &= np.maximum.reduceat(rows["home"], starts)
+        marked = np.zeros(bounds[-1], bool)
+        for a, b in zip(starts[open_], bounds[1:][open_]):
+            marked[a:b] = _List(how, {name: rows[name][a:b] for name in POSTING}).partners()
+        if marked.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[x][:bounds[-1]][marked]) for x in ("own", "k", "c", "n")], ["own", "k", "c", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in [*LIST_KEYS, *POSTING]}
+            if held:
+                rows = {x: np.concatenate((held[x], rows[x])) for x in rows}
+            changed = np.zeros(len(rows["k"]) - 1, bool)
+            for x in LIST_KEYS:
+                changed |= rows[x][1:] != rows[x][:-1]
+            bounds = np.concatenate(([0], np.flatnonzero(changed) + 1))
+            if len(bounds) > 1:
+                yield from solve(rows, bounds)
+            held = {x: rows[x][bounds[-1]:] for x in rows}
+        if held:
+            yield from solve(held, np.array([0, len(held["k"])]))
+    return run
+
+
 class _Family:
     """Sets of one group, in order of their sizes; finds the links that join different components."""
 
@@ -207,6 +303,9 @@ class _Family:
             spot = own.view(np.uint64) & np.uint64(64 * words - 1)
             np.bitwise_or.at(self.maps[i], (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
         self.root: dict[int, int] = {}
+        self.first: dict[int, int] = {}  # of a component
+        self.solved: dict[tuple[int, int], int] = {}  # intersections of first sets
+        self.differences: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def find(self, c: int) -> int:
         while c in self.root:
@@ -231,6 +330,26 @@ class _Family:
                 np.bitwise_count(two & ~one).sum(1) <= self.sizes[y][j] - least)
         return u[kept] + x.start, v[kept] + y.start
 
+    def answers(self, u: int, v: int) -> bool:
+        """Whether two sets link. Answers of a component's first set serve its later sets, which count only their differences."""
+        need = self.how.needed(self.sizes[u], self.sizes[v])
+        first = self.first.setdefault(int(self.components[u]), u)
+        known = self.solved.get((first, v))
+        if first == u or known is None:
+            both = _within(self.sets[u], self.sets[v])
+            if first == u:
+                self.solved[u, v] = both
+            return both >= need
+        if u not in self.differences:
+            own, model = self.sets[u], self.sets[first]
+            self.differences[u] = np.setdiff1d(own, model, assume_unique=True), np.setdiff1d(model, own, assume_unique=True)
+        more, less = self.differences[u]
+        if known + len(more) < need:
+            return False
+        if known - len(less) >= need:
+            return True
+        return known + _within(more, self.sets[v]) - _within(less, self.sets[v]) >= need
+
     def links(self) -> list[tuple[int, int]]:
         found = []
         blocks = [slice(i, min(i + BLOCK, len(self.sets))) for i in range(0, len(self.sets), BLOCK)]
@@ -242,14 +361,18 @@ class _Family:
                     c, d = self.find(self.components[u]), self.find(self.components[v])
                     if c == d:
                         continue
-                    own, other = self.sets[u], self.sets[v]
-                    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                    if (other[at] == own).sum() >= self.how.needed(len(own), len(other)):
+                    if self.answers(int(u), int(v)):
                         self.root[max(c, d)] = min(c, d)
                         found.append((self.keys[u], self.keys[v]))
         return found
 
 
+def _within(own: np.ndarray, other: np.ndarray) -> int:
+    """How many of the tokens another set has, both ascending."""
+    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+    return int((other[at] == own).sum())
+
+
 def _families(how: Similarity):
     """Links of every group of rows sorted by ``p, low, high``: ``a, x``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,6 +398,21 @@ def _families(how: Similarity):
     return run
 
 
+def partners_left(postings: DataFrame, prefix: DataFrame, how: Similarity) -> DataFrame:
+    """``own, k, c, n`` of the postings ``token, own, k, c, n, pos, parts`` that may link with one of another component, stored.
+
+    Every posting meets those of its own range of sizes and of the next one. A list is dealt in ``parts``, every two of which meet.
+    """
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    rows = (postings.withColumn("side", F.pmod(F.xxhash64("k"), F.col("parts"))).withColumn("at", how.size_range(F.col("n")))
+            .join(prefix.select("k", "x.alone", "x.last", *[f"x.{m}" for m in MAPS]), "k")
+            .withColumn("other", F.explode(every)).withColumn("range", F.explode(F.array("at", F.col("at") + 1)))
+            .withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other"))
+            .withColumn("home", F.col("at") == F.col("range")))
+    sorted_ = rows.select(*LIST_KEYS, *POSTING).repartition(*LIST_KEYS).sortWithinPartitions(*LIST_KEYS)
+    return settle(sorted_.mapInArrow(_partners(how), "own long, k long, c long, n long").distinct())
+
+
 def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
     """Stored ``doc_id, k, n, low`` of every document and ``k, c`` of every set that links with another one."""
     sets = set_table(docs, how)
@@ -293,11 +431,13 @@ def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataF
     linked = 100 * F.col("both") >= how.percent * (F.col("n") + F.col("m") - F.col("both"))
     found = components(answers.filter(linked).select("a", F.col("x").alias("b")))
 
-    # What the lists with several components still hold: pairs without the list's least node, gathered by that node's component.
-    classed = shared.join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    several = classed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    rest = (classed.join(several, "token").filter(F.col("k") != F.col("a.k")).select(F.col("a.k").alias("own"), "k", "c", "n").distinct()
-            .join(found.select(F.col("k").alias("own"), F.col("c").alias("p")), "own", "left").withColumn("p", F.coalesce("p", "own"))
+    # What the lists with several components still hold: pairs without the list's least node. Their postings meet first, and
+    # those with a partner left are gathered by the component of the list's least node.
+    classed = shared.filter(F.col("k") != F.col("a.k")).join(found, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    several = settle(classed.groupBy("token").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("number"))
+                     .filter("least < most").select("token", F.ceil(F.col("number") / POSTINGS).alias("parts")))
+    left = partners_left(classed.join(several, "token").select("token", F.col("a.k").alias("own"), "k", "c", "n", "pos", "parts"), prefix, how)
+    rest = (left.join(found.select(F.col("k").alias("own"), F.col("c").alias("p")), "own", "left").withColumn("p", F.coalesce("p", "own"))
             .groupBy("p", "k").agg(F.min("c").alias("c"), F.min("n").alias("n")))
     sizes = (rest.groupBy("p").agg(F.sum("n").alias("tokens"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
              .select("p", F.ceil(F.col("tokens") / FAMILY_TOKENS).alias("parts")))

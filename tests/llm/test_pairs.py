@@ -67,6 +67,66 @@ def test_components_match_all_pairs(spark, how, seed):
     assert got == expected_components(rows, how)
 
 
+def test_families_and_lists_of_many_parts(spark, monkeypatch):
+    """Small parts: sets with several groups of pairs, lists and families dealt so that every two parts meet."""
+    for name, size in (("FAMILY_TOKENS", 200), ("MEMBERS", 2), ("POSTINGS", 4)):
+        monkeypatch.setattr(jaccard, name, size)
+    rows, how = variants(4, groups=6, members=18), jaccard.Similarity(3, 90)
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()), key=repr)
+    assert got == expected_components(rows, how)
+
+
+def edited_sets(seed, number):
+    """Ascending token sets, edits of a few models, as many of them around the threshold."""
+    rng = np.random.default_rng(seed)
+    models = [np.unique(rng.integers(0, 2**62, 120)) for _ in range(3)]
+    models.append(np.unique(np.concatenate((models[0][:110], rng.integers(0, 2**62, 9)))))
+    sets = []
+    for i in range(number):
+        own = models[i % len(models)]
+        own = own[rng.random(len(own)) > rng.choice([0, 0.02, 0.06])]
+        sets.append(np.unique(np.concatenate((own, rng.integers(0, 2**62, rng.integers(0, 6))))))
+    return sets
+
+
+def test_answers_from_a_similar_set_are_those_of_the_sets():
+    how, sets = jaccard.Similarity(3, 90), edited_sets(7, 60)
+    keys = np.arange(len(sets))
+    family = jaccard._Family(how, sets, keys, keys % 4, np.zeros(len(sets), int))
+    derived = 0
+    for u, v in itertools.combinations(range(len(sets)), 2):
+        both, union = np.intersect1d(family.sets[u], family.sets[v]).size, np.union1d(family.sets[u], family.sets[v]).size
+        derived += (family.first.get(int(family.components[u])) not in (None, u))
+        assert family.answers(u, v) == (100 * both >= how.percent * union)
+    assert derived > 1_000
+
+
+def test_partners_keep_every_link(monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    how, sets = jaccard.Similarity(3, 90), edited_sets(8, 80)
+    spread = {}
+    for s in sets:
+        for t in s[:how.prefix(len(s))]:
+            spread[int(t)] = spread.get(int(t), 0) + 1
+    lists = {}
+    for k, s in enumerate(sets):
+        low = sorted((int(t) for t in s[:how.prefix(len(s))]), key=lambda t: (spread[t] > 1, t))
+        shared = [t for t in low if spread[t] > 1]
+        maps = [0] * jaccard.MAP
+        for t in shared:
+            maps[(t % (64 * jaccard.MAP)) // 64] |= 1 << (t % 64)
+        for t in shared:
+            lists.setdefault(t, []).append((0, True, 0, k, k, len(s), low.index(t), len(low) - len(shared), max(shared), *np.array(maps, np.uint64).view(np.int64)))
+    kept, met = set(), set()
+    for rows in lists.values():
+        columns = {name: np.array(c) for name, c in zip(jaccard.POSTING, zip(*rows))}
+        kept |= {rows[i][3] for i in np.flatnonzero(jaccard._List(how, columns).partners())}
+        met |= set(columns["k"].tolist())
+    linked = {k for u, v in itertools.combinations(range(len(sets)), 2) for k in (u, v)
+              if 100 * np.intersect1d(sets[u], sets[v]).size >= how.percent * np.union1d(sets[u], sets[v]).size}
+    assert linked and linked <= kept <= met
+
+
 def test_components_of_messy_rows(spark, messy):
     how = jaccard.Similarity(3, 90)
     rows = [(r.doc_id, r.text) for r in messy.collect()]
