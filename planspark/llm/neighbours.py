@@ -2,7 +2,8 @@
 
 Equal vectors are one node. Cells of random projection trees give every node its first neighbours; NN-descent rounds then
 compare the neighbours (and reverse neighbours) of each node with each other, as a join that brings their vectors to
-it, until the lists hardly change. A query starts from its own node's list and walks to the closest nodes found, a step
+it, until the lists hardly change. A neighbour is new until it has taken part in a round at its node; two that are not new have met
+and are not compared again, and a node without a new neighbour takes no part. A query starts from its own node's list and walks to the closest nodes found, a step
 for all queries per round, until it has expanded every node it keeps.
 """
 
@@ -20,9 +21,9 @@ from ..sources.shared import Scope, scope, settle, tidy
 DEGREE = 24         # neighbours per node
 JOINED = 12         # nearest neighbours that meet at a node in a round, with groups of about as many reverse ones
 TREES = 8
-CELL = 8192         # nodes that are compared with each other directly
+CELL = 2048         # nodes that are compared with each other directly
 STEADY = 0.001      # share of changed neighbours at which NN-descent ends
-BEAM = 64           # nodes that a query keeps
+BEAM = 256          # nodes that a query keeps
 SAMPLE = 20_000     # vectors that set the trees' thresholds
 MERGED = 2_048      # nodes whose lists are merged in one group
 SEED = 5
@@ -51,6 +52,9 @@ def _matrix(packed) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances; vectors far from the origin don't cancel, as the centre of ``b`` is taken off."""
+    centre = b.mean(0)
+    a, b = a - centre, b - centre
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
 
 
@@ -84,13 +88,17 @@ class Trees:
         return out
 
 
-def _listed(u, v: list, d: list) -> pd.DataFrame:
-    """Rows ``u, v[], d[]``; lists are objects even where there are none."""
-    boxes = [np.empty(len(v), object), np.empty(len(d), object)]
-    for box, lists in zip(boxes, (v, d)):
-        for i, x in enumerate(lists):
-            box[i] = x
-    return pd.DataFrame({"u": np.asarray(u, np.int64), "v": boxes[0], "d": boxes[1]})
+OLD, NEW, FOUND = 0, 1, 2  # has met the others; has not; is of the last round
+
+
+def _listed(u, *lists: list) -> pd.DataFrame:
+    """Rows ``u, v[], d[], f[]``; lists are objects even where there are none."""
+    out = {"u": np.asarray(u, np.int64)}
+    for name, own in zip("vdf", lists):
+        out[name] = np.empty(len(own), object)
+        for i, x in enumerate(own):
+            out[name][i] = x
+    return pd.DataFrame(out)
 
 
 def _nearest_in_cell(group: pd.DataFrame) -> pd.DataFrame:
@@ -103,31 +111,30 @@ def _nearest_in_cell(group: pd.DataFrame) -> pd.DataFrame:
         near = np.argpartition(d, keep - 1, 1)[:, :keep] if keep > 0 else np.zeros((len(d), 0), int)
         lists += list(ids[near])
         far += list(np.take_along_axis(d, near, 1))
-    return _listed(ids, lists, far)
+    return _listed(ids, lists, far, [np.full(keep, NEW, np.int32)] * len(ids))
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    """The ``DEGREE`` nearest distinct neighbours of every node of a group of rows ``u, v[], d[]``, nearest first."""
+    """The ``DEGREE`` nearest distinct neighbours of every node of a group of rows ``u, v[], d[], f[]``, nearest first."""
     sizes = group["v"].map(len).to_numpy()
-    return _best(np.repeat(group["u"].to_numpy(), sizes), np.concatenate(list(group["v"])), np.concatenate(list(group["d"])))
+    return _best(np.repeat(group["u"].to_numpy(), sizes), *(np.concatenate(list(group[c])) for c in "vdf"))
 
 
-def _best(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((d, v, u))
-    u, v, d = u[order], v[order], d[order]
+def _best(u: np.ndarray, v: np.ndarray, d: np.ndarray, f: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((d, f, v, u))  # what is known already stays as it is
+    u, v, d, f = u[order], v[order], d[order], f[order]
     new = np.ones(len(u), bool)
     new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-    u, v, d = u[new], v[new], d[new]
+    u, v, d, f = u[new], v[new], d[new], f[new]
     order = np.lexsort((v, d, u))
-    u, v, d = u[order], v[order], d[order]
+    u, v, d, f = u[order], v[order], d[order], f[order]
     nodes, first, number = np.unique(u, return_index=True, return_counts=True)
     rank = np.arange(len(u)) - np.repeat(first, number)
-    v, d, kept = v[rank < DEGREE], d[rank < DEGREE], np.minimum(number, DEGREE)
-    cuts = np.cumsum(kept)[:-1]
-    return _listed(nodes, np.split(v, cuts)[:len(nodes)], np.split(d, cuts)[:len(nodes)])
+    cuts = np.cumsum(np.minimum(number, DEGREE))[:-1]
+    return _listed(nodes, *(np.split(x[rank < DEGREE], cuts)[:len(nodes)] for x in (v, d, f)))
 
 
-LISTS = "u long, v array<long>, d array<float>"
+LISTS = "u long, v array<long>, d array<float>, f array<int>"
 
 
 def _merge(lists: DataFrame, nodes: int) -> DataFrame:
@@ -136,22 +143,23 @@ def _merge(lists: DataFrame, nodes: int) -> DataFrame:
 
 
 def _local_join(group: pd.DataFrame) -> pd.DataFrame:
-    """Every two members of a node's group compared: new neighbours ``u, v[], d[]`` closer than the member's farthest one."""
+    """Members of a node's group compared, one of them new: neighbours ``u, v[], d[], f[]`` closer than the member's farthest one."""
     group = group.iloc[np.lexsort((group["m"], group["part"], group["p"]))]
-    p, part, m, worst = (group[c].to_numpy() for c in ("p", "part", "m", "worst"))
+    p, part, m, new, worst = (group[c].to_numpy() for c in ("p", "part", "m", "new", "worst"))
     x = _matrix(group["x"])
     bounds = np.concatenate(([0], np.flatnonzero((p[1:] != p[:-1]) | (part[1:] != part[:-1])) + 1, [len(p)]))
     found = []
     for a, b in zip(bounds, bounds[1:]):
         d = _distances(x[a:b], x[a:b])
-        np.fill_diagonal(d, np.inf)
-        i, j = np.nonzero(d < worst[a:b, None])
+        met = (m[a:b, None] == m[None, a:b]) | ~(new[a:b, None] | new[None, a:b])
+        i, j = np.nonzero((d < worst[a:b, None]) & ~met)
         found.append((m[a + i], m[a + j], d[i, j]))
-    return _best(*(np.concatenate(c) for c in zip(*found)))
+    u, v, d = (np.concatenate(c) for c in zip(*found))
+    return _best(u, v, d, np.full(len(u), FOUND, np.int32))
 
 
 def build_graph(nodes: DataFrame, count: int, rounds: int | None = None, trees: int = TREES, cell: int = CELL) -> DataFrame:
-    """The neighbour graph ``u, v[], d[]`` (nearest first) of stored nodes ``u, x`` with packed vectors.
+    """The neighbour graph ``u, v[], d[], f[]`` (nearest first) of stored nodes ``u, x`` with packed vectors.
 
     NN-descent goes on until at most ``STEADY`` of the neighbours change in a round, or for ``rounds`` at most where given.
     All reverse neighbours of a node take part: many of them are dealt out anew in each round to groups that meet apart.
@@ -182,20 +190,24 @@ def build_graph(nodes: DataFrame, count: int, rounds: int | None = None, trees:
 def _descended(graph: DataFrame, small: DataFrame, count: int, full: int, rounds: int | None, owner: Scope) -> DataFrame:
     turn = 0
     while rounds is None or turn < rounds:
-        near = graph.select("u", F.explode(F.slice("v", 1, JOINED)).alias("v"))
+        zipped = F.explode(F.slice(F.arrays_zip("v", "f"), 1, JOINED)).alias("e")
+        near = graph.select("u", zipped).select("u", F.col("e.v").alias("v"), (F.col("e.f") != OLD).alias("new"))
         parts = near.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / JOINED).alias("parts"))
         back = near.join(parts, "v").select(
-            F.col("v").alias("p"), F.pmod(F.xxhash64("u", F.lit(turn)), F.col("parts")).alias("part"), F.col("u").alias("m"))
+            F.col("v").alias("p"), F.pmod(F.xxhash64("u", F.lit(turn)), F.col("parts")).alias("part"), F.col("u").alias("m"), "new")
         ahead = near.join(parts.select(F.col("v").alias("u"), "parts"), "u", "left").select(
-            F.col("u").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("v").alias("m"))
+            F.col("u").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("v").alias("m"), "new")
+        # A group has about 2 * JOINED members; without a new one it has nothing left to compare.
+        meeting = (ahead.union(back).groupBy("p", "part").agg(F.collect_set(F.struct("m", "new")).alias("members"))
+                   .filter(F.exists("members", lambda e: e["new"])).select("p", "part", F.explode("members").alias("e")).select("p", "part", "e.m", "e.new"))
         worst = graph.select(F.col("u").alias("m"), F.when(F.size("d") >= full, F.element_at("d", -1)).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        members = small.join(worst, "m").join(ahead.union(back).distinct(), "m")
+        members = small.join(worst, "m").join(meeting, "m")
         groups = max(1, count // 512)
-        found = (members.withColumn("g", F.pmod(F.xxhash64("p", "part"), F.lit(groups))).select("g", "p", "part", "m", "x", "worst")
+        found = (members.withColumn("g", F.pmod(F.xxhash64("p", "part"), F.lit(groups))).select("g", "p", "part", "m", "new", "x", "worst")
                  .groupBy("g").applyInPandas(_local_join, LISTS))
-        better = settle(_merge(graph.unionByName(found), count))
-        changed = (better.join(graph.select("u", F.col("v").alias("old")), "u")
-                   .agg(F.coalesce(F.sum(F.size(F.array_except("v", "old"))), F.lit(0))).first()[0])
+        met = F.transform("f", lambda e, i: F.when(i < JOINED, F.lit(OLD)).otherwise(F.least(e, F.lit(NEW))))
+        better = settle(_merge(graph.withColumn("f", met).unionByName(found), count))
+        changed = better.agg(F.coalesce(F.sum(F.size(F.filter("f", lambda e: e == FOUND))), F.lit(0))).first()[0]
         graph, turn = better, turn + 1
         owner.drop_all_but(graph)
         if changed <= STEADY * count * full:

@@ -89,15 +89,10 @@ def test_recall_against_brute_force(spark):
              (9500, [1.0], ""), (None, [1.0] * 24, "")]
     frame = spark.createDataFrame(data, "vec_id long, embedding array<float>, u string")
     hits = 0
-    # cells of 256 vectors, so that the graph has to be refined
-    import planspark.llm.neighbours as module
-    cell, module.CELL = module.CELL, 256
-    try:
-        got = {}
-        for r in neighbours.nearest(frame, rounds=2, hops=4).collect():
-            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    finally:
-        module.CELL = cell
+    # cells of 256 vectors, so that the graph has to be refined, by as many rounds as it takes
+    got = {}
+    for r in neighbours.nearest(frame, cell=256, beam=64).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert sorted(got) == list(range(0, 3000, 100))
     for q, found in got.items():
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -113,7 +108,7 @@ def test_recall_against_brute_force(spark):
 
 def test_walk_ends_when_nothing_is_left_to_expand(spark):
     nodes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "u long, x array<float>")
-    chain = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 20], [1.0] * (2 if 0 < i < 19 else 1)) for i in range(20)], neighbours.LISTS)
+    chain = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 20], [1.0] * (2 if 0 < i < 19 else 1), [0] * (2 if 0 < i < 19 else 1)) for i in range(20)], neighbours.LISTS)
     found = neighbours.search(chain, nodes, spark.createDataFrame([(0,)], "q long"), beam=8).collect()
     assert sorted(r.v for r in found) == list(range(1, 9))
 
