@@ -9,7 +9,8 @@ and pairs are skipped by size, position, component (what links already tell) and
 have a partner left go on. Their texts meet by family (the lists whose p are linked): pairs are skipped by how many tokens one
 bit map has that the other lacks. The first set of a component in a family is intersected with its candidates; a later set of
 it takes these answers and counts only the tokens in which it differs, or is skipped if they cannot suffice. Only links that
-join two components leave the task, never all pairs. Large families are dealt in parts, every two of which meet.
+join two components leave the task, never all pairs. Large families are dealt by ranges of sizes, where a set meets its own
+range and visits the next one; ranges still too large are dealt in parts, every two of which meet.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .texts import byte_column, chunks, mixed, ragged, shingles, word_hashes
 
 MEMBERS = 1_024  # of a compared set, per group
 BLOCK = 256      # sets that are skipped together
-FAMILY_TOKENS = 400_000  # tokens of a family's part
+FAMILY_TOKENS = 2_000_000  # tokens of a family's part (16 MB)
 POSTINGS = 16_384  # of a list's part
 MAP = 4          # words of 64 bits that map a prefix
 MAPS = [f"m{i}" for i in range(MAP)]
@@ -175,20 +176,22 @@ def compare(pairs: DataFrame, docs: DataFrame, named: DataFrame, how: Similarity
     salted = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("groups")))
     rows = salted.select("a", "salt", F.lit(1).alias("role"), F.col("x").alias("k")).unionByName(
         salted.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("k")))
-    own = _texts(pairs.select(F.col("a").alias("k")).union(pairs.select("x")).distinct(), docs, named)
-    grouped = rows.join(own, "k").repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "k")
+    grouped = with_texts(rows, docs, named).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "k")
     path = new_path(spark, "answers")
     grouped.select("a", "salt", "role", "k", "text").mapInArrow(_compare(how.width), "a long, x long, both long, n long, m long").distinct().write.parquet(path)
     return spark.read.parquet(path)
 
 
-def _texts(nodes: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
-    """``k, text`` of the documents that name the nodes ``k``; others don't leave their task, but for false hits of a bit set."""
-    wanted = settle(nodes.join(named, "k"))
-    member = bit_set(wanted, F.xxhash64("doc_id"))
+def with_texts(rows: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows with the ``text`` of the document that names their node ``k``.
+
+    A text leaves its task once, to meet its rows; others don't leave it, but for false hits of a bit set.
+    """
+    wanted = settle(rows.join(named.withColumnRenamed("doc_id", "_named"), "k"))
+    member = bit_set(wanted, F.xxhash64("_named"))
     texts = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(
         _members(member), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
-    return texts.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("k", "text")
+    return wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_named"))).select(*rows.columns, "text")
 
 
 def _members(member: BitSet):
@@ -291,12 +294,14 @@ def _partners(how: Similarity):
 class _Family:
     """Sets of one group, in order of their sizes; finds the links that join different components."""
 
-    def __init__(self, how: Similarity, sets: list[np.ndarray], keys: np.ndarray, components: np.ndarray, sides: np.ndarray):
+    def __init__(self, how: Similarity, sets: list[np.ndarray], keys: np.ndarray, components: np.ndarray, sides: np.ndarray,
+                 home: np.ndarray | None = None):
         sizes = np.array([len(s) for s in sets])
         order = np.lexsort((keys, sizes))
         self.how, self.sets, self.sizes = how, [sets[i] for i in order], sizes[order]
         self.keys, self.components, self.sides = keys[order], components[order], sides[order]
         self.across = len(np.unique(sides)) > 1
+        self.home = np.ones(len(sets), bool) if home is None else home[order]  # the others have met each other elsewhere
         words = min(128, max(4, 1 << int(sizes.max() // 16).bit_length()))  # four bits a token, up to 8192
         self.maps = np.zeros((len(sets), words), np.uint64)
         for i, own in enumerate(self.sets):
@@ -317,6 +322,7 @@ class _Family:
         n, m = self.sizes[x][:, None], self.sizes[y][None, :]
         need = self.how.needed(n, m)
         ok = (100 * n >= self.how.percent * m) & (self.components[x][:, None] != self.components[y][None, :])
+        ok &= self.home[x][:, None] | self.home[y][None, :]
         if self.across:
             ok &= self.sides[x][:, None] != self.sides[y][None, :]
         if x == y:
@@ -374,26 +380,27 @@ def _within(own: np.ndarray, other: np.ndarray) -> int:
 
 
 def _families(how: Similarity):
-    """Links of every group of rows sorted by ``p, low, high``: ``a, x``."""
+    """Links of every group of rows sorted by ``p, range, low, high``: ``a, x``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def finish():
             if len(held) > 1:
-                keys, comps, sides = (np.array([h[i] for h in held]) for i in (1, 2, 3))
-                found = _Family(how, [h[0] for h in held], keys, comps, sides).links()
+                keys, comps, sides, home = (np.array([h[i] for h in held]) for i in (1, 2, 3, 4))
+                found = _Family(how, [h[0] for h in held], keys, comps, sides, home).links()
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found)], ["a", "x"])
 
         for batch in chunks(batches):
             tokens, sizes, keys = _sets(*byte_column(batch.column("text")), how.width)
             bounds = np.concatenate(([0], np.cumsum(sizes)))
-            p, low, high, k, c, side = (np.asarray(batch.column(x)) for x in ("p", "low", "high", "k", "c", "side"))
+            p, range_, low, high, k, c, side = (np.asarray(batch.column(x)) for x in ("p", "range", "low", "high", "k", "c", "side"))
+            home = batch.column("home").to_numpy(zero_copy_only=False)
             for i in np.flatnonzero(keys == k):
-                if group != (p[i], low[i], high[i]):
+                if group != (p[i], range_[i], low[i], high[i]):
                     yield from finish()
-                    group, held = (p[i], low[i], high[i]), []
-                held.append((tokens[bounds[i]:bounds[i + 1]].copy(), k[i], c[i], side[i]))
+                    group, held = (p[i], range_[i], low[i], high[i]), []
+                held.append((tokens[bounds[i]:bounds[i + 1]].copy(), k[i], c[i], side[i], home[i]))
         yield from finish()
     return run
 
@@ -413,6 +420,31 @@ def partners_left(postings: DataFrame, prefix: DataFrame, how: Similarity) -> Da
     return settle(sorted_.mapInArrow(_partners(how), "own long, k long, c long, n long").distinct())
 
 
+GROUP = ["p", "range", "low", "high"]
+
+
+def family_groups(rest: DataFrame, how: Similarity) -> DataFrame:
+    """``p, range, low, high, k, c, side, home``: the groups in which the sets ``p, k, c, n`` of each family meet.
+
+    A family that fits one part is one group. A larger one is dealt by ranges of sizes, and each set goes to its own range
+    (``home``) and to the next one; ranges that hold more than a part are dealt in parts, every two of which meet.
+    """
+    whole = (rest.groupBy("p").agg(F.sum("n").alias("tokens"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
+             .select("p", (F.col("tokens") > FAMILY_TOKENS).alias("large")))
+    at = how.size_range(F.col("n")).cast("long")
+    ranges = F.when(F.col("large"), F.array(at, at + 1)).otherwise(F.array(F.lit(0).cast("long")))
+    ranged = rest.join(whole, "p").select("p", F.posexplode(ranges).alias("away", "range"), "k", "c", "n")
+    home = F.col("away") == 0
+    sizes = (ranged.groupBy("p", "range").agg(F.sum("n").alias("tokens"), F.min("c").alias("least"), F.max("c").alias("most"),
+                                              F.min(F.when(home, F.col("n"))).alias("home_n")).filter("least < most")
+             .select("p", "range", "home_n", F.ceil(F.col("tokens") / FAMILY_TOKENS).alias("parts")))
+    # A set goes to the next range only if one there is small enough; a range that nothing is at home in has no home_n.
+    dealt = (ranged.join(sizes, ["p", "range"]).filter(home | (100 * F.col("n") >= how.percent * F.col("home_n"))).withColumn("side", F.pmod(F.xxhash64("k"), F.col("parts")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    return dealt.select("p", "range", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "k", "c", "side",
+                        home.alias("home"))
+
+
 def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
     """Stored ``doc_id, k, n, low`` of every document and ``k, c`` of every set that links with another one."""
     sets = set_table(docs, how)
@@ -439,14 +471,10 @@ def link_classes(docs: DataFrame, how: Similarity = Similarity()) -> tuple[DataF
     left = partners_left(classed.join(several, "token").select("token", F.col("a.k").alias("own"), "k", "c", "n", "pos", "parts"), prefix, how)
     rest = (left.join(found.select(F.col("k").alias("own"), F.col("c").alias("p")), "own", "left").withColumn("p", F.coalesce("p", "own"))
             .groupBy("p", "k").agg(F.min("c").alias("c"), F.min("n").alias("n")))
-    sizes = (rest.groupBy("p").agg(F.sum("n").alias("tokens"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
-             .select("p", F.ceil(F.col("tokens") / FAMILY_TOKENS).alias("parts")))
-    rest = settle(rest.join(sizes, "p").withColumn("side", F.pmod(F.xxhash64("k"), F.col("parts"))))
-    dealt = rest.select("p", "k", "c", "side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    met = dealt.select("p", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "k", "c", "side")
-    rows = met.join(_texts(rest.select("k").distinct(), docs, named), "k").repartition("p", "low", "high").sortWithinPartitions("p", "low", "high", "k")
+    met = family_groups(settle(rest), how)
+    rows = with_texts(met, docs, named).repartition(*GROUP).sortWithinPartitions(*GROUP, "k")
     path = new_path(docs.sparkSession, "links")
-    rows.select("p", "low", "high", "k", "c", "side", "text").mapInArrow(_families(how), "a long, x long").write.parquet(path)
+    rows.select(*GROUP, "k", "c", "side", "home", "text").mapInArrow(_families(how), "a long, x long").write.parquet(path)
     links = docs.sparkSession.read.parquet(path)
     ends = [found.select(F.col("k").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "x")]
     bridges = links.join(ends[0], "a", "left").join(ends[1], "x", "left").select(

@@ -76,6 +76,26 @@ def test_families_and_lists_of_many_parts(spark, monkeypatch):
     assert got == expected_components(rows, how)
 
 
+def test_large_families_meet_by_range_of_sizes(spark, monkeypatch):
+    """Texts are copied for neighbouring sizes, not for every part of their family; sets that may link still meet once at least."""
+    monkeypatch.setattr(jaccard, "FAMILY_TOKENS", 2_000)
+    how = jaccard.Similarity(3, 90)
+    sizes = [100 + 7 * i for i in range(120)]
+    rest = spark.createDataFrame([(1, i, i, n) for i, n in enumerate(sizes)] + [(2, 500 + i, i, 10) for i in range(20)], "p long, k long, c long, n long")
+    met = {}
+    for r in jaccard.family_groups(rest, how).collect():
+        met.setdefault((r.p, r.range, r.low, r.high), []).append(r)
+    copies = [r for group in met.values() for r in group if r.p == 1]
+    assert len(copies) <= 12 * len(sizes)  # 31 each when all parts of a family met
+    together = {(a.k, b.k) for group in met.values() for a in group for b in group if a.home or b.home if group[0].low == group[0].high or a.side != b.side}
+    for i, n in enumerate(sizes):
+        assert all((i, j) in together for j, m in enumerate(sizes) if i != j and 90 * max(n, m) <= 100 * min(n, m))
+    assert [len(group) for key, group in met.items() if key[0] == 2] == [20]
+    # Sets of one range don't visit the next one, where nothing is at home.
+    alike = spark.createDataFrame([(1, i, i, 1000) for i in range(3)], "p long, k long, c long, n long")
+    assert {r.range for r in jaccard.family_groups(alike, how).collect() if r.home} == {r.range for r in jaccard.family_groups(alike, how).collect()}
+
+
 def edited_sets(seed, number):
     """Ascending token sets, edits of a few models, as many of them around the threshold."""
     rng = np.random.default_rng(seed)
