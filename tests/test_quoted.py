@@ -5,7 +5,10 @@ import random
 
 import pytest
 
+from pyspark.sql import Row
+
 from planspark import read_delimited
+from planspark.sources import quoted
 from planspark.sources.quoted import read_quoted
 from tests.conftest import rows
 
@@ -80,3 +83,18 @@ def test_headers_without_rows_and_empty_files(spark, tmp_path):
     assert got.columns == ["id", "note", "more"] and got.count() == 0
     open(os.path.join(tmp_path, "e.csv"), "w").close()
     assert read_quoted(spark, str(tmp_path / "e.csv"), ",").columns == []
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_lines_of_one_block_are_worked_out_in_chunks(spark, monkeypatch, tmp_path, size):
+    """A block of any length is dealt to chunks of a few lines, so that no task holds a whole one; the first file by name gives the names."""
+    monkeypatch.setattr(quoted, "CHUNK", size)
+    given, tables = quoted.settle, []
+    monkeypatch.setattr(quoted, "settle", lambda df: tables.append(given(df)) or tables[-1])
+    records = [(f"{i}", "a\n\nb,c" * (i % 5), None if i % 3 else 'q"\n') for i in range(60)] + [("60", "\n".join(map(str, range(100))), "x")]
+    for k, header in enumerate([("zid", "note", "more"), ("id", "note", "more")]):
+        written(str(tmp_path / f"f{1 - k}.csv"), [(f"{k}-{r[0]}", r[1] or None, r[2]) for r in records], header=header)
+    got = read_quoted(spark, str(tmp_path), ",")
+    assert got.columns == ["id", "note", "more"]
+    assert sorted(map(repr, got.collect())) == sorted(repr(Row(id=f"{k}-{r[0]}", note=r[1] or None, more=r[2])) for k in (0, 1) for r in records)
+    assert tables[0].groupBy("file", "block", "chunk").count().agg({"count": "max"}).first()[0] <= size
