@@ -289,6 +289,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(pa.Table.from_batches(held))
 
 
+@tidy
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """Byte ranges that go, stored by document: ``d, h, ranges``; they may overlap. Documents are keyed as in ``_document_keys``.
 
@@ -357,6 +358,35 @@ def _kept(text: bytes, ranges) -> tuple[bytes, int, int]:
     return b"".join(parts), removed, spans
 
 
+def _stripped(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """What is left of every document with a range in ``found``, stored once for equal rows: ``d, h, n_removed, n_spans, kept_sha256, kept``."""
+    keyed = _document_keys(docs)
+    member = bit_set(found, F.xxhash64("d", "h"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pa.array(member.has(np.asarray(batch.column("x"), np.int64).copy())))
+            if rows.num_rows:
+                yield rows.select(["d", "h", "text"])
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            data, offsets = byte_column(batch.column("text"))
+            raw = data.tobytes()
+            rows = [_kept(raw[a:b], r) for a, b, r in zip(offsets, offsets[1:], batch.column("ranges").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("d"), batch.column("h"), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
+                 pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()),
+                 pa.array([r[0].decode("utf-8", "ignore") for r in rows], pa.string())],
+                ["d", "h", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    hit = keyed.withColumn("x", F.xxhash64("d", "h")).mapInArrow(chosen, keyed.schema).join(found, ["d", "h"])
+    once = hit.withColumn("nth", F.row_number().over(Window.partitionBy("d", "h").orderBy("d"))).filter("nth = 1").select("d", "h", "text", "ranges")
+    path = new_path(docs.sparkSession, "stripped")
+    once.mapInArrow(strip, "d long, h long, n_removed long, n_spans long, kept_sha256 string, kept string").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 @tidy
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc``, a struct of all columns of every document, with ``n_bytes, n_removed, n_spans, kept_sha256`` and ``kept``.
@@ -365,45 +395,26 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     are judged on the input: documents in order of their ids, null last, rows with the same id by a hash of the text; of
     rows equal in both the first keeps its own. Null and empty texts have no bytes; texts under 100 bytes stay whole. An
     empty table gives no rows.
+
+    Texts that lose something are cut here and stored; what is returned only joins them, with no Python step, whose
+    Arrow batches of texts would be as large as the caller's session allows.
     """
     found = repeated_ranges(docs)
-    member = bit_set(found, F.xxhash64("d", "h"))
-    text = F.coalesce("text", F.lit(""))
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        stripped = _stripped(docs, found)
+    text, columns = F.coalesce("text", F.lit("")), [f"c{i}" for i in range(len(docs.columns))]
     keyed = docs.select(
-        F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
-    keyed = keyed.withColumn("x", F.xxhash64("d", "h"))
-    schema = keyed.schema
-
-    def chosen(hit: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.filter(pa.array(member.has(np.asarray(batch.column("x"), np.int64).copy()) == hit))
-                if rows.num_rows:
-                    yield rows
-        return run
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            data, offsets = byte_column(batch.column("text"))
-            raw = data.tobytes()
-            ranges = batch.column("ranges").to_pylist()
-            rows = [_kept(raw[a:b], r) for a, b, r in zip(offsets, offsets[1:], ranges)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), batch.column("d"), batch.column("h"), pa.array(np.diff(offsets)), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()),
-                 pa.array([r[0].decode("utf-8", "ignore") for r in rows], pa.string())],
-                ["doc", "d", "h", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    ranged = "ranges array<struct<start:bigint,end:bigint>>"
-    hit = keyed.mapInArrow(chosen(True), schema).join(found, ["d", "h"], "left")
-    clean = keyed.mapInArrow(chosen(False), schema).withColumn("ranges", F.lit(None).cast(ranged.split(" ", 1)[1]))
-    columns = ["doc", "d", "h", "text", "ranges"]
-    out = f"doc {schema['doc'].dataType.simpleString()}, d long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    solved = hit.select(*columns).unionByName(clean.select(*columns)).mapInArrow(strip, out)
+        "*", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(text), F.octet_length(text).cast("long"), F.sha2(text, 256)
+    ).toDF(*columns, "d", "h", "n_bytes", "sha256")
     # A row equal to another in id and text repeats it as a whole.
     again = (F.row_number().over(Window.partitionBy("d", "h").orderBy("d")) > 1) & (F.col("n_bytes") >= LENGTH)
-    return solved.withColumn("again", again).select(
-        "doc", "n_bytes", F.when(F.col("again"), F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(F.col("again"), 1).otherwise(F.col("n_spans")).alias("n_spans"),
-        F.when(F.col("again"), F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(F.col("doc.text").isNull(), F.lit(None)).when(F.col("again"), F.lit("")).otherwise(F.col("kept")).alias("kept"))
+    solved = keyed.join(stripped, ["d", "h"], "left").withColumn("again", again)
+    names = docs.columns if "text" in docs.columns else [c.lower() for c in docs.columns]
+    whole = F.col(columns[names.index("text")])
+    # The struct is made last, so that columns the caller leaves out are not shuffled.
+    return solved.select(
+        F.struct(*[F.col(c).alias(name) for c, name in zip(columns, docs.columns)]).alias("doc"), "n_bytes",
+        F.when(F.col("again"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("again"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+        F.when(F.col("again"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
+        F.when(whole.isNull(), F.lit(None)).when(F.col("again"), F.lit("")).otherwise(F.coalesce("kept", whole)).alias("kept"))

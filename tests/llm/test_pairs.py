@@ -265,6 +265,26 @@ def test_repeats_of_messy_rows(spark, messy, no_docs):
     assert jaccard.jaccard_components(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
 
 
+def test_result_of_repeats_sends_no_texts_to_python(spark, monkeypatch):
+    """What the caller runs has no Arrow step, and all that ran before had batches of few documents, with the same rows."""
+    rng = random.Random(12)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "".join(rng.choice("uvwxyz ä") for _ in range(rng.randint(0, 200))) + shared[rng.randint(0, 250):] * (i % 3)) for i in range(40)]
+    rows += [(40, None), (41, ""), rows[5]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(repeats, "BATCH_ROWS", 7)
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+    lean = found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" in lean and " AS c0#" in plan and " AS c1#" in plan and " AS c1#" not in lean and "struct(" not in lean
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    got, want = found.select("doc.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect(), removed_by_hand(rows[:-1])
+    assert len(got) == len(rows) and sorted(r.n_removed for r in got if r.doc_id == 5) == sorted((want[5][2], len(rows[5][1].encode())))
+    assert {r.doc_id: (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id != 5} == {d: w for d, w in want.items() if d != 5}
+    assert all(r.kept == r.text for r in got if not r.n_removed) and any(r.n_removed and r.kept for r in got)
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(4)
     for size in (1, 2, 50, 400):
