@@ -32,60 +32,61 @@ RUN_BYTES = 400_000
 BATCH_ROWS = 1_000  # documents per Arrow batch while anchors are gathered
 SPLIT_CONTEXTS = 10_000  # contexts of one anchor beyond which it is split, and about as many in a part
 PARTS = 16  # at least
+PACKED = 7  # symbols of 9 bits in a 64-bit integer
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows: document, anchor hash, context hash, first and last window start in the array, side hashes.
-
-    The side hashes are those of the anchor with the ``SIDE`` bytes to its left and to its right, 0 where its windows
-    do not have as many.
-    """
+def _places(rolling: Rolling, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of all windows: first and last window start in the array, and where the anchor itself starts."""
     none = np.empty(0, np.int64)
-    if len(data) < LENGTH:
-        return none, none, none, none, none, none, none
-    rolling = Rolling(data)
-    grams = rolling.every(GRAM)
-    least, size = grams, 1
+    if offsets[-1] < LENGTH:
+        return none, none, none
+    # Order and place in one number: the least one is the leftmost of the grams with the least order.
+    least = (rolling.unmixed(GRAM) >> np.uint64(33) << np.uint64(32)).view(np.int64)
+    least |= np.arange(len(least))
+    size = 1
     while 2 * size <= WINDOW:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     rest = WINDOW - size
     least = np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
-    edge = np.zeros(len(least) + 1, np.int64)
+    # A run of windows ends where its document has no more of them; the windows across two documents belong to none.
     long = np.flatnonzero(np.diff(offsets) >= LENGTH)
-    np.add.at(edge, offsets[long], 1)
-    np.add.at(edge, offsets[long + 1] - LENGTH + 1, -1)
-    valid = np.cumsum(edge)[:-1] > 0
-    begins = valid.copy()
-    begins[1:] &= ~valid[:-1] | (least[1:] != least[:-1])
-    closes = valid.copy()
-    closes[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
-    first, last = np.flatnonzero(begins), np.flatnonzero(closes)
-    place = np.empty(len(first), np.int64)
-    for a in range(0, len(first), 8_192):
-        heads = first[a:a + 8_192]
-        place[a:a + 8_192] = heads + (grams[heads[:, None] + np.arange(WINDOW)] == least[heads][:, None]).argmax(1)
-    tied = np.flatnonzero(place < last)
-    if len(tied):
-        # The same least hash several times in a row of windows: each window belongs to its leftmost occurrence.
-        kept = place >= last
-        extra = []
-        for i in tied:
-            spots = first[i] + np.flatnonzero(grams[first[i]:last[i] + WINDOW] == least[first[i]])
-            low = np.maximum(first[i], np.concatenate(([first[i]], spots[:-1] + 1)))
-            high = np.minimum(spots, last[i])
-            ok = low <= high
-            extra.append(np.stack((low[ok], high[ok], spots[ok])))
-        more = np.concatenate(extra, 1)
-        first, last, place = (np.concatenate((x[kept], y)) for x, y in zip((first, last, place), more))
+    turns = np.zeros(len(least) + 1, bool)
+    turns[1:-1] = least[1:] != least[:-1]
+    turns[offsets[long]] = True
+    turns[offsets[long + 1] - LENGTH + 1] = True
+    first = np.flatnonzero(turns[:-1])
+    last = np.append(first[1:], len(least)) - 1
+    inside = np.searchsorted(offsets, first, "right") - 1
+    whole = first + LENGTH <= offsets[inside + 1]
+    first, last = first[whole], last[whole]
+    return first, last, least[first] & np.int64(2**32 - 1)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, wanted=None, needed=None) -> tuple[np.ndarray, ...]:
+    """Anchors of all windows: document, anchor hash, context hash, first and last window start in the array, side hashes.
+
+    The side hashes are those of the anchor with the ``SIDE`` bytes to its left and to its right, 0 where its windows
+    do not have as many. Only anchors whose hash is ``wanted`` are returned, and of these only contexts that are ``needed``
+    by document, context hash and first window start; no more is hashed than these tests ask for.
+    """
+    rolling = Rolling(data)
+    first, last, place = _places(rolling, offsets)
+    anchor = rolling.ranges(place, place + GRAM).view(np.int64)
+    if wanted is not None:
+        kept = wanted(anchor)
+        first, last, place, anchor = first[kept], last[kept], place[kept], anchor[kept]
     owner = np.searchsorted(offsets, first, "right") - 1
-    context = mixed(rolling.ranges(first, last + LENGTH) ^ mixed((place - first).astype(np.uint64)))
+    context = mixed(rolling.ranges(first, last + LENGTH) ^ mixed((place - first).astype(np.uint64))).view(np.int64)
+    if needed is not None:
+        kept = needed(owner, context, first)
+        first, last, place, anchor, owner, context = first[kept], last[kept], place[kept], anchor[kept], owner[kept], context[kept]
     left, right = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
     ok = place - first >= SIDE
     left[ok] = rolling.ranges(place[ok] - SIDE, place[ok] + GRAM)
     ok = last + LENGTH - place >= GRAM + SIDE
     right[ok] = mixed(rolling.ranges(place[ok], place[ok] + GRAM + SIDE))
-    return owner, grams[place].view(np.int64), context.view(np.int64), first, last, left.view(np.int64), right.view(np.int64)
+    return owner, anchor, context, first, last, left.view(np.int64), right.view(np.int64)
 
 
 def _document_keys(docs: DataFrame) -> DataFrame:
@@ -100,7 +101,10 @@ def _spot(ctx: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, limit=RUN_BYTES):
-        found, number = np.unique(anchors(*byte_column(batch.column(0)))[1], return_counts=True)
+        data, offsets = byte_column(batch.column(0))
+        rolling = Rolling(data)
+        place = _places(rolling, offsets)[2]
+        found, number = np.unique(rolling.ranges(place, place + GRAM).view(np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(number)], ["anchor", "n"])
 
 
@@ -108,13 +112,11 @@ def _occurrences(repeated: BitSet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=RUN_BYTES):
             data, offsets = byte_column(batch.column(2))
-            owner, anchor, context, first, last, left, right = anchors(data, offsets)
-            kept = repeated.has(anchor)
-            owner, first, last = owner[kept], first[kept], last[kept]
+            owner, anchor, context, first, last, left, right = anchors(data, offsets, repeated.has)
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[kept]), pa.array(context[kept]), batch.column(0).take(rows), batch.column(1).take(rows),
-                 pa.array(first - offsets[owner]), pa.array((last - first).astype(np.int32)), pa.array(left[kept]), pa.array(right[kept])],
+                [pa.array(anchor), pa.array(context), batch.column(0).take(rows), batch.column(1).take(rows),
+                 pa.array(first - offsets[owner]), pa.array((last - first).astype(np.int32)), pa.array(left), pa.array(right)],
                 ["anchor", "ctx", "d", "h", "low", "more", "lkey", "rkey"])
     return run
 
@@ -137,31 +139,51 @@ def _parts(split: tuple[np.ndarray, np.ndarray], anchor: np.ndarray, context: np
     return np.where(known[at] == anchor, 1 + (context.view(np.uint64) >> np.uint64(20)).astype(np.int64) % parts[at], 0)
 
 
-def _contexts(firsts: BitSet, sides: BitSet, split: tuple[np.ndarray, np.ndarray]):
+def _met(sides: BitSet, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left != 0) & sides.has(left) | (right != 0) & sides.has(right)
+
+
+def _first_spots(sides: BitSet):
+    """Spots of the first contexts that may share a side with another."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.array(batch.column(c), np.int64) for c in ("lkey", "rkey"))
+            yield batch.select(["spot"]).filter(pa.array(_met(sides, left, right)))
+    return run
+
+
+def _contexts(repeated: BitSet, firsts: BitSet, sides: BitSet, split: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=RUN_BYTES):
             data, offsets = byte_column(batch.column(2))
-            owner, anchor, context, first, last, left, right = anchors(data, offsets)
             d = np.asarray(batch.column(0), np.int64)
-            low = first - offsets[owner]
-            kept = firsts.has(_spot(context, d[owner], low)) & ((left != 0) & sides.has(left) | (right != 0) & sides.has(right))
+            needed = lambda owner, context, first: firsts.has(_spot(context, d[owner], first - offsets[owner]))
+            owner, anchor, context, first, last, left, right = anchors(data, offsets, repeated.has, needed)
+            kept = _met(sides, left, right)
             owner, anchor, context, first, last = owner[kept], anchor[kept], context[kept], first[kept], last[kept]
             part = _parts(split, anchor, context)
             rows = pa.array(owner)
             blobs = [data[a:b + LENGTH].tobytes() for a, b in zip(first, last)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(part.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(low[kept]),
+                [pa.array(anchor), pa.array(part.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first - offsets[owner]),
                  pa.array(blobs, pa.binary())], ["anchor", "part", "d", "h", "low", "bytes"])
     return run
 
 
+def _packed(symbols: np.ndarray) -> np.ndarray:
+    """The ``PACKED`` symbols (0 to 256) from every place on as one number, the first highest; what is beyond the end is less than any."""
+    n = len(symbols)
+    padded = np.concatenate((symbols.astype(np.int64) + 1, np.zeros(PACKED, np.int64)))
+    key = np.zeros(n, np.int64)
+    for i in range(PACKED):
+        key = key << 9 | padded[i:i + n]
+    return key
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """All suffixes of a symbol sequence (0 to 256) in order, by doubling within groups not yet sorted."""
     n = len(symbols)
-    padded = np.concatenate((symbols.astype(np.uint64), np.zeros(7, np.uint64)))
-    key = np.zeros(n, np.uint64)
-    for i in range(7):
-        key = key << np.uint64(9) | padded[i:i + n]
+    key = _packed(symbols)
     order = np.argsort(key)
     sorted_ = key[order]
     head = np.ones(n, bool)
@@ -169,7 +191,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]
-    depth = 7
+    depth = PACKED
     single = head & np.append(head[1:], True)
     slots = np.flatnonzero(~single)
     while len(slots):
@@ -187,33 +209,34 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, enough: int | None = None) -> np.ndarray:
     """Length of the common prefix of every suffix with the one before it in order, by text position.
 
     Kasai's scan: one position further on, at most one symbol less is shared. All stretches ``starts`` to ``ends`` are
-    scanned side by side, so each begins at nothing shared.
+    scanned side by side, so each begins at nothing shared. A step compares ``PACKED`` symbols of every stretch, which then
+    goes on in the same suffix or to the next, whatever the others do. Lengths of ``enough`` or more need not be exact.
     """
     n = len(symbols)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, n, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.append(symbols.astype(np.int32), -1)
+    key = np.append(_packed(symbols), 0)
+    limits = np.int64(1) << 9 * np.arange(PACKED)
     out = np.zeros(n, np.int64)
     shared = np.zeros(len(starts), np.int64)
-    rows = np.argsort(starts - ends, kind="stable")
-    starts, ends = starts[rows], ends[rows]
-    for j in range(int((ends - starts).max(initial=0))):
-        live = int(np.searchsorted(starts - ends, -j, "left"))
-        here = starts[:live] + j
-        own = np.maximum(shared[:live] - 1, 0)
-        other = before[here]
-        own[other < 0] = 0
-        more = np.flatnonzero(other >= 0)
-        while len(more):
-            a, b = here[more] + own[more], other[more] + own[more]
-            more = more[(a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])]
-            own[more] += 1
-        out[here] = own
-        shared[:live] = own
+    enough = n if enough is None else enough
+    live = starts < ends
+    while live.any():
+        if not live.all():
+            starts, ends, shared = starts[live], ends[live], shared[live]
+        other = before[starts]
+        shared = np.minimum(shared, n - other)
+        differ = key[starts + shared] ^ key[other + shared]
+        shared = shared + PACKED - np.searchsorted(limits, differ, "right")
+        out[starts] = shared
+        done = (differ != 0) | (shared >= enough)
+        shared = np.maximum(shared - done, 0)
+        starts = starts + done
+        live = starts < ends
     return out
 
 
@@ -227,7 +250,7 @@ def repeated_windows(blobs: list[bytes], d: np.ndarray, h: np.ndarray, low: np.n
     inside[ends] = False
     symbols[inside] = np.frombuffer(b"".join(blobs), np.uint8).astype(np.uint16) + 1
     order = suffix_array(symbols)
-    shared = common_prefixes(symbols, order, starts, ends + 1)
+    shared = common_prefixes(symbols, order, starts, ends + 1, LENGTH)
     number = sizes - LENGTH + 1
     context = np.repeat(np.arange(len(blobs)), number)
     place = np.arange(len(context)) - np.repeat(np.cumsum(number) - number, number)
@@ -316,11 +339,13 @@ def _repeated_ranges(docs: DataFrame) -> DataFrame:
     copies = found.join(classes.filter("n > 1").select("anchor", "ctx", "first"), ["anchor", "ctx"]).filter(F.col("first") != spot).select(
         "d", "h", F.col("low").alias("start"), (F.col("low") + F.col("more") + LENGTH).alias("end"))
 
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    firsts = classes.select("anchor", "ctx", "first", "lkey", "rkey").join(several, "anchor")
-    sides = firsts.select(F.explode(F.array("lkey", "rkey")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1")
+    # A side holds its anchor, so contexts that share a side are several of one anchor.
+    shared = classes.select(F.explode(F.array("lkey", "rkey")).alias("key")).filter("key <> 0").groupBy("key").count().filter("count > 1")
+    sides = bit_set(shared, F.col("key"))
     spots = F.col("ctx").bitwiseXOR(F.col("first.d")).bitwiseXOR(F.shiftleft("first.low", 5))
-    wanted = _contexts(bit_set(firsts, spots), bit_set(sides, F.col("key")), _split_anchors(several))
+    firsts = classes.select(spots.alias("spot"), "lkey", "rkey").mapInArrow(_first_spots(sides), "spot long")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    wanted = _contexts(repeated, bit_set(firsts, F.col("spot")), sides, _split_anchors(several))
     contexts = keyed.mapInArrow(wanted, "anchor long, part int, d long, h long, low long, bytes binary")
     dealt = contexts.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     path = new_path(spark, "windows")

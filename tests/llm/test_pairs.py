@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -298,3 +299,61 @@ def test_suffix_array_and_common_prefixes():
             while max(a, b) + same < size and text[a + same] == text[b + same]:
                 same += 1
             assert found[b] == same
+
+
+def test_suffixes_of_equal_symbols_end():
+    """The end is less than any symbol, 0 too, however few symbols there are."""
+    for size in (2, 3, 6, 7, 8, 30):
+        text = np.zeros(size, np.uint16)
+        order = repeats.suffix_array(text)
+        assert order.tolist() == list(range(size))[::-1]
+        assert repeats.common_prefixes(text, order, np.array([0]), np.array([size])).tolist() == [*range(size - 1, 0, -1), 0][:size]
+
+
+def test_scan_of_prefixes_takes_steps_of_the_longest_stretch():
+    """Stretches advance side by side, several symbols a step; none waits for another's long match."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(1, 5, 400)
+    stretches = [np.append(np.concatenate((rng.integers(1, 5, 30), passage[a:a + 80], rng.integers(1, 5, 30))), 0) for a in rng.integers(0, 320, 200)]
+    text = np.concatenate(stretches).astype(np.uint16)
+    ends = np.cumsum([len(x) for x in stretches])
+    order = repeats.suffix_array(text)
+    lines = 0
+
+    def count(frame, event, _):
+        nonlocal lines
+        if frame.f_code is not repeats.common_prefixes.__code__:
+            return None
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        found = repeats.common_prefixes(text, order, ends - 141, ends)
+    finally:
+        sys.settrace(before)
+    assert lines < 30 * 141
+    for a, b in zip(order, order[1:]):
+        most = len(text) - max(a, b)
+        same = int(np.argmin(np.append(text[a:a + most] == text[b:b + most], False)))
+        assert found[b] == same
+
+
+def test_anchors_own_every_window_once():
+    """The owner of a window follows from its bytes alone, and tests leave out the same anchors that a filter would."""
+    rng = random.Random(3)
+    shared = bytes(rng.choice(b"abc ") for _ in range(400))
+    docs = [b"", b"x" * 99, b"y" * 300, shared[:250], b"ab" * 120, b"", shared[90:], b"q" * 40, shared[:100], b"z" * 100, shared[30:180]]
+    offsets = np.cumsum([0] + [len(x) for x in docs])
+    data = np.frombuffer(b"".join(docs), np.uint8)
+    found = repeats.anchors(data, offsets)
+    owned, by_bytes = [], {}
+    for owner, anchor, _, first, last, *_ in zip(*(x.tolist() for x in found)):
+        for p in range(first, last + 1):
+            owned.append((owner, p - int(offsets[owner])))
+            assert by_bytes.setdefault(data[p:p + 100].tobytes(), anchor) == anchor
+    assert sorted(owned) == [(i, p) for i, x in enumerate(docs) for p in range(len(x) - 99)]
+    kept = (found[1] % 2 == 0) & (found[2] % 3 != 0)
+    fewer = repeats.anchors(data, offsets, lambda anchor: anchor % 2 == 0, lambda owner, context, first: context % 3 != 0)
+    assert kept.any() and not kept.all() and all((a[kept] == b).all() for a, b in zip(found, fewer))
